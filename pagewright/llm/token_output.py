@@ -12,8 +12,11 @@ ids come first; extra columns are ignored; an empty table gives no shard and no
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 SHARD_TOKENS = 1 << 21
 BLOCK = 512
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 SHARD_SCHEMA = "part int, seq int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, planes array<binary>, ranks array<binary>, zeros array<long>"
 #: A space between white space, or at a text's end after white space: here the pre-tokenizer joins what a split would part.
 JOINED_SPACE = re.compile(r"\s (?:\s|\Z)")
@@ -121,6 +124,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -130,20 +134,20 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.width <= 16 else "<u4")
 
     def _batch(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        code = {2: "H", 4: "I"}[self.kind.itemsize]
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
         split = [None if JOINED_SPACE.search(t) else (" " + t).replace(" ", "\0 ").split("\0")[1:] if "\0" not in t else None for t in texts]
         known = self.words
         for words in split:
             if words:
                 words[0] = words[0][1:]
-        new = list({w for words in split if words for w in words if w not in known})
-        for i in range(0, len(new), 4096):
-            known.update(zip(new[i : i + 4096], self._batch(new[i : i + 4096])))
         known[""] = b""
+        new = list({w for words in split if words for w in words if w not in known})
+        if len(known) > CACHE_WORDS:  # words met first, so mostly the frequent ones, stay; others live for this call
+            known = ChainMap({}, known)
+        known.update(zip(new, self._batch(new)))
         whole = iter(self._batch([t for t, words in zip(texts, split) if words is None]))
         return [np.frombuffer(next(whole) if words is None else b"".join([known[w] for w in words]), self.kind) for words in split]
 
