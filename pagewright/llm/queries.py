@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import decontamination, embedding_dedup, licences, minhash_dedup, mixing, quality, token_output, toxicity, warc
+from pagewright.llm import decontamination, embedding_dedup, licences, minhash_dedup, mixing, passages, quality, token_output, toxicity, warc
 from pagewright.llm.common import Scratch, read
 
 
@@ -56,12 +56,16 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_documents(spark, out)
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_embeddings, op4_licences, op5_toxicity, op6_warc, op7_decontamination, op8_tokens, op10_minhash)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_embeddings, op4_licences, op5_toxicity, op6_warc, op7_decontamination, op8_tokens, op9_passages, op10_minhash)}
 
 
 SQL_WARC = """
