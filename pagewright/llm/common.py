@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bit_table(hashes: DataFrame, bits: int) -> bytes:
+    """A table of 2**bits bits with the leading bits of each hash (a column `h`) set; its size doesn't depend on the data.
+
+    A task asks it whether a row may have a partner before the row is shuffled; what it lets through wrongly, a join drops.
+    """
+    slot = F.expr(f"shiftrightunsigned(h, {64 - bits})")
+    words = hashes.select((slot / 64).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) % 64 as int))").alias("bit"))
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    for r in words.groupBy("word").agg(F.bit_or("bit").alias("b")).toLocalIterator():  # at most as many rows as the table has words
+        table[r.word] = r.b & 0xFFFFFFFFFFFFFFFF
+    return table.tobytes()
+
+
+def in_table(table: bytes, bits: int, h: np.ndarray) -> np.ndarray:
+    """Which of an array of 64-bit hashes the table may hold."""
+    words, slot = np.frombuffer(table, np.uint64), h.astype(np.uint64, copy=False) >> np.uint64(64 - bits)
+    return (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
 def word_count(text):
     """Number of words of a text column, words being runs other than ASCII white space; 0 for null or blank."""
     trimmed = F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import shingles as sh
-from pagewright.llm.common import Scratch
+from pagewright.llm.common import Scratch, bit_table, in_table
 
 TABLE_BITS = 24
 ROLL = np.uint64(0xD6E8FEB86659FD93)
@@ -104,8 +104,6 @@ def _seeds(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _runs(table: bytes, sizes: list[int]):
-    bits = np.frombuffer(table, np.uint8)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, raw, off in sh.slices(batch.column(1)):
@@ -117,8 +115,7 @@ def _runs(table: bytes, sizes: list[int]):
                     s = _seeds(w.hashes, k)
                     if not len(s):
                         continue
-                    slot = s >> np.uint64(64 - TABLE_BITS)
-                    hit = (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    hit = in_table(table, TABLE_BITS, s)
                     hit &= owner[: len(s)] == owner[k - 1 :]
                     for x in range(k):
                         mark[x : x + len(s)] |= hit
@@ -162,11 +159,9 @@ def tilings(docs: DataFrame, benchmark: DataFrame, k: int = 5, min_coverage: flo
     items = scratch.table("items", items.filter("k > 0").withColumn("item", F.monotonically_increasing_id()))
     seeds = scratch.table("seeds", items.select("item", "k", F.size("tokens").alias("n"), F.posexplode("seeds").alias("at", "seed")))
     sizes = sorted(r.k for r in items.select("k").distinct().collect())
-    table = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
-    for r in seeds.select(F.expr(f"shiftrightunsigned(seed, {64 - TABLE_BITS})").alias("slot")).groupBy((F.col("slot") / 8).cast("int").alias("byte")).agg(F.bit_or(F.expr("cast(shiftleft(1, cast(slot % 8 as int)) as int)")).alias("bits")).toLocalIterator():
-        table[r.byte] = r.bits  # at most as many rows as the table has bytes
+    table = bit_table(seeds.select(F.col("seed").alias("h")), TABLE_BITS)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    runs = texts.mapInArrow(_runs(table.tobytes(), sizes), "doc_id long, tokens array<long>").withColumn("run_id", F.monotonically_increasing_id())
+    runs = texts.mapInArrow(_runs(table, sizes), "doc_id long, tokens array<long>").withColumn("run_id", F.monotonically_increasing_id())
     runs = scratch.table("runs", runs)
     # The item words under the seeds that a pair shares bound the coverage from above.
     shared = runs.select("run_id", "tokens").mapInArrow(_document_seeds(sizes or [k]), "run_id long, seed long").join(seeds, "seed")

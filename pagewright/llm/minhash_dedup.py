@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import shingles as sh
-from pagewright.llm.common import Scratch
+from pagewright.llm.common import Scratch, bit_table, in_table
 from pagewright.llm.components import connected
 
 BANDS, ROWS = 24, 5
 #: A pair this many standard deviations below the threshold's expected agreement is not confirmed further.
 SLACK = 6.0
+#: Size of the table that tells tasks which ids are candidates.
+TABLE_BITS = 23
 
 
 def _signatures(k: int, bands: int, rows: int):
@@ -61,9 +63,10 @@ def _signatures(k: int, bands: int, rows: int):
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, table: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(in_table(table, TABLE_BITS, batch.column(2).to_numpy().view(np.uint64))))
             for i, j, raw, off in sh.slices(batch.column(1)):
                 h, _, at = sh.shingles(sh.words(raw, off), k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([np.unique(h[at[t] : at[t + 1]]).tobytes() for t in range(j - i)], pa.binary())], names=["rep", "shingles"])
@@ -71,6 +74,12 @@ def _sets(k: int):
     return run
 
 
+def _full_sets(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """Shingle sets (rep, shingles) of the given ids (a column rep). Texts are not shuffled, only the candidates' sets are."""
+    table = bit_table(ids.select(F.xxhash64("rep").alias("h")), TABLE_BITS)
+    return texts.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(_sets(k, table), "rep long, shingles binary").join(ids, "rep", "left_semi")
+
+
 def _agreement(least: int):
     def run(batches):
         for batch in batches:
@@ -105,8 +114,8 @@ def _confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, scratch: Scrat
     x, y = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
     close = pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(_agreement(least), "a long, b long")
     close = scratch.table(f"close-{tag}", close)
-    ids = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
-    sets = scratch.table(f"sets-{tag}", texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "rep long, shingles binary"))
+    ids = close.select(F.col("a").alias("rep")).union(close.select("b")).distinct()
+    sets = scratch.table(f"sets-{tag}", _full_sets(texts, ids, k))
     x, y = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
     found = close.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_overlap(percent), "a long, b long, inter long, uni long")
     found = scratch.table(f"links-{tag}", found.distinct())
@@ -130,27 +139,50 @@ def _blocks(placed: DataFrame, chunk: int) -> DataFrame:
     return rows.withColumn("at", F.explode(F.expr(f"if(side, {mine}, {theirs})"))).select("bucket", "at.*", "side", "part", "rep", "component")
 
 
+def _cross(kind: str, i: int, j: int, table: pa.Table):
+    """For each row of a block the rows (of greater id) that another component has on the block's other side."""
+    rep, comp, part = (table.column(c).to_numpy() for c in ("rep", "component", "part"))
+    group = np.array(table.column("side").to_pylist()) if kind == "m" else part
+    for x in range(len(rep)):
+        y = np.flatnonzero((comp != comp[x]) & (rep > rep[x]) & ((group != group[x]) | (kind == "o" and i == j)))
+        if len(y):
+            yield x, y
+
+
+def _promising(least: int):
+    """Ids of a block whose signature agrees enough with that of a row of another component."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        _, kind, i, j = (x.as_py() for x in key)
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(table.num_rows, -1)
+        keep = np.zeros(table.num_rows, bool)
+        for x, y in _cross(kind, i, j, table):
+            y = y[(sig[y] == sig[x]).sum(axis=1) >= least]
+            keep[y] = True
+            keep[x] |= len(y) > 0
+        return table.select(["rep"]).filter(pa.array(keep))
+
+    return run
+
+
 def _compare(percent: int, least: int):
     """Links across components in one block. A pair that shares an earlier band is left to that band's block."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bucket, kind, i, j = (x.as_py() for x in key)
-        rep, comp, part = (table.column(c).to_numpy() for c in ("rep", "component", "part"))
-        side = table.column("side").to_pylist()
+        rep, comp = (table.column(c).to_numpy() for c in ("rep", "component"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(rep), -1)
         bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(len(rep), -1)
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
         size = np.array([len(x) for x in sets])
         out, joined = [], {}
-        group = np.array(side) if kind == "m" else part
 
         def root(x):
             while joined.get(x, x) != x:
                 x = joined[x]
             return x
 
-        for x in range(len(rep)):
-            y = np.flatnonzero((comp != comp[x]) & (rep > rep[x]) & ((group != group[x]) | (kind == "o" and i == j)))
+        for x, y in _cross(kind, i, j, table):
             y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
             if len(y):
                 first = (bands[y] == bands[x]).argmax(axis=1)
@@ -168,10 +200,13 @@ def _compare(percent: int, least: int):
 
 
 def _across(placed: DataFrame, reps: DataFrame, texts: DataFrame, scratch: Scratch, k: int, percent: int, least: int, chunk: int = 256) -> DataFrame:
-    blocks = _blocks(placed, chunk)
-    sets = scratch.table("sets-rest", texts.join(blocks.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(k), "rep long, shingles binary"))
-    full = blocks.join(reps.join(sets, "rep"), "rep")
-    return full.groupBy("bucket", "kind", "i", "j").applyInArrow(_compare(percent, least), "a long, b long, inter long, uni long")
+    """Links between rows of one bucket and different components. Signatures alone say which rows need their sets."""
+    block = ["bucket", "kind", "i", "j"]
+    rough = _blocks(placed, chunk).join(reps.select("rep", "sig"), "rep").groupBy(*block).applyInArrow(_promising(least), "rep long")
+    ids = scratch.table("promising", rough.distinct())
+    sets = scratch.table("sets-rest", _full_sets(texts, ids, k))
+    blocks = _blocks(scratch.table("placed-rest", placed.join(ids, "rep", "left_semi")), chunk)
+    return blocks.join(reps.join(sets, "rep"), "rep").groupBy(*block).applyInArrow(_compare(percent, least), "a long, b long, inter long, uni long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
