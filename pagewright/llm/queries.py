@@ -43,11 +43,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = Scratch(spark, "warc").path("archives")
-    warc.write_warc(read(spark, sf_dir, "pages"), out)
-    captures = warc.assemble(warc.read_warc(spark, out)).withColumn("page_id", warc.page_id(F.col("metadata")))
+    scratch = Scratch(spark, "warc")
+    warc.write_warc(read(spark, sf_dir, "pages"), scratch.path("archives"))
+    records = scratch.table("records", warc.summarise(warc.read_warc(spark, scratch.path("archives"))))
+    captures = scratch.table("captures", warc.assemble(records).withColumn("page_id", warc.page_id(F.col("metadata"))))
     first = captures.filter("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("first_page"))
-    return captures.drop("payload").join(first, "refers_to", "left").select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("first_page").alias("refers_to"))
+    return captures.join(first, "refers_to", "left").select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("first_page").alias("refers_to"))
 
 
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,11 +44,13 @@ def write_warc(pages: DataFrame, out: str, date: str = "2000-01-01T00:00:00Z", i
     """Write three records per page. Of pages with equal payloads of MIN_REVISIT_BYTES or more, all but the least id are revisits."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("page_id").orderBy("digest", F.col("url").asc_nulls_last())))
-    rows = rows.withColumn("rank", F.struct(F.col("page_id").isNull().alias("none"), "page_id", "copy"))
-    # Only payloads that repeat need the join back; each has one row there.
-    repeated = rows.filter(F.col("size") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min("rank").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    rows = rows.join(repeated, "digest", "left").withColumn("revisit", F.coalesce(F.col("rank") != F.col("first"), F.lit(False)))
+    # Null ids share a key that no id has, so that both sides below stay partitioned by one column and payloads move once.
+    rows = rows.withColumn("key", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    number = F.row_number().over(Window.partitionBy("key").orderBy("digest", F.col("url").asc_nulls_last()))
+    light = rows.select("key", "page_id", "url", "digest", "size").withColumn("copy", number).withColumn("rank", F.struct(F.col("page_id").isNull().alias("none"), "page_id", "copy"))
+    repeated = light.filter(F.col("size") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min("rank").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    revisits = light.join(repeated, "digest").filter("rank != first").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("copy", "first"))).alias("firsts"))
+    rows = rows.withColumn("copy", number).join(revisits, "key", "left").withColumn("first", F.try_element_at("firsts", "copy")).withColumn("revisit", F.col("first").isNotNull())
     response = _urn("response")
     first = F.struct(F.col("first.page_id").alias("page_id"), F.col("first.copy").alias("copy"))
     referred = F.regexp_replace(F.md5(F.concat_ws("|", F.lit("response"), F.coalesce(first["page_id"].cast("string"), F.lit("null")), first["copy"].cast("string"))), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
@@ -115,21 +117,30 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(_parse, RECORD_SCHEMA)
 
 
+def summarise(records: DataFrame) -> DataFrame:
+    """Records without their payloads: size and digest take their place, and the text of metadata records."""
+    fields = F.when(F.col("type") == "metadata", F.col("payload").cast("string"))
+    return records.select("record_id", "type", "concurrent_to", "refers_to", "target_uri", "date", "payload_digest", F.octet_length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("digest"), fields.alias("fields"))
+
+
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: record_id, type, target_uri, date, refers_to, payload_bytes, payload_digest (of the full
     payload; of a revisit, those of the response it refers to), request and metadata structs."""
-    captured = records.filter(F.col("type").isin("response", "revisit")).withColumn("digest", F.when(F.col("type") == "revisit", F.element_at(F.split("payload_digest", ":"), -1)).otherwise(F.sha2("payload", 256)))
-    captured = captured.select("record_id", "type", "target_uri", "date", "refers_to", "payload_digest", "digest", "payload", F.octet_length("payload").cast("long").alias("size"))
-    request = records.filter("type = 'request'").select("concurrent_to", "record_id", F.struct("record_id", "target_uri", "headers", "payload").alias("request"))
-    fields = records.filter("type = 'metadata'").select("concurrent_to", F.struct("record_id", F.expr("cast(payload as string)").alias("fields")).alias("metadata"))
+    more = ["payload"] if "payload" in records.columns else []
+    if "digest" not in records.columns:
+        records = records.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256), "fields": F.when(F.col("type") == "metadata", F.col("payload").cast("string"))})
+    digest = F.when(F.col("type") == "revisit", F.element_at(F.split("payload_digest", ":"), -1)).otherwise(F.col("digest"))
+    captured = records.filter(F.col("type").isin("response", "revisit")).select("record_id", "type", "target_uri", "date", "refers_to", digest.alias("digest"), "size", *more)
+    request = records.filter("type = 'request'").select("concurrent_to", "record_id", F.struct("record_id", "target_uri").alias("request"))
+    fields = records.filter("type = 'metadata'").select("concurrent_to", F.struct("record_id", "fields").alias("metadata"))
     via = request.select(F.col("record_id").alias("concurrent_to"), F.col("concurrent_to").alias("through"))
     fields = fields.join(via, "concurrent_to", "left").select(F.coalesce("through", "concurrent_to").alias("record_id"), "metadata")
-    one = lambda df, c: df.groupBy("record_id").agg(F.min(F.struct(F.col(f"{c}.record_id").alias("id"), F.col(c).getField("record_id").alias("r"))).alias("_"), F.first(c).alias(c)).drop("_")
-    request = one(request.select(F.col("concurrent_to").alias("record_id"), F.struct("request.record_id", "request.target_uri").alias("request")), "request")
+    one = lambda df, c: df.groupBy("record_id").agg(F.min(c).alias(c))  # noqa: E731  of several, that of the least identifier
+    request = one(request.select(F.col("concurrent_to").alias("record_id"), "request"), "request")
     captures = captured.join(request, "record_id", "left").join(one(fields, "metadata"), "record_id", "left")
     full = captured.filter("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("size").alias("full_size"))
     return captures.join(full, "refers_to", "left").select(
-        "record_id", "type", "target_uri", "date", "refers_to", F.when(F.col("type") == "revisit", F.col("full_size")).otherwise(F.col("size")).alias("payload_bytes"), F.col("digest").alias("payload_digest"), "payload", "request", "metadata"
+        "record_id", "type", "target_uri", "date", "refers_to", F.when(F.col("type") == "revisit", F.col("full_size")).otherwise(F.col("size")).alias("payload_bytes"), F.col("digest").alias("payload_digest"), "request", "metadata", *more
     )
 
 
