@@ -12,6 +12,7 @@ ids come first; extra columns are ignored; an empty table gives no shard and no
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -152,20 +153,26 @@ class Encoder:
         return [np.frombuffer(next(whole) if words is None else b"".join([known[w] for w in words]), self.kind) for words in split]
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One encoder for each Python worker, so that its word memory serves all tasks that the worker runs."""
+    return Encoder(path)
+
+
 def _shards(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        words = encoder(path)
         part, seq, held, ids, docs, counts = None, 0, 0, [], [], []
 
         def flush():
-            w = WaveletMatrix.build(np.concatenate(ids), max(encoder.width, int(end_id).bit_length()))
+            w = WaveletMatrix.build(np.concatenate(ids), max(words.width, int(end_id).bit_length()))
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_tokens": w.n, "doc_ids": docs, "doc_tokens": counts, "planes": [p.tobytes() for p in w.planes], "ranks": [r.tobytes() for r in w.ranks], "zeros": w.zeros}], SHARD_ARROW)
 
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 rows = batch.slice(i, 256)
                 texts = [t or "" for t in rows.column(2).to_pylist()]
-                for p, doc, x in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), encoder.encode(texts)):
+                for p, doc, x in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), words.encode(texts)):
                     if ids and (p != part or held + len(x) + 1 > SHARD_TOKENS):
                         yield flush()
                         seq, held, ids, docs, counts = (seq + 1 if p == part else 0), 0, [], [], []
