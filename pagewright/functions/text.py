@@ -15,6 +15,11 @@ LEFT, RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 FILE_WORDS = ["jpg", "jpeg", "png", "webp", "gif", "svg", "pdf"]
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, where the body uses it inside a lambda that runs for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def squeeze(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"{SPACE}+", " "), r"^ | \z", "")
 
@@ -52,8 +57,8 @@ def words(text: Column) -> Column:
 
 def shingles(text: Column, n: int = 3) -> Column:
     """Distinct runs of n words; a shorter text gives one run of all its words."""
-    w = words(text)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (n - 1))), lambda i: F.array_join(F.slice(w, i, n), " ")))
+    runs = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (n - 1))), lambda i: F.array_join(F.slice(w, i, n), " ")))
+    return let(words(text), runs)
 
 
 def jaccard_hundredths(overlap: Column, union: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.functions.text import let
+
 COLORS, VARS, FONTS = 8, 40, 6
 # Property names that say something about a brand, and values that are colours.
 BRAND_NAMES = r"(?i)(color|primary|secondary|accent|brand|background|bg(?![A-Za-z0-9_])|foreground|surface|text|font|radius|ring|border|muted|shadow|spacing)"
@@ -60,7 +62,8 @@ def css_vars(css: Column) -> Column:
     pattern = r"(--[a-zA-Z0-9_-]+)\s*:\s*([^;}\n]+)"
     found = F.arrays_zip(F.regexp_extract_all(css, F.lit(pattern), 1).alias("name"), F.regexp_extract_all(css, F.lit(pattern), 2).alias("value"))
     names = F.array_distinct(F.transform(found, lambda x: x["name"]))
-    return F.transform(names, lambda n: F.struct(n.alias("name"), F.trim(F.element_at(F.transform(F.filter(found, lambda x: x["name"] == n), lambda x: x["value"]), 1)).alias("value")))
+    first = lambda rows: F.transform(names, lambda n: F.struct(n.alias("name"), F.trim(F.element_at(F.transform(F.filter(rows, lambda x: x["name"] == n), lambda x: x["value"]), 1)).alias("value")))
+    return let(found, first)
 
 
 def relevant_css_vars(css: Column, most: int = VARS) -> Column:

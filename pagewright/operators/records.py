@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import LEFT, RIGHT, lines, markdown_images, markdown_links, squeeze
+from pagewright.functions.text import LEFT, RIGHT, let, lines, markdown_images, markdown_links, squeeze
 from pagewright.functions.urls import same_origin
 from pagewright.operators.clusters import TECHNICAL
 
@@ -41,9 +41,12 @@ def _in_section(markdown: Column, deepest: int, terms: list[str]) -> Column:
     """Lines (no headings) whose last heading above names one of the terms: array of (line)."""
     head = rf"^#{{1,{deepest}}}\s+(.+)\z"
     all_lines = F.transform(lines(markdown), lambda x, i: F.struct(i.alias("no"), x.alias("line"), x.rlike(head).alias("head")))
-    heads = F.transform(F.filter(all_lines, lambda x: x["head"]), lambda x: F.struct(x["no"].alias("no"), x["line"].rlike(f"(?iu){'|'.join(terms)}").alias("open")))
-    above = lambda x: F.try_element_at(F.filter(heads, lambda h: h["no"] <= x["no"]), F.lit(-1))
-    return F.transform(F.filter(all_lines, lambda x: F.coalesce(above(x)["open"], F.lit(False))), lambda x: F.struct(x["line"].alias("line"), x["head"].alias("head")))
+    opened = lambda x: F.struct(x["no"].alias("no"), x["line"].rlike(f"(?iu){'|'.join(terms)}").alias("open"))
+
+    def inside(rows: Column) -> Column:
+        return let(F.transform(F.filter(rows, lambda x: x["head"]), opened), lambda heads: F.filter(rows, lambda x: F.coalesce(F.try_element_at(F.filter(heads, lambda h: h["no"] <= x["no"]), F.lit(-1))["open"], F.lit(False))))
+
+    return F.transform(let(all_lines, inside), lambda x: F.struct(x["line"].alias("line"), x["head"].alias("head")))
 
 
 def technical_data(markdown: Column) -> Column:
@@ -53,8 +56,12 @@ def technical_data(markdown: Column) -> Column:
     part = lambda x, i: squeeze(F.when(x.rlike(table), F.regexp_extract(x, table, i)).otherwise(F.regexp_extract(x, pair, i)))
     found = F.transform(F.filter(rows, lambda x: x.rlike(table) | x.rlike(pair)), lambda x: F.struct(part(x, 1).alias("key"), part(x, 2).alias("value")))
     found = F.filter(found, lambda x: ~x["key"].rlike(r"^-+\z") & ~x["value"].rlike(r"^-+\z"))
-    keys = F.array_distinct(F.transform(found, lambda x: x["key"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.transform(F.filter(found, lambda x: x["key"] == k), lambda x: x["value"]), -1)))
+
+    def table_of(rows: Column) -> Column:
+        keys = F.array_distinct(F.transform(rows, lambda x: x["key"]))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.transform(F.filter(rows, lambda x: x["key"] == k), lambda x: x["value"]), -1)))
+
+    return let(found, table_of)
 
 
 def related_products(raw: Column) -> Column:
