@@ -60,7 +60,7 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
 def sitemap_entries(documents: DataFrame, xml_col: str = "xml") -> DataFrame:
     """`<loc>` values of sitemap documents in order, with whether the document is an index of others."""
     locs = F.regexp_extract_all(F.col(xml_col), F.lit(r"(?i)<loc>\s*([^<]+?)\s*</loc>"), 1)
-    return documents.select("*", F.col(xml_col).rlike(r"(?i)<sitemapindex[\s>]").alias("is_index"), F.posexplode(locs).alias("n", "loc")).withColumn("loc", net.decode_xml(F.trim("loc"))).drop(xml_col)
+    return documents.select("*", F.col(xml_col).rlike(r"(?i)<sitemapindex[\s>]").alias("is_index"), F.posexplode(locs).alias("at", "loc")).withColumn("loc", net.decode_xml(F.trim("loc"))).drop(xml_col)
 
 
 def crawl_sitemaps(roots: DataFrame, robots: DataFrame, documents: DataFrame, save: Callable, most: int = SITEMAPS) -> DataFrame:
