@@ -165,16 +165,35 @@ def _promising(least: int):
     return run
 
 
-def _compare(percent: int, least: int):
-    """Links across components in one block. A pair that shares an earlier band is left to that band's block."""
+def _intersections(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Intersection sizes of all pairs of sets, as products of 0/1 matrices over the elements that two sets or more hold."""
+    n = len(sets)
+    out = np.zeros((n, n), np.float32)
+    if not sum(map(len, sets)):
+        return out
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), [len(x) for x in sets])
+    shared = count[code] > 1
+    row, code = row[shared], (np.cumsum(count > 1) - 1)[code[shared]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    for first in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        lo, hi = np.searchsorted(code, [first, first + width])
+        part = np.zeros((n, width), np.float32)
+        part[row[lo:hi], code[lo:hi] - first] = 1
+        out += part @ part.T
+    return out
+
+
+def _compare(percent: int):
+    """Links across components in one block, as few as join what the block can join."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        bucket, kind, i, j = (x.as_py() for x in key)
+        _, kind, i, j = (x.as_py() for x in key)
         rep, comp = (table.column(c).to_numpy() for c in ("rep", "component"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(rep), -1)
-        bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(len(rep), -1)
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
         size = np.array([len(x) for x in sets])
+        inter = _intersections(sets)
         out, joined = [], {}
 
         def root(x):
@@ -183,17 +202,12 @@ def _compare(percent: int, least: int):
             return x
 
         for x, y in _cross(kind, i, j, table):
-            y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
-            if len(y):
-                first = (bands[y] == bands[x]).argmax(axis=1)
-                y = y[(bands[y, first] == bucket) & ((sig[y] == sig[x]).sum(axis=1) >= least)]
+            y = y[100 * inter[x, y] >= percent * (size[y] + size[x] - inter[x, y])]
             for z in y:
-                if root(comp[x]) != root(comp[z]):
-                    both = len(np.intersect1d(sets[x], sets[z], assume_unique=True))
-                    union = size[x] + size[z] - both
-                    if 100 * both >= percent * union:
-                        out.append((int(rep[x]), int(rep[z]), both, int(union)))
-                        joined[root(comp[x])] = root(comp[z])
+                if (a := root(comp[x])) != (b := root(comp[z])):
+                    joined[a] = b
+                    both = int(inter[x, z])
+                    out.append((int(rep[x]), int(rep[z]), both, int(size[x] + size[z]) - both))
         return pa.table({c: pa.array([r[n] for r in out], pa.int64()) for n, c in enumerate(("a", "b", "inter", "uni"))})
 
     return run
@@ -206,7 +220,7 @@ def _across(placed: DataFrame, reps: DataFrame, texts: DataFrame, scratch: Scrat
     ids = scratch.table("promising", rough.distinct())
     sets = scratch.table("sets-rest", _full_sets(texts, ids, k))
     blocks = _blocks(scratch.table("placed-rest", placed.join(ids, "rep", "left_semi")), chunk)
-    return blocks.join(reps.join(sets, "rep"), "rep").groupBy(*block).applyInArrow(_compare(percent, least), "a long, b long, inter long, uni long")
+    return blocks.join(sets, "rep").groupBy(*block).applyInArrow(_compare(percent), "a long, b long, inter long, uni long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
