@@ -17,7 +17,6 @@ import os
 import re
 import zlib
 from array import array
-from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 SHARD_TOKENS = 1 << 21
 BLOCK = 512
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 SHARD_SCHEMA = "part int, seq int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, planes array<binary>, ranks array<binary>, zeros array<long>"
 #: A space between white space, or at a text's end after white space: here the pre-tokenizer joins what a split would part.
 JOINED_SPACE = re.compile(r"\s (?:\s|\Z)")
@@ -130,7 +129,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
         self.width = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kind = np.dtype("<u2" if self.width <= 16 else "<u4")
 
@@ -140,17 +139,17 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [None if JOINED_SPACE.search(t) else (" " + t).replace(" ", "\0 ").split("\0")[1:] if "\0" not in t else None for t in texts]
-        known = self.words
         for words in split:
             if words:
                 words[0] = words[0][1:]
-        known[""] = b""
+        known = self.words
         new = list({w for words in split if words for w in words if w not in known})
-        if len(known) > CACHE_WORDS:  # words met first, so mostly the frequent ones, stay; others live for this call
-            known = ChainMap({}, known)
-        known.update(zip(new, self._batch(new)))
+        coded = dict(zip(new, self._batch(new)))
+        if len(known) < CACHE_WORDS:  # words met first, so mostly the frequent ones, stay
+            known.update(coded)
+        get = known.__getitem__ if len(known) < CACHE_WORDS else lambda w: known[w] if w in known else coded[w]
         whole = iter(self._batch([t for t, words in zip(texts, split) if words is None]))
-        return [np.frombuffer(next(whole) if words is None else b"".join([known[w] for w in words]), self.kind) for words in split]
+        return [np.frombuffer(next(whole) if words is None else b"".join(map(get, words)), self.kind) for words in split]
 
 
 @functools.cache
