@@ -224,7 +224,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     return [float(v) for v in w]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 60_000, min_share: float = 0.85, max_terms: int = 4096) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 30_000, min_share: float = 0.85, max_terms: int = 4096) -> Model:
     """Learn the lexicon, the worth of misspellings and the logistic weights from labelled rows."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     truth = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")).filter("_id is not null and toxic in (0, 1)").dropDuplicates(["_id"])
@@ -232,7 +232,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if n > max_train:
         truth = truth.filter(F.expr(f"pmod(xxhash64(_id), 1000000) < {max_train * 1_000_000 // n}"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    train = scratch.table("train", texts.join(truth, "_id").select("text", "toxic"))
+    # The sample has about `max_train` rows at most, so it is broadcast and texts stay where they are.
+    train = scratch.table("train", texts.join(F.broadcast(truth), "_id").select("text", "toxic"))
     base = train.agg(F.avg("toxic"), F.count("*")).first()
     base_rate = float(base[0] or 0.0)
     if not 0 < base_rate < 1:
