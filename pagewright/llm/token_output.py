@@ -26,10 +26,13 @@ from pyspark.sql import functions as F
 
 SHARD_TOKENS = 1 << 21
 BLOCK = 512
-CACHE_WORDS = 500_000
+CACHE_WORDS, CACHE_PIECES = 500_000, 800_000
 SHARD_SCHEMA = "part int, seq int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, planes array<binary>, ranks array<binary>, zeros array<long>"
 #: A space between white space, or at a text's end after white space: here the pre-tokenizer joins what a split would part.
 JOINED_SPACE = re.compile(r"\s (?:\s|\Z)")
+#: Western letters, other signs (no apostrophe, which may begin a contraction), a line's end, and letters and signs again:
+#: the pre-tokenizer parts a word between any two of these.
+PIECES = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
 
 
 class WaveletMatrix:
@@ -44,9 +47,9 @@ class WaveletMatrix:
         for b in range(width - 1, -1, -1):
             bit = ((ids >> ids.dtype.type(b)) & ids.dtype.type(1)).astype(bool)
             planes.append(np.packbits(bit))
-            pad = np.zeros(-(-len(bit) // BLOCK) * BLOCK, np.uint8)
-            pad[: len(bit)] = bit
-            ranks.append(np.concatenate([[0], np.cumsum(pad.reshape(-1, BLOCK).sum(axis=1, dtype=np.uint32))]).astype("<u4"))
+            ones = np.zeros(-(-len(bit) // BLOCK) * BLOCK // 64, np.uint64)
+            ones.view(np.uint8)[: len(planes[-1])] = planes[-1]
+            ranks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(ones).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32))]).astype("<u4"))
             zeros.append(int(len(bit) - ranks[-1][-1]))
             ids = np.concatenate([ids[~bit], ids[bit]])
         return cls(planes, ranks, zeros, len(ids))
@@ -116,11 +119,21 @@ class WaveletMatrix:
         return out
 
 
+class Memory(dict):
+    """Words kept for good, and the `rest` that only the present batch holds."""
+
+    rest: dict[str, bytes]
+
+    def __missing__(self, word: str) -> bytes:
+        return self.rest[word]
+
+
 class Encoder:
     """Ids of whole texts from the tokenizers library, remembering words.
 
     The byte-level pre-tokenizer never joins across a space that follows a character other than white space or precedes
-    one, so such a text's ids are those of its space-led words in turn. Other texts go to the library whole.
+    one, so such a text's ids are those of its space-led words in turn. Other texts go to the library whole. A new word
+    is put together from its pieces where it has that form, so that one met with another sign or line end costs little.
     """
 
     def __init__(self, path: str):
@@ -129,7 +142,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {"": b""}
+        self.words = Memory()
+        self.pieces: dict[str, bytes] = {"": b""}
         self.width = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kind = np.dtype("<u2" if self.width <= 16 else "<u4")
 
@@ -137,19 +151,25 @@ class Encoder:
         code = {2: "H", 4: "I"}[self.kind.itemsize]
         return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words as `encode` splits them: a space goes before each but the first of a text, which a NUL marks."""
+        parts = [m.groups() if (m := PIECES.fullmatch(w)) else (w,) for w in (w[1:] if w[:1] == "\0" else " " + w for w in words)]
+        known = self.pieces
+        new = list({p for ps in parts for p in ps if p not in known})
+        coded = dict(zip(new, self._batch(new)))
+        if len(known) < CACHE_PIECES:
+            known.update(coded)
+        return {w: b"".join([known[p] if p in known else coded[p] for p in ps]) for w, ps in zip(words, parts)}
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if JOINED_SPACE.search(t) else (" " + t).replace(" ", "\0 ").split("\0")[1:] if "\0" not in t else None for t in texts]
-        for words in split:
-            if words:
-                words[0] = words[0][1:]
+        split = [None if "\0" in t or JOINED_SPACE.search(t) else ("\0" + t).split(" ") for t in texts]
         known = self.words
-        new = list({w for words in split if words for w in words if w not in known})
-        coded = dict(zip(new, self._batch(new)))
+        coded = self._words(list(set().union(*filter(None, split)).difference(known)))
         if len(known) < CACHE_WORDS:  # words met first, so mostly the frequent ones, stay
             known.update(coded)
-        get = known.__getitem__ if len(known) < CACHE_WORDS else lambda w: known[w] if w in known else coded[w]
+        known.rest = coded
         whole = iter(self._batch([t for t, words in zip(texts, split) if words is None]))
-        return [np.frombuffer(next(whole) if words is None else b"".join(map(get, words)), self.kind) for words in split]
+        return [np.frombuffer(next(whole) if words is None else b"".join(map(known.__getitem__, words)), self.kind) for words in split]
 
 
 @functools.cache
@@ -168,8 +188,8 @@ def _shards(path: str, end_id: int):
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_tokens": w.n, "doc_ids": docs, "doc_tokens": counts, "planes": [p.tobytes() for p in w.planes], "ranks": [r.tobytes() for r in w.ranks], "zeros": w.zeros}], SHARD_ARROW)
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                rows = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, 1024):
+                rows = batch.slice(i, 1024)
                 texts = [t or "" for t in rows.column(2).to_pylist()]
                 for p, doc, x in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), words.encode(texts)):
                     if ids and (p != part or held + len(x) + 1 > SHARD_TOKENS):
