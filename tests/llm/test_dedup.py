@@ -151,3 +151,15 @@ def test_passages_match_brute_force(spark):
             span = texts[r.doc_id].split()[r.begin : r.end]
             assert set(shared[r.doc_id % 4]) <= set(span) and len(span) <= 90  # a line repeated close by may join
     assert passages.repeated_passages(df.limit(0)).count() == 0
+
+
+def test_a_passage_after_a_short_common_stretch(spark):
+    """Equal words 0-29, other words 30-39, equal words 40-95, at the same places of both documents."""
+    fresh = itertools.count()
+    prose = lambda n: [f"t{next(fresh)}" for _ in range(n)]
+    texts = []
+    for _ in range(60):
+        head, tail = prose(30), prose(56)
+        texts += [" ".join(head + prose(10) + tail) for _ in range(2)]
+    got = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.begin <= 40 and r.end == 96} == set(range(120))
