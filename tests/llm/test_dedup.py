@@ -163,3 +163,16 @@ def test_a_passage_after_a_short_common_stretch(spark):
         texts += [" ".join(head + prose(10) + tail) for _ in range(2)]
     got = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id for r in got if r.begin <= 40 and r.end == 96} == set(range(120))
+
+
+def test_a_confirmed_stretch_leaves_other_partners(spark):
+    """A document's words 0-95 stand in one document and its words 60-114 in another: both are its partners."""
+    fresh = itertools.count()
+    prose = lambda n: [f"t{next(fresh)}" for _ in range(n)]
+    texts = []
+    for _ in range(60):
+        w = prose(131)
+        texts += [" ".join(prose(20) + w[60:115] + prose(20)), " ".join(w), " ".join(w[:96] + prose(20))]
+    got = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    spans = {(r.doc_id, r.begin, r.end) for r in got}
+    assert spans == {x for i in range(0, 180, 3) for x in ((i, 20, 75), (i + 1, 0, 115), (i + 2, 0, 96))}
