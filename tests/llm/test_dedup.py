@@ -176,3 +176,17 @@ def test_a_confirmed_stretch_leaves_other_partners(spark):
     got = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     spans = {(r.doc_id, r.begin, r.end) for r in got}
     assert spans == {x for i in range(0, 180, 3) for x in ((i, 20, 75), (i + 1, 0, 115), (i + 2, 0, 96))}
+
+
+def test_members_that_share_only_a_core_with_the_first_and_last(spark):
+    """Forty documents hold one core of 45 words; pairs of them, not the first and the last, share the words after it too."""
+    fresh = itertools.count()
+    prose = lambda n: [f"t{next(fresh)}" for _ in range(n)]
+    core = prose(45)
+    texts = [" ".join(prose(60) + core + prose(60))]
+    for _ in range(19):
+        after = prose(5)
+        texts += [" ".join(prose(60) + core + after + prose(60)) for _ in range(2)]
+    texts.append(" ".join(prose(60) + core + prose(60)))
+    got = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.begin, r.end, r.partner_id) for r in got} == {(i, 60, 110, i + 1 if i % 2 else i - 1) for i in range(1, 39)}
