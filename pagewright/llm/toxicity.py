@@ -3,7 +3,7 @@
 The lexicon is learned from labelled rows: words, and word beginnings shared by several words, whose documents are
 nearly always toxic. It is held in a trie; the trie's product with Levenshtein automata (one edit from SHORT_TERM
 letters, two from LONG_TERM) is made deterministic lazily, so a word costs one table step per letter and most words end
-after the first. Look-alike characters are folded first. What a misspelling is worth comes from how often the labelled
+after a few; the first letter may be edited like any other. Look-alike characters are folded first. What a misspelling is worth comes from how often the labelled
 rows that hold one are toxic; words that merely resemble a term and are common in clean rows are exceptions.
 
 For each hit the words around it are inspected: quotation marks or words that report speech make it a quotation, and
@@ -53,13 +53,17 @@ class LexiconAutomaton:
     def __init__(self, terms: list[str], prefixes: list[str] = ()):
         self.children: list[dict[str, int]] = [{}]
         self.ends: dict[int, str] = {}
+        self.most: list[int] = [0]  # edits that some term below a node allows
         for term in terms:
             node = 0
+            self.most[0] = max(self.most[0], self.allowed(term))
             for c in term:
                 if c not in self.children[node]:
                     self.children.append({})
+                    self.most.append(0)
                     self.children[node][c] = len(self.children) - 1
                 node = self.children[node][c]
+                self.most[node] = max(self.most[node], self.allowed(term))
             self.ends[node] = term
         self.prefixes = set(prefixes)
         self.prefix_lengths = sorted({len(p) for p in prefixes}, reverse=True)
@@ -73,15 +77,15 @@ class LexiconAutomaton:
         return 0 if len(term) < SHORT_TERM else 1 if len(term) < LONG_TERM else 2
 
     def _state(self, items: set) -> int:
-        """Close under missing letters (never the first one), keep the least edits per node, and number the set."""
+        """Close under missing letters, keep the least edits per node where a term allows them, and number the set."""
         best: dict[int, int] = {}
         todo = list(items)
         while todo:
             node, edits = todo.pop()
-            if edits >= best.get(node, 3):
+            if edits >= best.get(node, self.most[node] + 1):
                 continue
             best[node] = edits
-            if edits < 2 and node:
+            if edits < self.most[node]:
                 todo += [(child, edits + 1) for child in self.children[node].values()]
         key = frozenset(best.items())
         if key not in self.states:
@@ -95,7 +99,7 @@ class LexiconAutomaton:
         for node, edits in self.items[state]:
             if c in self.children[node]:
                 out.add((self.children[node][c], edits))
-            if edits < 2 and node:  # the first letter has to agree
+            if edits < self.most[node]:
                 out.add((node, edits + 1))
                 out |= {(child, edits + 1) for child in self.children[node].values()}
         self.moves[state][c] = to = self._state(out)

@@ -82,6 +82,14 @@ def test_automaton_matches_edit_distance():
             assert (found and (found[1], found[0])) == want, word
 
 
+def test_automaton_edits_the_first_letter():
+    automaton = toxicity.LexiconAutomaton(["stinkard", "worthless", "scum"])
+    for word in ("*tinkard", "tinkard", "tsinkard", "xstinkard", "zxworthless", "orthles"):
+        d = 2 if word in ("tsinkard", "zxworthless", "orthles") else 1
+        assert automaton.match(word) == ((("worthless" if "o" in word else "stinkard"), d) if d == 1 or "o" in word else None), word
+    assert automaton.match("xcum") is None and automaton.match("zzworthles") is None
+
+
 def toxic_corpus(n=600):
     rng = random.Random(3)
     clean = [f"{a}{b}" for a in ("ba", "do", "ki", "lu", "ne") for b in ("ral", "min", "tos", "ver", "gup")]
