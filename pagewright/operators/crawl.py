@@ -92,17 +92,20 @@ def link_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return rows.withColumn("canonical", urls.canonicalize(F.col("target")))
 
 
-def discover(edges: DataFrame, roots: DataFrame, save: Callable, max_depth: int = 20, limit: int = LIMIT) -> DataFrame:
+def discover(edges: DataFrame, roots: DataFrame, save: Callable, max_depth: int | None = None, limit: int = LIMIT) -> DataFrame:
     """Breadth-first discovery over stored links (source, target canonical): job_id, url, depth, up to `limit` URLs a job.
 
-    Each round joins the frontier with the links and drops URLs already seen; images, documents and assets are listed
-    but not followed.
+    Each round joins the frontier with the links and drops URLs already seen, until no job below its limit has new ones;
+    images, documents and assets are listed but not followed.
     """
     seen = save("frontier-0", roots.select("job_id", urls.canonicalize(F.col("root")).alias("url"), F.lit(0).alias("depth")))
-    front = seen
-    for depth in range(1, max_depth + 1):
+    front, depth = seen, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = front.filter(urls.is_crawlable(F.col("url"))).join(edges.select(F.col("source").alias("url"), "target"), "url").select("job_id", F.col("target").alias("url")).filter("url is not null").distinct()
-        front = save(f"frontier-{depth}", step.join(seen.select("job_id", "url"), ["job_id", "url"], "left_anti").withColumn("depth", F.lit(depth)))
+        full = seen.groupBy("job_id").count().filter(F.col("count") >= limit)
+        step = step.join(full, "job_id", "left_anti").join(seen.select("job_id", "url"), ["job_id", "url"], "left_anti")
+        front = save(f"frontier-{depth}", step.withColumn("depth", F.lit(depth)))
         if front.limit(1).count() == 0:
             break
         seen = seen.unionByName(front)

@@ -141,7 +141,7 @@ def frontier_bfs_depth(spark, sf_dir):
     save = Stages(spark, "frontier")
     edges = save("edges", crawl.link_edges(table(spark, sf_dir, "pages")).select(urls.canonicalize(F.col("url")).alias("source"), F.col("canonical").alias("target")).distinct())
     roots = host_pages(spark, sf_dir).groupBy("job_id").agg(F.min_by("url", "ord").alias("root"))
-    return crawl.discover(edges, roots, save, max_depth=3)
+    return crawl.discover(edges, roots, save)
 
 
 @query(f"SELECT job_id, len(prefix) AS depth, prefix[-1] AS segment, count(*) AS n FROM (SELECT DISTINCT job_id, list_slice(segs, 1, n) AS prefix FROM (SELECT job_id, segs, unnest(range(1, len(segs) + 1)) AS n FROM (SELECT DISTINCT job_id, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs FROM ({URLS})))) GROUP BY ALL")
