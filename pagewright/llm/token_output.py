@@ -132,8 +132,9 @@ class Encoder:
     """Ids of whole texts from the tokenizers library, remembering words.
 
     The byte-level pre-tokenizer never joins across a space that follows a character other than white space or precedes
-    one, so such a text's ids are those of its space-led words in turn. Other texts go to the library whole. A new word
-    is put together from its pieces where it has that form, so that one met with another sign or line end costs little.
+    one, so such a text's ids are those of its space-led words in turn. Other texts, and those that hold a token added to
+    the vocabulary, go to the library whole. A new word is put together from its pieces where it has that form, so that
+    one met with another sign or line end costs little.
     """
 
     def __init__(self, path: str):
@@ -141,7 +142,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: What a text doesn't hold that is split here: added tokens, and NUL, which marks a text's first word.
+        self.unsplit = ["\0", *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
         self.words = Memory()
         self.pieces: dict[str, bytes] = {"": b""}
         self.width = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
@@ -162,7 +164,7 @@ class Encoder:
         return {w: b"".join([known[p] if p in known else coded[p] for p in ps]) for w, ps in zip(words, parts)}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if "\0" in t or JOINED_SPACE.search(t) else ("\0" + t).split(" ") for t in texts]
+        split = [None if any(x in t for x in self.unsplit) or JOINED_SPACE.search(t) else ("\0" + t).split(" ") for t in texts]
         known = self.words
         coded = self._words(list(set().union(*filter(None, split)).difference(known)))
         if len(known) < CACHE_WORDS:  # words met first, so mostly the frequent ones, stay
