@@ -3,8 +3,9 @@
 The lexicon is learned from labelled rows: words, and word beginnings shared by several words, whose documents are
 nearly always toxic. It is held in a trie; the trie's product with Levenshtein automata (one edit from SHORT_TERM
 letters, two from LONG_TERM) is made deterministic lazily, so a word costs one table step per letter and most words end
-after a few; the first letter may be edited like any other. Look-alike characters are folded first. What a misspelling is worth comes from how often the labelled
-rows that hold one are toxic; words that merely resemble a term and are common in clean rows are exceptions.
+after a few; the first letter may be edited like any other. Learned beginnings are nodes of the same trie that take no
+edit and accept any end. Look-alike characters are folded first. What a misspelling is worth comes from how often the
+labelled rows that hold one are toxic; words that merely resemble a term and are common in clean rows are exceptions.
 
 For each hit the words around it are inspected: quotation marks or words that report speech make it a quotation, and
 quoted hits enter the model as a feature of their own.
@@ -12,7 +13,8 @@ quoted hits enter the model as a feature of their own.
 Defined cases: a null, empty or blank text has no hits and gets the model's base score; labels that are null are
 ignored; without any labelled row of either kind every score is 0.5 times the share of toxic labels; repeated rows are
 scored alike; extra columns are ignored; an empty table gives an empty result. Whole texts are read. `max_train` bounds
-the labelled documents used for fitting (a fixed sample by hash of the id); counts inside that sample cover all of it.
+the labelled documents used for fitting (a fixed sample by hash of the id); counts inside that sample cover all of it,
+and so the lexicon is bounded by what that sample holds. Several rows of one labelled id are all learned from.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ QUOTES = set("\"“”„«»‟❝❞")
 # Words that report speech.
 REPORTING = {"said", "says", "quoted", "quote", "wrote", "called", "term", "word", "sagte", "zitat", "wort", "dit", "mot", "citation", "dijo", "palabra", "cita"}
 N_FEATURES = 7
+#: Words that a task remembers to be no hit; others are looked up again.
+CLEAN_WORDS = 200_000
 
 
 def fold(token: str) -> str:
@@ -55,23 +59,26 @@ class LexiconAutomaton:
         self.ends: dict[int, str] = {}
         self.most: list[int] = [0]  # edits that some term below a node allows
         for term in terms:
-            node = 0
-            self.most[0] = max(self.most[0], self.allowed(term))
-            for c in term:
-                if c not in self.children[node]:
-                    self.children.append({})
-                    self.most.append(0)
-                    self.children[node][c] = len(self.children) - 1
-                node = self.children[node][c]
-                self.most[node] = max(self.most[node], self.allowed(term))
-            self.ends[node] = term
-        self.prefixes = set(prefixes)
-        self.prefix_lengths = sorted({len(p) for p in prefixes}, reverse=True)
+            self.ends[self._add(term, self.allowed(term))] = term
+        self.begun = {self._add(p, 0): p for p in prefixes}
         self.states: dict[frozenset, int] = {}
         self.items: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
+        self.beginning: list[str | None] = []  # the learned beginning that a state has just read
         self.start = self._state({(0, 0)})
 
+    def _add(self, term: str, edits: int) -> int:
+        node = 0
+        self.most[0] = max(self.most[0], edits)
+        for c in term:
+            if c not in self.children[node]:
+                self.children.append({})
+                self.most.append(0)
+                self.children[node][c] = len(self.children) - 1
+            node = self.children[node][c]
+            self.most[node] = max(self.most[node], edits)
+        return node
+
     @staticmethod
     def allowed(term: str) -> int:
         return 0 if len(term) < SHORT_TERM else 1 if len(term) < LONG_TERM else 2
@@ -92,6 +99,7 @@ class LexiconAutomaton:
             self.states[key] = len(self.items)
             self.items.append(key)
             self.moves.append({})
+            self.beginning.append(next((self.begun[n] for n, e in key if not e and n in self.begun), None))
         return self.states[key]
 
     def _move(self, state: int, c: str) -> int:
@@ -107,18 +115,19 @@ class LexiconAutomaton:
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The closest term and its distance: exact, then a learned beginning (distance 0), then misspelled."""
-        state = self.start
-        for c in word:
+        state, begun = self.start, None
+        for i, c in enumerate(word):
             to = self.moves[state].get(c)
             state = self._move(state, c) if to is None else to
             if not self.items[state]:
                 break
-        found = min(((e, self.ends[n]) for n, e in self.items[state] if n in self.ends and e <= self.allowed(self.ends[n])), default=None) if self.items[state] else None
+            if self.beginning[state] and i + 1 < len(word):
+                begun = self.beginning[state]
+        found = min(((e, self.ends[n]) for n, e in self.items[state] if n in self.ends and e <= self.allowed(self.ends[n])), default=None)
         if found and not found[0]:
             return found[1], 0
-        for n in self.prefix_lengths:
-            if len(word) > n and word[:n] in self.prefixes:
-                return word[:n] + "-", 0
+        if begun:
+            return begun + "-", 0
         return (found[1], found[0]) if found else None
 
 
@@ -155,7 +164,7 @@ class Model:
             found = self.lookup(token)
             if found:
                 hits[token] = found
-            elif len(clean) < 500_000:
+            elif len(clean) < CLEAN_WORDS:
                 clean.add(token)
         found = distinct & hits.keys()
         if not found:
@@ -175,7 +184,7 @@ class Model:
                     fuzzy += distance > 0
                     best[term] = max(best.get(term, 0.0), value)
         values = sorted(best.values(), reverse=True)
-        out[:] = (values[0] if values else 0.0, sum(values[1:6]), math.log1p(len(values)), math.log1p(abused), math.log1p(quoted), math.log1p(fuzzy), float(bool(values)))
+        out[:] = (values[0] if values else 0.0, math.log1p(sum(values[1:])), math.log1p(len(values)), math.log1p(abused), math.log1p(quoted), math.log1p(fuzzy), float(bool(values)))
         return out
 
     def score(self, text: str) -> float:
@@ -186,8 +195,8 @@ class Model:
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words, toxic = [], []
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = {w for w in map(fold, set((text or "").split())) if 2 < len(w) <= 40}
+        for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
+            found = {w for w in map(fold, set((text.as_py() or "").split())) if len(w) > 2}
             words += found
             toxic += [label] * len(found)
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int32())], names=["word", "toxic"])
@@ -207,7 +216,7 @@ def _resembling(model: Model):
 def _feature_rows(model: Model):
     def run(batches):
         for batch in batches:
-            rows = [[float(x) for x in model.features(t or "")] for t in batch.column(0).to_pylist()]
+            rows = [[float(x) for x in model.features(t.as_py() or "")] for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], names=["f", "toxic"])
 
     return run
@@ -228,7 +237,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     return [float(v) for v in w]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 30_000, min_share: float = 0.85, max_terms: int = 4096) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 30_000, min_share: float = 0.85) -> Model:
     """Learn the lexicon, the worth of misspellings and the logistic weights from labelled rows."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     truth = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")).filter("_id is not null and toxic in (0, 1)").dropDuplicates(["_id"])
@@ -246,12 +255,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     stats = train.dropDuplicates(["text"]).mapInArrow(_words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").cast("long").alias("pos"), F.count("*").alias("n"))
     stats = scratch.table("words", stats)
     odds = lambda pos, n: math.log((pos + 0.5) / (n - pos + 0.5)) - math.log(base_rate / (1 - base_rate))
-    strong = stats.filter(F.expr(f"pos >= 10 and pos >= {min_share} * n")).orderBy(F.desc("pos"), "word").limit(max_terms).collect()
-    begun = stats.filter("length(word) > 4 and pos > 0 or length(word) > 4").select(F.explode(F.expr("transform(sequence(4, least(6, length(word) - 1)), k -> substring(word, 1, k))")).alias("p"), "pos", "n")
+    strong = stats.filter(F.expr(f"pos >= 10 and pos >= {min_share} * n")).collect()
+    begun = stats.filter("length(word) > 4").select(F.explode(F.expr("transform(sequence(4, least(6, length(word) - 1)), k -> substring(word, 1, k))")).alias("p"), "pos", "n")
     begun = begun.groupBy("p").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.count("*").alias("words"))
-    begun = begun.filter(F.expr(f"words >= 5 and pos >= 15 and pos >= {min_share} * n")).orderBy(F.desc("pos"), "p").limit(max_terms).collect()
+    begun = begun.filter(F.expr(f"words >= 5 and pos >= 15 and pos >= {min_share} * n")).collect()
     prefixes: dict[str, float] = {}
-    for r in sorted(begun, key=lambda r: len(r.p)):
+    for r in sorted(begun, key=lambda r: (len(r.p), r.p)):
         if not any(r.p.startswith(p) for p in prefixes):
             prefixes[r.p] = odds(r.pos, r.n)
     model = Model({r.word: odds(r.pos, r.n) for r in strong}, prefixes, {}, set())
@@ -271,7 +280,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.score(t or "") for t in batch.column(1).to_pylist()]
+            scores = [model.score(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, score double")
@@ -283,7 +292,7 @@ def filter_documents(docs: DataFrame, model: Model, threshold: float = 0.3, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([model.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([model.score(t.as_py() or "") < threshold for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
