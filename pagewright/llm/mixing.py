@@ -118,10 +118,20 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The documents with each row as often as the mixture reads it.
 
-    Texts are not shuffled by source: a copy count per document id joins back to them.
+    Texts of ids that stand once are not shuffled by source: a copy count per document id joins back to them. Rows of one id
+    and source share its copies: each gets the whole part, and the first ones by hash of the text one of the rest.
     """
-    copies = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options).groupBy("doc_id", "source", "n_tokens").agg(F.count("*").alias("_n"))
-    same = docs.groupBy(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source")).agg(F.count("*").alias("_rows"))
-    counts = copies.groupBy("doc_id", "source").agg(F.sum("_n").alias("_n")).alias("k").join(same.alias("r"), near_keys("k", "r", ["doc_id", "source"])).select("k.doc_id", "k.source", "_n", "_rows").alias("k")
-    on = F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("k.doc_id")) & F.col(f"d.{source_col}").eqNullSafe(F.col("k.source"))
-    return docs.alias("d").join(counts, on).withColumn("_copy", F.explode(F.expr("sequence(1L, greatest(1L, _n div _rows))"))).select("d.*")
+    copies = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options).groupBy("doc_id", "source").agg(F.count("*").alias("copies"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"))
+    same = rows.groupBy("doc_id", "source").agg(F.count("*").alias("rows"))
+    counts = copies.alias("k").join(same.alias("r"), near_keys("k", "r", ["doc_id", "source"])).select("k.doc_id", "k.source", "copies", "rows")
+    met = rows.alias("d").join(counts.alias("k"), near_keys("d", "k", ["doc_id", "source"])).select("d.row", "k.*")
+    single = met.filter("rows = 1").select("row", "copies")
+    text = F.col("row").getField(text_col)
+    many = met.filter("rows > 1").withColumn("h", F.xxhash64(text)).withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS))
+    sums = many.groupBy("doc_id", "source", "bucket").agg(F.count("*").alias("t"))
+    before = sums.withColumn("before", F.sum("t").over(Window.partitionBy("doc_id", "source").orderBy("bucket")) - F.col("t"))
+    many = many.alias("m").join(before.alias("b"), near_keys("m", "b", ["doc_id", "source", "bucket"])).select("m.*", "b.before")
+    number = F.col("before") + F.row_number().over(Window.partitionBy("doc_id", "source", "bucket").orderBy("h"))
+    many = many.withColumn("number", number).select("row", F.expr("copies div rows + int(number <= copies % rows)").alias("copies"))
+    return single.unionByName(many).filter("copies > 0").select("row", F.explode(F.expr("sequence(1L, copies)"))).select("row.*")

@@ -67,3 +67,21 @@ def test_stages_keep_columns_and_take_empty_tables(spark, folder):
         assert out.columns == docs.columns and out.count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), path).count() == 0
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_stages_take_odd_rows(spark, folder):
+    """Null ids and texts, repeated rows, one very long text and further columns with clashing names pass every stage."""
+    path = folder[0]
+    long = " ".join(f"v{i % 977}" for i in range(60_000))
+    odd = [(None, "no id here at all today"), (1, None), (2, ""), (3, long), (4, "same row twice over there"), (4, "same row twice over there"), (5, "Same row twice  over there")]
+    rows = [(i, t, "en", None if i == 1 else "s", 0, "d", 1, 2, 3) for i, t in odd]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _drop string, _n int, copies int, row int")
+    want = [[None, 1, 2, 3, 4, 4, 5], [None, 1, 2, 3, 4, 4], [None, 1, 2, 3, 4, 4]]
+    for (name, stage), ids in zip(corpus_pipeline.STAGES, want):
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns, name
+        assert sorted((r.doc_id for r in out.collect()), key=lambda i: -1 if i is None else i) == ids, name
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    mixed = corpus_pipeline.STAGES[3][1](spark, docs, path)
+    assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} == {None, 1, 2, 3, 4}
+    assert corpus_pipeline.STAGES[4][1](spark, mixed, path).count() == mixed.count()

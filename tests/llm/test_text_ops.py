@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -168,6 +169,17 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixed_documents_shares_copies_among_rows_of_one_id(spark):
+    """Every row of `mix` is one row of the mixed documents, also for repeated ids and small budgets."""
+    rows = [(i % 7, f"word {'x ' * (i % 5)}", "ab"[i % 2], i) for i in range(40)] + [(None, "a b c", None, 0)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _n long")
+    for options in ({"max_repeats": 2.0}, {"max_repeats": 2.0, "budget_tokens": 31}):
+        plan, mixed = mixing.mix(df, **options).collect(), mixing.mixed_documents(df, **options).collect()
+        assert Counter((r.doc_id, r.source) for r in mixed) == Counter((r.doc_id, r.source) for r in plan)
+        again = mixing.mixed_documents(df, **options).collect()
+        assert Counter((r.doc_id, r.text) for r in again) == Counter((r.doc_id, r.text) for r in mixed)
+
+
 def test_exponent_meets_targets(spark):
     sources = spark.createDataFrame([("a", 1000), ("b", 100), ("c", 10), ("z", 0)], "source string, tokens long")
     alpha = mixing.exponent(sources, max_repeats=4.0)
