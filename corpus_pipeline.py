@@ -1,7 +1,12 @@
 """A corpus pipeline of training-data operators over `documents`.
 
 STAGES are (name, function) pairs; each function takes (spark, docs, sf_dir) and returns the documents that the next
-stage gets. All but the last keep the columns of `documents`.
+stage gets. All but the last keep the columns of `documents`, whatever further columns there are.
+
+Defined cases: every stage takes null ids, null, empty and very long texts, repeated rows and empty tables. A row with a
+null id is judged by its text for toxicity, never matched by id (so it stays in the stages that drop by id), mixed with
+the rows of its source and encoded first. Rows of one id stay or go together where a stage drops by id; of near
+duplicates with equal ids all stay, as the smallest id is theirs. Ties in similarity at a threshold count as reached.
 """
 
 from __future__ import annotations
@@ -21,16 +26,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.filter_documents(docs, model, threshold=0.3)
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id isn't among `ids` (a column doc_id)."""
+    gone = ids.select(F.struct(F.col("doc_id").cast("long").alias("id")).alias("gone")).distinct()
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.join(gone, F.col("row.doc_id").cast("long") == F.col("gone.id"), "left_anti").select("row.*")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (similarity 0.8) stays: the one with the smallest id."""
-    found = minhash_dedup.near_duplicates(docs, percent=80).filter("not kept").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(found, docs.doc_id == F.col("_drop"), "left_anti")
+    return without(docs, minhash_dedup.near_duplicates(docs, percent=80).filter("not kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold half of a benchmark item's words or more, in tiles of five words or more, go."""
-    found = decontamination.contaminated(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(found, docs.doc_id == F.col("_drop"), "left_anti")
+    return without(docs, decontamination.contaminated(docs, read(spark, sf_dir, "benchmark")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
