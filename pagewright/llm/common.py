@@ -11,16 +11,21 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: `spark.checkpoint.dir`, or a temporary one set here when it is unset."""
+    """The folder every executor can reach: `spark.checkpoint.dir`, or a temporary one where it is unset on a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pagewright-")
         spark.sparkContext.setCheckpointDir(base)
     return base
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage, so a lost executor costs a reread and not a recomputation."""
 
@@ -31,9 +36,15 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, name: str, df: DataFrame) -> DataFrame:
-        """Write `df` once and read it back from the shared folder."""
-        df.write.mode("overwrite").parquet(self.path(name))
+    def table(self, name: str, df: DataFrame, batch_bytes: int | None = None) -> DataFrame:
+        """Write `df` once and read it back from the shared folder. Python workers get batches of `batch_bytes` at most, if given."""
+        before = self.spark.conf.get(BATCH_BYTES)
+        try:
+            if batch_bytes:
+                self.spark.conf.set(BATCH_BYTES, batch_bytes)
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(BATCH_BYTES, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def size(self, name: str) -> int:

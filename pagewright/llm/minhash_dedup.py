@@ -31,6 +31,10 @@ BANDS, ROWS = 24, 5
 SLACK = 6.0
 #: Size of the table that tells tasks which ids are candidates.
 TABLE_BITS = 23
+#: Rows of a chunk whose signatures are compared; rows, and shingles of 8 bytes, of a chunk whose sets are.
+BLOCK_ROWS, SET_ROWS, SET_SHINGLES = 2048, 256, 1 << 18
+#: Bytes of a batch of set pairs that a Python worker gets at once.
+PAIR_BYTES = 16 << 20
 
 
 def _signatures(k: int, bands: int, rows: int):
@@ -58,7 +62,8 @@ def _signatures(k: int, bands: int, rows: int):
                     batch.column(0).slice(i, j - i), pa.array(counts), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * bands, bands, dtype=np.int32)), pa.array(keys.view(np.int64).ravel())),
                     pa.array([sig[t].tobytes() if counts[t] else None for t in range(j - i)], pa.binary()),
-                ], names=["doc_id", "n_shingles", "h1", "h2", "bands", "sig"])
+                    pa.array([sig[t].astype(np.uint8).tobytes() if counts[t] else None for t in range(j - i)], pa.binary()),
+                ], names=["doc_id", "n_shingles", "h1", "h2", "bands", "sig", "tag"])
 
     return run
 
@@ -95,11 +100,8 @@ def _overlap(percent: int):
     def run(batches):
         for batch in batches:
             rows = []
-            last_id, last = None, None
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                if a != last_id or last is None or last.nbytes != len(x):
-                    last_id, last = a, np.frombuffer(x, np.uint64)
-                other = np.frombuffer(y, np.uint64)
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                last, other = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(last, other, assume_unique=True))
                 union = len(last) + len(other) - both
                 if 100 * both >= percent * union:
@@ -118,25 +120,26 @@ def _confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, scratch: Scrat
     sets = scratch.table(f"sets-{tag}", _full_sets(texts, ids, k))
     x, y = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
     found = close.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_overlap(percent), "a long, b long, inter long, uni long")
-    found = scratch.table(f"links-{tag}", found.distinct())
+    found = scratch.table(f"links-{tag}", found.distinct(), PAIR_BYTES)
     scratch.drop(f"close-{tag}", f"sets-{tag}")
     return found
 
 
-def _blocks(placed: DataFrame, chunk: int) -> DataFrame:
+def _blocks(placed: DataFrame, rows: int, shingles: int | None = None) -> DataFrame:
     """Rows (bucket, kind, i, j, side, part, rep, component): a bucket of several components, cut into blocks of bounded size.
 
     The bucket's largest component is never compared with itself: its chunks meet the other members' chunks (kind m), and
-    those meet each other (kind o).
+    those meet each other (kind o). A chunk holds about `rows` rows and, if given, about `shingles` shingles at most.
     """
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n")).filter("n > main.n")
-    sizes = sizes.selectExpr("bucket", "main.component as main", f"cast(ceil(main.n / {chunk}) as int) as nm", f"cast(ceil((n - main.n) / {chunk}) as int) as no")
-    rows = placed.join(sizes, "bucket").withColumn("side", F.col("component") == F.col("main"))
-    rows = rows.withColumn("part", F.expr("cast(pmod(xxhash64(rep), if(side, nm, no)) as int)"))
+    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component", "w")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w")).filter("n > main.n")
+    parts = lambda n, w: F.expr(f"cast(ceil(greatest(0, ({n}) / {rows}" + (f", ({w}) / {shingles}" if shingles else "") + ")) as int)")
+    sizes = sizes.select("bucket", F.col("main.component").alias("main"), parts("main.n", "main.w").alias("nm"), parts("n - main.n", "w - main.w").alias("no"))
+    cut = placed.join(sizes, "bucket").withColumn("side", F.col("component") == F.col("main"))
+    cut = cut.withColumn("part", F.expr("cast(pmod(xxhash64(rep), if(side, nm, no)) as int)"))
     mine = "transform(sequence(0, no - 1), x -> named_struct('kind', 'm', 'i', part, 'j', x))"
     theirs = "concat(transform(sequence(0, nm - 1), x -> named_struct('kind', 'm', 'i', x, 'j', part)), transform(sequence(0, no - 1), x -> named_struct('kind', 'o', 'i', least(x, part), 'j', greatest(x, part))))"
-    return rows.withColumn("at", F.explode(F.expr(f"if(side, {mine}, {theirs})"))).select("bucket", "at.*", "side", "part", "rep", "component")
+    return cut.withColumn("at", F.explode(F.expr(f"if(side, {mine}, {theirs})"))).select("bucket", "at.*", "side", "part", "rep", "component")
 
 
 def _cross(kind: str, i: int, j: int, table: pa.Table):
@@ -150,11 +153,14 @@ def _cross(kind: str, i: int, j: int, table: pa.Table):
 
 
 def _promising(least: int):
-    """Ids of a block whose signature agrees enough with that of a row of another component."""
+    """Ids of a block whose signature agrees enough with that of a row of another component.
+
+    One byte of each minimum is compared: equal minima agree in it, so this lets no pair go that whole minima would keep.
+    """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         _, kind, i, j = (x.as_py() for x in key)
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(table.num_rows, -1)
+        sig = np.frombuffer(b"".join(table.column("tag").to_pylist()), np.uint8).reshape(table.num_rows, -1)
         keep = np.zeros(table.num_rows, bool)
         for x, y in _cross(kind, i, j, table):
             y = y[(sig[y] == sig[x]).sum(axis=1) >= least]
@@ -191,7 +197,7 @@ def _compare(percent: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         _, kind, i, j = (x.as_py() for x in key)
         rep, comp = (table.column(c).to_numpy() for c in ("rep", "component"))
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
         size = np.array([len(x) for x in sets])
         inter = _intersections(sets)
         out, joined = [], {}
@@ -213,13 +219,16 @@ def _compare(percent: int):
     return run
 
 
-def _across(placed: DataFrame, reps: DataFrame, texts: DataFrame, scratch: Scratch, k: int, percent: int, least: int, chunk: int = 256) -> DataFrame:
-    """Links between rows of one bucket and different components. Signatures alone say which rows need their sets."""
+def _across(placed: DataFrame, reps: DataFrame, texts: DataFrame, scratch: Scratch, k: int, percent: int, least: int) -> DataFrame:
+    """Links between rows of one bucket and different components. Signatures alone say which rows need their sets.
+
+    A block's sets are bounded by their bytes, so only a single text longer than that makes a larger one.
+    """
     block = ["bucket", "kind", "i", "j"]
-    rough = _blocks(placed, chunk).join(reps.select("rep", "sig"), "rep").groupBy(*block).applyInArrow(_promising(least), "rep long")
+    rough = _blocks(placed, BLOCK_ROWS).join(reps.select("rep", "tag"), "rep").groupBy(*block).applyInArrow(_promising(least), "rep long")
     ids = scratch.table("promising", rough.distinct())
     sets = scratch.table("sets-rest", _full_sets(texts, ids, k))
-    blocks = _blocks(scratch.table("placed-rest", placed.join(ids, "rep", "left_semi")), chunk)
+    blocks = _blocks(scratch.table("placed-rest", placed.join(ids, "rep", "left_semi")), SET_ROWS, SET_SHINGLES)
     return blocks.join(sets, "rep").groupBy(*block).applyInArrow(_compare(percent), "a long, b long, inter long, uni long")
 
 
@@ -231,18 +240,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     j = percent / 100
     least = max(0, int(n * j - SLACK * (n * j * (1 - j)) ** 0.5))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sigs = scratch.table("sigs", texts.mapInArrow(_signatures(k, bands, rows), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig binary"))
+    sigs = scratch.table("sigs", texts.mapInArrow(_signatures(k, bands, rows), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig binary, tag binary"))
 
     usable = sigs.filter("n_shingles > 0 and doc_id is not null")
     classes = scratch.table("classes", usable.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     copies = usable.select("doc_id", "h1", "h2", "n_shingles").join(classes, ["h1", "h2", "n_shingles"]).select("doc_id", "rep", "h1", "h2", "n_shingles")
     copies = scratch.table("copies", copies)
     # A class's own row is the one of its smallest id; rows of the same id and set count once.
-    reps = usable.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "h1", "h2", "n_shingles"], "left_semi").select(F.col("doc_id").alias("rep"), "bands", "sig")
+    reps = usable.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "h1", "h2", "n_shingles"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sig", "tag")
     reps = scratch.table("reps", reps.dropDuplicates(["rep", "sig"]))
     rep_texts = texts.filter("doc_id is not null")
 
-    keyed = reps.select("rep", F.explode("bands").alias("bucket"))
+    keyed = reps.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     hubs = keyed.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).filter("hub < top").select("bucket", "hub")
     hubs = scratch.table("hubs", hubs)
     shared = scratch.table("shared", keyed.join(hubs, "bucket"))
@@ -251,7 +260,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     nodes = scratch.table("nodes", connected(links.select("a", "b"), scratch, "star"))
 
     # Buckets that the first round leaves in several components: pairs across components, once each.
-    placed = shared.select("bucket", "rep").join(nodes.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = shared.select("bucket", "rep", "n_shingles").join(nodes.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = scratch.table("placed", placed)
     more = scratch.table("links-rest", _across(placed, reps, rep_texts, scratch, k, percent, least))
 
