@@ -12,9 +12,10 @@ ids come first; extra columns are ignored; an empty table gives no shard and no
 
 from __future__ import annotations
 
-import functools
+import contextlib
 import os
 import re
+import threading
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -26,7 +27,12 @@ from pyspark.sql import functions as F
 
 SHARD_TOKENS = 1 << 21
 BLOCK = 512
-CACHE_WORDS, CACHE_PIECES = 500_000, 800_000
+CACHE_WORDS, CACHE_PIECES = 500_000, 500_000
+IDLE_SECONDS = 5
+#: Documents encoded together, so that a word they share is looked up once.
+ROWS = 512
+#: Pieces that go to the library at once.
+BATCH = 2048
 SHARD_SCHEMA = "part int, seq int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, planes array<binary>, ranks array<binary>, zeros array<long>"
 #: A space between white space, or at a text's end after white space: here the pre-tokenizer joins what a split would part.
 JOINED_SPACE = re.compile(r"\s (?:\s|\Z)")
@@ -151,7 +157,10 @@ class Encoder:
 
     def _batch(self, texts: list[str]) -> list[bytes]:
         code = {2: "H", 4: "I"}[self.kind.itemsize]
-        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for i in range(0, len(texts), BATCH):  # the library's results take far more memory than the ids
+            out += [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + BATCH], add_special_tokens=False)]
+        return out
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words as `encode` splits them: a space goes before each but the first of a text, which a NUL marks."""
@@ -174,15 +183,30 @@ class Encoder:
         return [np.frombuffer(next(whole) if words is None else b"".join(map(known.__getitem__, words)), self.kind) for words in split]
 
 
-@functools.cache
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker, so that its word memory serves all tasks that the worker runs."""
-    return Encoder(path)
+_encoders: dict[str, Encoder] = {}
+_users: list[threading.Timer | None] = [None]
+
+
+@contextlib.contextmanager
+def encoder(path: str) -> Iterator[Encoder]:
+    """One encoder for each Python worker, so that its word memory serves all its tasks; freed when none has come for a while."""
+    if _users[0]:
+        _users[0].cancel()
+    words = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
+    try:
+        yield words
+    finally:
+        _users[0] = threading.Timer(IDLE_SECONDS, _encoders.clear)
+        _users[0].daemon = True
+        _users[0].start()
 
 
 def _shards(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(path)
+        with encoder(path) as words:
+            yield from shards(words, batches)
+
+    def shards(words: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, held, ids, docs, counts = None, 0, 0, [], [], []
 
         def flush():
@@ -190,8 +214,8 @@ def _shards(path: str, end_id: int):
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_tokens": w.n, "doc_ids": docs, "doc_tokens": counts, "planes": [p.tobytes() for p in w.planes], "ranks": [r.tobytes() for r in w.ranks], "zeros": w.zeros}], SHARD_ARROW)
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                rows = batch.slice(i, 1024)
+            for i in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(i, ROWS)
                 texts = [t or "" for t in rows.column(2).to_pylist()]
                 for p, doc, x in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), words.encode(texts)):
                     if ids and (p != part or held + len(x) + 1 > SHARD_TOKENS):
