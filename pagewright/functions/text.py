@@ -9,6 +9,7 @@ IMAGE = r"!\[[^\]]*\]\([^)]+\)"
 LINK = r"\[([^\]]+)\]\([^)]+\)"
 #: White space as browsers see it: ASCII white space, no-break space and the Unicode spaces.
 SPACE = r"[\s   -     　﻿]"
+OTHER_SPACE = f"[{SPACE[1:-1]}&&[^ ]]"
 #: Word boundaries that count ASCII letters, digits and underscore as word characters.
 LEFT, RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 # Image and document extensions that aren't body text.
@@ -21,7 +22,8 @@ def let(value: Column, body) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, f"{SPACE}+", " "), r"^ | \z", "")
+    """White space as single spaces, none at the ends. Only runs that aren't a single space already are matched."""
+    return F.regexp_replace(F.regexp_replace(text, f" ?{OTHER_SPACE}{SPACE}*|  {SPACE}*", " "), r"^ | \z", "")
 
 
 def lines(text: Column) -> Column:
@@ -38,7 +40,7 @@ def normalize_body(markdown: Column) -> Column:
     """Plain lower-case text of Markdown, for comparing bodies."""
     text = F.regexp_replace(F.regexp_replace(markdown, IMAGE, " "), LINK, "$1")
     text = F.regexp_replace(F.regexp_replace(text, r"https?://\S+", " "), r"[#*_`>|-]+", " ")
-    return squeeze(F.lower(F.regexp_replace(text, f"(?i){LEFT}({'|'.join(FILE_WORDS)}){RIGHT}", " ")))
+    return squeeze(F.lower(F.regexp_replace(text, f"(?i)(?=[gjpsw]){LEFT}({'|'.join(FILE_WORDS)}){RIGHT}", " ")))
 
 
 def normalize_markdown(markdown: Column) -> Column:

@@ -20,50 +20,65 @@ def with_bodies(pages: DataFrame, text_col: str = "cleanedMarkdown") -> DataFram
     return out.withColumn("bucket", length_bucket(F.col("chars")))
 
 
-def exact_duplicates(rows: DataFrame) -> DataFrame:
+def exact_duplicates(rows: DataFrame, save) -> DataFrame:
     """job_id, ord, first_ord: the first page of the job with the same body, for bodies of 50 characters or more.
 
-    Bodies meet by hash; the first page comes from a grouped minimum and joins back.
+    Bodies meet by hash, which is written once with `save(name, df)`; the first page comes from a grouped minimum and joins back.
     """
-    keyed = rows.filter(F.col("chars") >= SHORTEST).select("job_id", "ord", F.sha2("body", 256).alias("h"))
+    hashed = rows.select("job_id", "ord", F.when(F.col("chars") >= SHORTEST, F.sha2("body", 256)).alias("h"))
+    keyed = save("body-hashes", hashed).filter("h is not null")
     firsts = keyed.groupBy("job_id", "h").agg(F.min("ord").alias("first_ord"))
     return keyed.join(firsts, ["job_id", "h"]).select("job_id", "ord", "first_ord")
 
 
-def candidate_pairs(rows: DataFrame, most: int | None = CANDIDATES, key: str = "fingerprint") -> DataFrame:
-    """Pairs (a before b) with equal fingerprint and length buckets at most two apart, at most `most` for each a in (offset, order)."""
-    left = rows.select("job_id", key, F.col("ord").alias("a"), F.explode(F.sequence(F.lit(-2), F.lit(2))).alias("offset"), "bucket").withColumn("bucket", F.col("bucket") + F.col("offset"))
-    right = rows.select("job_id", key, "bucket", F.col("ord").alias("b"))
-    pairs = left.join(right, ["job_id", key, "bucket"]).filter("b > a")
-    if most is not None:
-        pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("job_id", "a").orderBy("offset", "b"))).filter(F.col("rank") <= most)
-    return pairs.select("job_id", "a", "b")
+def shingle_sets(rows: DataFrame) -> DataFrame:
+    """Hashed sets of 3-word shingles: job_id, ord, fingerprint, chars, bucket, s."""
+    return rows.select("job_id", "ord", "fingerprint", "chars", "bucket", F.transform(shingles(F.col("body")), lambda s: F.xxhash64(s)).alias("s"))
 
 
-def sharing_pairs(rows: DataFrame, threshold: float, key: str = "fingerprint") -> DataFrame:
+def sharing_pairs(sets: DataFrame, threshold: float, key: str = "fingerprint") -> DataFrame:
     """Pairs (a before b) that may reach the threshold: they share one of their rarest shingles.
 
     A set of n shingles whose similarity to another is t or more shares one of its n - ceil(t n) + 1 rarest with it, so
-    only those meet in the join, and common shingles hardly do.
+    only those meet in the join, and common shingles hardly do. Shingles of one page only come first among the rarest and
+    meet nobody, so they are counted and not carried further.
     """
-    sets = rows.select("job_id", key, "ord", F.transform(shingles(F.col("body")), lambda s: F.xxhash64(s)).alias("s"))
     each = sets.select("job_id", key, "ord", F.size("s").alias("n"), F.explode("s").alias("s"))
-    counts = each.groupBy("job_id", key, "s").agg(F.count("*").alias("df"))
+    counts = each.groupBy("job_id", key, "s").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = each.join(counts, ["job_id", key, "s"])
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("job_id", "ord").orderBy("df", "s")))
-    rare = ranked.filter((F.col("r") <= F.col("n") - F.ceil(F.col("n") * (threshold - 0.005)) + 1) & (F.col("df") > 1)).select("job_id", key, "s", "ord")
+    page = Window.partitionBy("job_id", "ord")
+    ranked = ranked.withColumn("r", F.col("n") - F.count("*").over(page) + F.row_number().over(page.orderBy("df", "s")))
+    rare = ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * (threshold - 0.005)) + 1).select("job_id", key, "s", "ord")
     left, right = rare.withColumnRenamed("ord", "a"), rare.withColumnRenamed("ord", "b")
     return left.join(right, ["job_id", key, "s"]).filter("b > a").select("job_id", "a", "b").distinct()
 
 
-def similar_pairs(rows: DataFrame, pairs: DataFrame | None = None, threshold: float = 0.94) -> DataFrame:
+def ranked_pairs(pairs: DataFrame, rows: DataFrame, key: str = "fingerprint") -> DataFrame:
+    """`rank` of b among a's candidates: later pages of equal fingerprint with length buckets at most two apart, by (offset, order).
+
+    The candidates aren't built. A page's place in each of the five buckets tells how many later pages a bucket holds, and
+    b's rank is those of nearer offsets with its own place after a.
+    """
+    near = rows.select("job_id", key, "ord", "bucket", F.explode(F.sequence(F.lit(-2), F.lit(2))).alias("offset"))
+    near = near.withColumn("bucket", F.col("bucket") + F.col("offset")).withColumn("own", (F.col("offset") == 0).cast("int"))
+    bucket = Window.partitionBy("job_id", key, "bucket")
+    upto = F.sum("own").over(bucket.orderBy("ord").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = near.withColumn("upto", upto).withColumn("later", F.sum("own").over(bucket) - F.col("upto"))
+    later = placed.groupBy("job_id", F.col("ord").alias("a")).agg(F.map_from_entries(F.collect_list(F.struct("offset", F.struct("upto", "later")))).alias("at"), F.max(F.when(F.col("offset") == 0, F.col("bucket"))).alias("a_bucket"))
+    own = placed.filter("offset = 0").select("job_id", F.col("ord").alias("b"), F.col("bucket").alias("b_bucket"), F.col("upto").alias("place"))
+    met = pairs.join(later, ["job_id", "a"]).join(own, ["job_id", "b"]).withColumn("offset", F.col("b_bucket") - F.col("a_bucket")).filter("abs(offset) <= 2")
+    nearer = F.aggregate(F.sequence(F.lit(-2), F.lit(2)), F.lit(0).cast("long"), lambda n, o: n + F.when(o < F.col("offset"), F.try_element_at("at", o)["later"]).otherwise(0))
+    return met.withColumn("rank", nearer + F.col("place") - F.try_element_at("at", F.col("offset"))["upto"]).select("job_id", "a", "b", "rank")
+
+
+def similar_pairs(sets: DataFrame, threshold: float = 0.94, most: int | None = None) -> DataFrame:
     """job_id, a, b, overlap, union of pairs whose 3-word shingles' similarity, in hundredths, reaches the threshold.
 
-    Without `pairs` all pairs of one fingerprint with length buckets at most two apart count.
+    Pairs are of one fingerprint with length buckets at most two apart; with `most`, b is among a's first `most` candidates.
     """
-    near = sharing_pairs(rows, threshold)
-    met = near if pairs is None else near.join(pairs, ["job_id", "a", "b"], "left_semi")
-    sets = rows.select("job_id", "ord", "chars", "bucket", F.transform(shingles(F.col("body")), lambda s: F.xxhash64(s)).alias("s"))
+    met = sharing_pairs(sets, threshold)
+    if most is not None:
+        met = ranked_pairs(met, sets).filter(F.col("rank") <= most).drop("rank")
     side = lambda name: sets.select("job_id", F.col("ord").alias(name), F.col("chars").alias(f"{name}_chars"), F.col("bucket").alias(f"{name}_bucket"), F.col("s").alias(f"{name}_s"))
     met = met.join(side("a"), ["job_id", "a"]).join(side("b"), ["job_id", "b"])
     met = met.filter((F.abs(F.col("a_bucket") - F.col("b_bucket")) <= 2) & (F.least("a_chars", "b_chars") >= LENGTH_RATIO * F.greatest("a_chars", "b_chars")))
@@ -73,23 +88,22 @@ def similar_pairs(rows: DataFrame, pairs: DataFrame | None = None, threshold: fl
     return met.filter(F.col("overlap") * 1000 >= F.col("union") * least).select("job_id", "a", "b", "overlap", "union")
 
 
-def greedy_leaders(nodes: DataFrame, edges: DataFrame, save, max_rounds: int = 100) -> DataFrame:
+def greedy_leaders(nodes: DataFrame, edges: DataFrame, save) -> DataFrame:
     """job_id, ord, leader: each node's earliest leader neighbour, itself for leaders.
 
     A node whose earlier neighbours are all absorbed leads; a node with an earlier leading neighbour is absorbed. Rounds
-    grow with the longest chain of decisions. `save(name, df)` writes a round's table and reads it back.
+    grow with the longest chain of decisions, and each decides one node at least. `save(name, df)` writes a round's table and reads it back.
     """
     state = save("leaders-0", nodes.select("job_id", "ord", F.lit(None).cast("boolean").alias("leads")))
-    for i in range(1, max_rounds + 1):
+    i, still = 0, True
+    while still:
+        i += 1
         seen = edges.join(state.select("job_id", F.col("ord").alias("a"), "leads"), ["job_id", "a"])
         seen = seen.groupBy("job_id", F.col("b").alias("ord")).agg(F.bool_or(F.coalesce("leads", F.lit(False))).alias("led"), F.bool_and(F.coalesce(~F.col("leads"), F.lit(False))).alias("free"))
         now = state.join(seen, ["job_id", "ord"], "left")
         decided = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.col("led").isNull() | F.col("free"), True).when(F.col("led"), False)
         state = save(f"leaders-{i}", now.select("job_id", "ord", decided.alias("leads")))
-        if state.filter("leads is null").limit(1).count() == 0:
-            break
-    else:
-        raise RuntimeError(f"leaders did not settle in {max_rounds} rounds")
+        still = state.filter("leads is null").limit(1).count() > 0
     led = edges.join(state.filter("leads").select("job_id", F.col("ord").alias("a")), ["job_id", "a"]).groupBy("job_id", F.col("b").alias("ord")).agg(F.min("a").alias("first"))
     return state.join(led, ["job_id", "ord"], "left").select("job_id", "ord", F.when(F.col("leads"), F.col("ord")).otherwise(F.col("first")).alias("leader"))
 
@@ -99,11 +113,12 @@ def mark_duplicates(pages: DataFrame, save, threshold: float = 0.94, most: int |
 
     An exact copy keeps confidence 1 and follows its representative to that one's leader.
     """
-    rows = with_bodies(pages, text_col)
-    exact = exact_duplicates(rows)
-    reps = save("representatives", rows.join(exact.filter("ord = first_ord").select("job_id", "ord"), ["job_id", "ord"], "left_semi").select("job_id", "ord", "fingerprint", "body", "chars", "bucket"))
-    edges = save("similar", similar_pairs(reps, candidate_pairs(reps, most), threshold))
-    leaders = greedy_leaders(reps, edges.select("job_id", "a", "b"), save)
+    rows = save("bodies", with_bodies(pages, text_col).select("job_id", "ord", "fingerprint", "body", "chars", "bucket"))
+    exact = exact_duplicates(rows, save)
+    reps = rows.join(exact.filter("ord = first_ord").select("job_id", "ord"), ["job_id", "ord"], "left_semi")
+    sets = save("sets", shingle_sets(reps))
+    edges = save("similar", similar_pairs(sets, threshold, most))
+    leaders = greedy_leaders(sets, edges.select("job_id", "a", "b"), save)
     score = F.floor((F.col("overlap") * 200 + F.col("union")) / (F.col("union") * 2)) / 100
     near = leaders.join(edges.select("job_id", F.col("a").alias("leader"), F.col("b").alias("ord"), score.alias("near")), ["job_id", "leader", "ord"], "left").select("job_id", F.col("ord").alias("first_ord"), "leader", "near")
     found = exact.join(near, ["job_id", "first_ord"])

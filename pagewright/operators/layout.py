@@ -17,7 +17,7 @@ LAYOUT_WORDS = ["home", "menu", "produkty", "produkt", "products?", "produkte",
 LAYOUT_WIDGETS = ["zaloguj", "konto", "koszyk", "cart", "search", "szukaj", "suche", "newsletter", "cookies?", "akceptuj", "accept", "akzeptieren", "czytaj więcej", "read more", "weiterlesen", "mehr erfahren", "learn more"]
 LAYOUT_SECTIONS = ["menu", "kategorie[n]?", "polecane produkty", "popularne produkty", "related products", "featured products", "popular products", "you may also like", "ähnliche produkte", "beliebte produkte", "zubehör", "zobacz również", "see also", "newsletter", "koszyk", "cart", "warenkorb", "konto", "account", "login", "wyszukiwarka", "search", "suche", "social media", "follow us", "folgen sie uns"]
 BREADCRUMB_WORDS = ["home", "strona główna", "start", "startseite"]
-SHARE, LEAST, LONGEST_LINE = (2, 5), 2, 120
+SHARE, LEAST, LONGEST_LINE, SHORT_FOOTER = (2, 5), 2, 120, 8
 BULLET_LINK = r"^[-*]\s+\[[^\]]+\]\([^)]+\)\z"
 
 
@@ -52,9 +52,17 @@ def nav_texts(pages: DataFrame) -> DataFrame:
     return rows.select("job_id", normalize_line(F.col("link.text")).alias("norm"), "ord").filter("norm != ''").groupBy("job_id", "norm").agg(F.min("ord").alias("first_ord"))
 
 
-def footers(pages: DataFrame) -> DataFrame:
-    """Distinct footer texts of a job."""
-    return pages.select("job_id", F.col("structure.footerText").alias("footer")).filter("footer != ''").groupBy("job_id").agg(F.collect_set("footer").alias("footers"))
+def footer_lines(pages: DataFrame, rows: DataFrame) -> DataFrame:
+    """Distinct (job_id, trimmed) lines of more than SHORT_FOOTER characters that stand in a footer of the job.
+
+    A line meets the footers that hold its first characters, so neither a job's footers nor its lines come together.
+    """
+    width = SHORT_FOOTER + 1
+    foot = pages.select("job_id", F.col("structure.footerText").alias("footer")).filter(F.length("footer") >= width).distinct()
+    grams = foot.select("job_id", "footer", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("footer") - SHORT_FOOTER), lambda i: F.substr("footer", i, F.lit(width))))).alias("gram"))
+    texts = rows.select("job_id", F.trim("line").alias("trimmed")).filter(F.length("trimmed") >= width).distinct()
+    met = texts.withColumn("gram", F.substring("trimmed", 1, width)).join(grams, ["job_id", "gram"])
+    return met.filter(F.contains("footer", F.col("trimmed"))).select("job_id", "trimmed").distinct()
 
 
 def common_lines(pages: DataFrame, rows: DataFrame | None = None, nav: DataFrame | None = None) -> DataFrame:
@@ -95,18 +103,17 @@ def skipped_sections(raw: Column) -> Column:
 def line_reasons(pages: DataFrame) -> DataFrame:
     """Every line with why it is removed: job_id, ord, no, line, reason (null: kept)."""
     rows = page_lines(pages)
-    nav, common, foot = nav_texts(pages), common_lines(pages, rows), footers(pages)
-    sections = pages.select("job_id", "ord", skipped_sections(F.col("raw")).alias("heads"))
-    rows = rows.join(sections, ["job_id", "ord"])
+    nav, common = nav_texts(pages), common_lines(pages, rows)
+    heads = pages.withColumn("heads", skipped_sections(F.col("raw"))).select("job_id", "ord", "heads", F.posexplode(lines(F.col("raw"))).alias("no", "line"))
     at = F.try_element_at(F.filter("heads", lambda h: h["no"] <= F.col("no")), F.lit(-1))
-    rows = rows.withColumn("at", at).withColumn("trimmed", F.trim("line")).drop("heads")
-    text = normalize_line(layout_text(F.col("line")))
-    rows = rows.withColumn("text_norm", text)
+    every = heads.withColumn("at", at).withColumn("trimmed", F.trim("line")).drop("heads")
+    # Blank lines, of which a job has many, meet no index.
+    blank = every.filter("trimmed = ''")
+    rows = every.filter("trimmed != ''").withColumn("norm", normalize_line(F.col("line"))).withColumn("text_norm", normalize_line(layout_text(F.col("line"))))
     rows = rows.join(common.select("job_id", "norm", F.lit(True).alias("is_common")), ["job_id", "norm"], "left")
     rows = rows.join(nav.select("job_id", "norm", F.lit(True).alias("is_nav")), ["job_id", "norm"], "left")
     rows = rows.join(nav.select("job_id", F.col("norm").alias("text_norm"), F.lit(True).alias("text_nav")), ["job_id", "text_norm"], "left")
-    rows = rows.join(foot, "job_id", "left")
-    in_footer = F.coalesce(F.exists("footers", lambda f: F.contains(f, F.col("trimmed"))), F.lit(False)) & (F.length("trimmed") > 8)
+    rows = rows.join(footer_lines(pages, every).withColumn("in_footer", F.lit(True)), ["job_id", "trimmed"], "left").unionByName(blank, allowMissingColumns=True)
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     by_line = (
         F.when(F.col("trimmed") == "", F.lit(None))
@@ -115,7 +122,7 @@ def line_reasons(pages: DataFrame) -> DataFrame:
         .when(flag("is_nav"), F.concat(F.lit("navigation:"), F.col("trimmed")))
         .when(is_breadcrumb(F.col("trimmed")), "breadcrumbs")
         .when(is_layout_line(F.col("trimmed"), flag("text_nav")), F.concat(F.lit("layout:"), F.substring("trimmed", 1, 80)))
-        .when(in_footer, "footer")
+        .when(flag("in_footer"), "footer")
     )
     opens = F.coalesce(F.col("at.starts") & (F.col("at.no") == F.col("no")), F.lit(False))
     reason = F.when(opens, F.concat(F.lit("section:"), F.col("at.text"))).when(F.coalesce(F.col("at.skip"), F.lit(False)), "").otherwise(by_line)

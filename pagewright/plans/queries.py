@@ -229,7 +229,7 @@ BODIES = f"SELECT doc_id, lang, body, length(body) AS chars, CAST(CASE WHEN leng
 
 @query(f"SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, body) AS first_id FROM ({BODIES}) WHERE chars >= 50")
 def exact_duplicates(spark, sf_dir):
-    return duplicates.exact_duplicates(document_bodies(spark, sf_dir)).select(F.col("ord").alias("doc_id"), F.col("first_ord").alias("first_id"))
+    return duplicates.exact_duplicates(document_bodies(spark, sf_dir), Stages(spark, "exact")).select(F.col("ord").alias("doc_id"), F.col("first_ord").alias("first_id"))
 
 
 @query(f"""
@@ -241,9 +241,10 @@ WHERE 200 * len(list_intersect(a.s, z.s)) >= 159 * (len(a.s) + len(z.s) - len(li
 """)
 def shingle_jaccard_pairs(spark, sf_dir):
     """Pairs of different bodies of a language whose similarity rounds to 0.8 or more, blocked by length."""
-    rows = document_bodies(spark, sf_dir)
-    reps = Stages(spark, "pairs")("reps", rows.join(duplicates.exact_duplicates(rows).filter("ord = first_ord").select("job_id", "ord"), ["job_id", "ord"], "left_semi"))
-    pairs = duplicates.similar_pairs(reps, None, 0.8)
+    save = Stages(spark, "pairs")
+    rows = save("bodies", document_bodies(spark, sf_dir).drop("text"))
+    firsts = duplicates.exact_duplicates(rows, save).filter("ord = first_ord").select("job_id", "ord")
+    pairs = duplicates.similar_pairs(save("sets", duplicates.shingle_sets(rows.join(firsts, ["job_id", "ord"], "left_semi"))), 0.8)
     return pairs.select("a", "b", F.col("overlap").cast("bigint").alias("overlap"), F.col("union").cast("bigint").alias("union"))
 
 
