@@ -1,10 +1,14 @@
+import random
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pagewright.operators import brand, clusters, duplicates, facts, layout, records, titles
 from pagewright.plans.knowledge import Stages, build_knowledge
 from pagewright.schemas import PAGE
+from pagewright.sources import brand_html
 from pagewright.sources.html import parse_page
+from pagewright.streaming import state
 
 NO_SIGNALS = {"ogType": None, "jsonLdTypes": [], "product": None, "hasPrice": False, "hasCartButton": False}
 
@@ -145,3 +149,87 @@ def test_discovery_follows_links_of_any_depth(spark):
     assert sorted((r.depth, r.url) for r in got) == [(i, url(i)) for i in range(7)]
     assert len(crawl.discover(edges, roots, Scratch(spark, "t").table, limit=3).collect()) == 3
     assert "max_depth" not in str(queries.frontier_bfs_depth.__code__.co_consts)
+
+
+def test_candidate_ranks_without_pairs(spark):
+    """A pair's rank among the earlier page's candidates equals that of the list built pair by pair."""
+    rng = random.Random(4)
+    rows = [("j", f"f{rng.randrange(2)}", i, rng.randrange(6)) for i in rng.sample(range(300), 60)]
+    df = spark.createDataFrame(rows, "job_id string, fingerprint string, ord long, bucket int")
+    want = {}
+    for _, f, a, x in rows:
+        later = sorted((y - x, b) for _, g, b, y in rows if g == f and b > a and abs(y - x) <= 2)
+        want |= {(a, b): i + 1 for i, (_, b) in enumerate(later)}
+    every = [("j", a, b) for _, _, a, _ in rows for _, _, b, _ in rows if (a, b) in want]
+    got = duplicates.ranked_pairs(spark.createDataFrame(every, "job_id string, a long, b long"), df)
+    assert {(r.a, r.b): r.rank for r in got.collect()} == want
+
+
+BRAND_CASES = [
+    ('<link rel="icon" href="/f.ico"><link rel="apple-touch-icon" href="https://cdn.h.de/t.png"><img src="/l.svg" alt="Acme Logo">', ("https://cdn.h.de/t.png", "https://h.de/l.svg", 0.24, "logo/brand attribute")),
+    ('<header><a href="/"><img src="/b.svg" alt="our logo"></a></header><main><div class="clients"><img src="/c.svg" alt="logo"></div></main>', (None, "https://h.de/b.svg", 0.96, "header image + linking to homepage + logo/brand attribute")),
+    ('<meta name="logo" content="m.png"><header><img src="/b.svg" alt="logo"></header>', (None, "https://h.de/x/m.png", 0.82, "logo meta tag")),
+    ('<link rel="shortcut icon" href="s.ico"><div class="partners"><img src="/p.svg" alt="logo"></div>', ("https://h.de/x/s.ico", None, 0.35, None)),
+    ('<div class="site-header"><img data-src="/a.svg"><img data-src="/b.svg"></div>', (None, "https://h.de/a.svg", 0.38, "header image")),
+    ('<div id="header"><img src="/ad.svg" alt="reklam"></div>', (None, "https://h.de/ad.svg", 0.2, "header image")),
+    ("", (None, None, 0.0, None)),
+    (None, (None, None, 0.0, None)),
+]
+
+
+def test_brand_marks(spark):
+    df = spark.createDataFrame([(f"https://h.de/x/{i}", h, 1) for i, (h, _) in enumerate(BRAND_CASES)], "url string, html string, logoUrl int")
+    got = {r.url: (r.faviconUrl, r.logoUrl, r.logoConfidence, r.logoEvidence) for r in brand_html.brand_pages(df).collect()}
+    assert got == {f"https://h.de/x/{i}": want for i, (_, want) in enumerate(BRAND_CASES)}
+    assert brand_html.brand_pages(df.limit(0)).count() == 0
+
+
+def test_footers_and_blank_lines(spark):
+    """A line of more than eight characters that a footer of the job holds is removed, a shorter one isn't."""
+    pages = frame(spark, [page(0, "a", "https://h.de/", "All rights reserved here\n\nreserved\n\nOwn text of the page", footer="(c) H. All rights reserved here.")])
+    assert {r.no: r.reason for r in layout.line_reasons(pages).collect()} == {0: "footer", 1: None, 2: None, 3: None, 4: None}
+
+
+def test_activity_keeps_the_latest(spark, tmp_path):
+    rows = [("j", 1, "phase", "discovering", None, None), ("j", 2, "fetching", None, "u1", None), ("j", 3, "fetch-error", None, "u1", "HTTP 500"), ("j", 4, "fetching", None, "u2", None), ("j", 5, "phase", "naming", None, None), ("j", 6, "fetch-error", None, "u2", "HTTP 404"), ("k", 1, "phase", "discovering", None, None)]
+    schema = "job_id string, seq long, type string, phase string, url string, message string"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/in")
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    run = state.activity(events).writeStream.outputMode("complete").format("memory").queryName("activity").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = {r.job_id: (r.phase, r.lastUrl, r.fetchErrors, r.lastError and tuple(r.lastError)) for r in spark.table("activity").collect()}
+    assert got == {"j": ("naming", "u2", 2, ("u2", "HTTP 404")), "k": ("discovering", None, 0, None)}
+
+
+class FakeHandle:
+    """State and timers of one key, as the stall timer uses them."""
+
+    def __init__(self):
+        self.value, self.timers = None, set()
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.discard
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+def test_stall_timer():
+    handle, timer = FakeHandle(), state.StallTimer(1000)
+    timer.init(handle)
+    now = type("Now", (), {"at": 5, "getCurrentProcessingTimeInMs": lambda self: self.at})()
+    assert next(timer.handleInputRows(("j",), iter([1, 2]), now)).values.tolist() == [["j", False]] and handle.timers == {1005}
+    now.at = 900
+    list(timer.handleInputRows(("j",), iter([3]), now))
+    assert handle.timers == {1900}  # a new event moves the timer
+    assert next(timer.handleExpiredTimer(("j",), now, None)).values.tolist() == [["j", True]] and not handle.exists()
