@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pagewright.functions.text import let
 
 COLORS, VARS, FONTS = 8, 40, 6
+# Channel differences and levels at which a colour counts as grey, white or black.
+GREY, WHITE, BLACK = 24, 243, 13
 # Property names that say something about a brand, and values that are colours.
 BRAND_NAMES = r"(?i)(color|primary|secondary|accent|brand|background|bg(?![A-Za-z0-9_])|foreground|surface|text|font|radius|ring|border|muted|shadow|spacing)"
 COLOR_VALUES = r"(?i)#[0-9a-f]{3,8}(?![0-9a-z_])|(?<![0-9a-z_])(rgb|rgba|hsl|hsla|oklch|oklab)\("
@@ -31,7 +33,7 @@ def is_neutral(color: Column) -> Column:
     """Nearly grey, nearly white or nearly black."""
     parts = [F.conv(F.substring(color, i, 2), 16, 10).cast("int") for i in (2, 4, 6)]
     high, low = F.greatest(*parts), F.least(*parts)
-    return (high - low < 24) | (low > 243) | (high < 13)
+    return (high - low < GREY) | (low > WHITE) | (high < BLACK)
 
 
 def colors(css: Column) -> Column:

@@ -70,20 +70,31 @@ def related_products(raw: Column) -> Column:
     return F.slice(F.array_distinct(F.filter(found, lambda x: x != "")), 1, 20)
 
 
+# What dates and contact fields look like.
+DATE = rf"{LEFT}\d{{1,2}}[./-]\d{{1,2}}[./-](?:19|20)?\d{{2}}{RIGHT}"
+YEAR = rf"{LEFT}(?:19|20)\d{{2}}{RIGHT}"
+EMAIL = rf"(?i){LEFT}[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}{RIGHT}"
+PHONE = r"(?i)(?:tel\.?|telefon|phone|mobile|handy)[:\s-]*(\+?\d[\d\s().-]{6,}\d)"
+NIP = rf"(?i){LEFT}NIP[:\s-]*([A-Z]{{0,3}}\s?\d[\d\s-]{{6,}}\d){RIGHT}"
+REGON = rf"(?i){LEFT}REGON[:\s-]*(\d[\d\s-]{{6,}}\d){RIGHT}"
+BANK_ACCOUNT = rf"(?i){LEFT}(?:IBAN|konto|rachunek|nr rachunku|bank)[:\s-]*((?:[A-Z]{{2}}\d{{2}}\s*)?\d{{2}}(?:\s?\d{{4}}){{5,7}}){RIGHT}"
+OPENING_HOURS = rf"(?iu){LEFT}(?:{'|'.join(HOURS)})[:\s-]+([^.\n]{{5,120}})"
+
+
 def first_date(markdown: Column) -> Column:
-    return F.coalesce(_found(markdown, rf"{LEFT}\d{{1,2}}[./-]\d{{1,2}}[./-](?:19|20)?\d{{2}}{RIGHT}", 0), _found(markdown, rf"{LEFT}(?:19|20)\d{{2}}{RIGHT}", 0))
+    return F.coalesce(_found(markdown, DATE, 0), _found(markdown, YEAR, 0))
 
 
 def contact_fields(markdown: Column) -> dict[str, Column]:
     text = F.regexp_replace(markdown, r"\s+", " ")
     company = _found(markdown, r"(?m)^#\s+(.+)$")
     return {
-        "email": _found(text, rf"(?i){LEFT}[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}{RIGHT}", 0),
-        "phone": _found(text, r"(?i)(?:tel\.?|telefon|phone|mobile|handy)[:\s-]*(\+?\d[\d\s().-]{6,}\d)"),
-        "nip": _found(text, rf"(?i){LEFT}NIP[:\s-]*([A-Z]{{0,3}}\s?\d[\d\s-]{{6,}}\d){RIGHT}"),
-        "regon": _found(text, rf"(?i){LEFT}REGON[:\s-]*(\d[\d\s-]{{6,}}\d){RIGHT}"),
-        "bankAccount": _found(text, rf"(?i){LEFT}(?:IBAN|konto|rachunek|nr rachunku|bank)[:\s-]*((?:[A-Z]{{2}}\d{{2}}\s*)?\d{{2}}(?:\s?\d{{4}}){{5,7}}){RIGHT}"),
-        "openingHours": _found(text, rf"(?iu){LEFT}(?:{'|'.join(HOURS)})[:\s-]+([^.\n]{{5,120}})"),
+        "email": _found(text, EMAIL, 0),
+        "phone": _found(text, PHONE),
+        "nip": _found(text, NIP),
+        "regon": _found(text, REGON),
+        "bankAccount": _found(text, BANK_ACCOUNT),
+        "openingHours": _found(text, OPENING_HOURS),
         "companyName": F.when(~company.rlike("(?i)kontakt|contact"), company),
     }
 

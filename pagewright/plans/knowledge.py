@@ -13,10 +13,15 @@ from pagewright.sources import export
 
 
 class Stages:
-    """Tables written between stages, in the folder that `spark.checkpoint.dir` names, or a temporary one where it is unset."""
+    """Tables written between stages, in the folder that `spark.checkpoint.dir` names, or a temporary one where a local master has none."""
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='pagewright-')}"
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not base:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            base = f"file://{tempfile.mkdtemp(prefix='pagewright-')}"
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def __call__(self, name: str, df: DataFrame) -> DataFrame:
