@@ -137,17 +137,15 @@ def test_html():
 
 
 def test_discovery_follows_links_of_any_depth(spark):
-    from pagewright.llm.common import Scratch
     from pagewright.operators import crawl
     from pagewright.plans import queries
 
     url = lambda i: f"https://a.de/p{i}"
     edges = spark.createDataFrame([(url(i), url(i + 1)) for i in range(6)] + [(url(6), url(0))], "source string, target string")
     roots = spark.createDataFrame([("a.de", url(0))], "job_id string, root string")
-    scratch = Scratch(spark, "t")
-    got = crawl.discover(edges, roots, scratch.table).collect()
+    got = crawl.discover(edges, roots, Stages(spark, "t")).collect()
     assert sorted((r.depth, r.url) for r in got) == [(i, url(i)) for i in range(7)]
-    assert len(crawl.discover(edges, roots, Scratch(spark, "t").table, limit=3).collect()) == 3
+    assert len(crawl.discover(edges, roots, Stages(spark, "t"), limit=3).collect()) == 3
     assert "max_depth" not in str(queries.frontier_bfs_depth.__code__.co_consts)
 
 
