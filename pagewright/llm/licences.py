@@ -4,15 +4,18 @@ Training happens once on the driver, on the fixed templates below and nothing el
 over sparse word 1- and 2-grams, with paragraphs of ordinary prose and of licence-like prose as the unknown class. The
 fitted weights, one row per n-gram, are a table whose size the templates fix.
 
-Scanning is DataFrame operations only. A paragraph (line) is a candidate if it holds one of the STEMS; a paragraph
-without any has no licence vocabulary and is no licence statement. A candidate's n-grams are joined with the weights and
-summed by paragraph, the constant added, and a softmax gives the family. A temperature fitted on left-out templates
-calibrates the probability; below `min_probability`, or when unknown is likeliest, the family is unknown. The share of
-the family's best template's 2-grams found in the paragraph confirms the prediction.
+Scanning is DataFrame operations only. Every line is a paragraph, and so is every run of lines that a hard line break
+joins (the line ends without a sentence mark and the next one isn't blank), so wrapped licence texts are read whole. A
+paragraph is reported if it holds one of the templates' 2-grams with a content word: without any, less than CONFIRM of
+every template's 2-grams can be there, so nothing that could be confirmed is left out. Its n-grams are joined with the
+weights and summed by paragraph, the constant added, and a softmax gives the family. A temperature fitted on left-out
+templates calibrates the probability; below `min_probability`, or when unknown is likeliest, the family is unknown. The
+share of the family's best template's 2-grams found in the paragraph confirms the prediction.
 
 Defined cases: a null, empty or blank text has no paragraphs; equal paragraphs of a document are reported each with its
-line number; rows with equal ids give rows each; null ids are kept; extra columns are ignored; an empty table gives an
-empty result.
+line number (of a joined one, that of its first line, with `lines` above 1); control characters 1 and 2 count as
+blanks; rows with equal ids give rows each; null ids are kept; extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -24,24 +27,27 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.llm.common import Scratch
+
 UNKNOWN = "unknown"
-STEMS = ("licen", "copyright", "warrant", "permission", "redistribut", "public domain", "all rights reserved", "creative commons", "cc by", "cc-by", "cc0", "gpl")
+# Function words; a 2-gram of nothing else says nothing of licences.
+FUNCTION = frozenset("a all an and any are as at be been but by can for from had has have he her his if in into is it its may no not of on one or our out she so than that the their them there these they this those to under until up upon was we were when where which who will with without you your".split())
 # Short statements by which texts commonly name a licence.
 TEMPLATES = {
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "This software is released under the Apache 2.0 license.", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"],
-    "mit": ["Released under the MIT License.", "Licensed under the MIT license.", "This project is licensed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 2.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "Released under the GPL, version 3 or later.", "Licensed under the GPLv3."],
-    "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License", "Released under the LGPL."],
-    "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "Released under the AGPL, version 3."],
-    "bsd": ["Licensed under the BSD 3-Clause License.", "Released under the 2-clause BSD license.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "mpl": ["Licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "isc": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Available under the Creative Commons Attribution License."],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License."],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC-SA 4.0 for noncommercial use."],
-    "cc-by-nd": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
-    "public-domain": ["This work is in the public domain.", "Released into the public domain under CC0 1.0.", "To the extent possible under law, the author has dedicated all copyright to the public domain worldwide."],
-    "proprietary": ["Copyright. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without prior written permission of the publisher.", "Proprietary and confidential. Unauthorized copying is strictly prohibited."],
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "This software is released under the Apache 2.0 license.", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND", "SPDX-License-Identifier: Apache-2.0", "Distributed under the Apache License 2.0.", "You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0"],
+    "mit": ["Released under the MIT License.", "Licensed under the MIT license.", "This project is licensed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT", "Distributed under the MIT License.", "MIT License", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"],
+    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 2.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "Released under the GPL, version 3 or later.", "Licensed under the GPLv3.", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only", "Distributed under the GNU GPL.", "You should have received a copy of the GNU General Public License along with this program."],
+    "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License", "Released under the LGPL.", "SPDX-License-Identifier: LGPL-2.1-or-later", "Distributed under the GNU LGPL.", "Licensed under the LGPL, version 3."],
+    "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "Released under the AGPL, version 3.", "SPDX-License-Identifier: AGPL-3.0-only", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "Distributed under the GNU AGPL."],
+    "bsd": ["Licensed under the BSD 3-Clause License.", "Released under the 2-clause BSD license.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause", "Distributed under the BSD license.", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
+    "mpl": ["Licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0", "Released under MPL 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at mozilla.org"],
+    "isc": ["Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "SPDX-License-Identifier: ISC", "Licensed under the ISC license."],
+    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Available under the Creative Commons Attribution License.", "SPDX-License-Identifier: CC-BY-4.0", "This article is distributed under a Creative Commons Attribution license."],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License.", "SPDX-License-Identifier: CC-BY-SA-4.0", "Released under CC BY-SA 3.0."],
+    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC-SA 4.0 for noncommercial use.", "SPDX-License-Identifier: CC-BY-NC-4.0", "Released under CC BY-NC 3.0."],
+    "cc-by-nd": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "SPDX-License-Identifier: CC-BY-ND-4.0", "Released under CC BY-ND 3.0."],
+    "public-domain": ["This work is in the public domain.", "Released into the public domain under CC0 1.0.", "To the extent possible under law, the author has dedicated all copyright to the public domain worldwide.", "SPDX-License-Identifier: CC0-1.0", "This is free and unencumbered software released into the public domain."],
+    "proprietary": ["Copyright. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without prior written permission of the publisher.", "Proprietary and confidential. Unauthorized copying is strictly prohibited.", "Copyright 2020 the company. All rights reserved.", "No part of this work may be copied without permission."],
 }
 # Paragraphs that are no licence statements, some of them with licence vocabulary.
 OTHERS = [
@@ -49,8 +55,13 @@ OTHERS = [
     "A licence is needed to fish in this river from spring to autumn.", "The warranty covers repairs for two years after purchase.", "The court ruled on a question of copyright in the case of the two publishers.", "You need a license plate on every car in this state.", "Version 3 of the program was published in May.",
     "The public library opens at nine and closes at six.", "He studied at MIT and later worked on free software.", "The apache people live in the southwest.", "General conditions and terms of the contract are in the appendix.", "Creative work needs time and patience.", "The software may be used by any person in the office.",
     "Food was redistributed among the villages.", "Its licence terms are set out in the agreement between both parties.", "The common attribution of the painting is disputed.", "This file describes the data format of the second release.", "The source of the river lies in the mountains.",
+    "Er kam mit dem Zug und ging mit den Kindern in den Garten.", "La casa de la familia está en el centro de la ciudad.", "Elle est venue avec les enfants dans la maison de la ville.", "The library was released in spring and the second version came later.", "All of the rights of the workers were discussed at the meeting.",
+    "You may use the room without charge.", "The terms of the agreement were published by the court.", "This work is the first of its kind in the world.", "He may copy the text by hand for any person who asks.", "The program is free for all visitors of the museum.",
 ]
 WORD = r"[^a-z0-9.]+"
+# A line end within a paragraph, between a line without a sentence mark at its end and one that isn't blank, with the next
+# line's number and comment mark; both lines are numbered here.
+JOINED = r"(?<=[^\s.!?:;\x01])[ \t]*\n\d+\x01[ \t]*(?:[#*/;%-]+[ \t]+)?(?=\S)"
 CONFIRM = 0.6
 
 
@@ -73,34 +84,66 @@ def _fit(x: np.ndarray, y: np.ndarray, k: int, ridge: float = 0.02, rounds: int
     return w
 
 
+def _rows() -> list[tuple[str, int]]:
+    return [(t, i) for i, ts in enumerate(TEMPLATES.values()) for t in ts] + [(t, len(TEMPLATES)) for t in OTHERS]
+
+
 @functools.cache
-def trained() -> tuple[list[str], list[str], np.ndarray, float]:
-    """Families, n-grams, weights (a row per n-gram and a last one of constants), and the temperature."""
-    families = [*TEMPLATES, UNKNOWN]
-    rows = [(t, i) for i, f in enumerate(families[:-1]) for t in TEMPLATES[f]] + [(t, len(families) - 1) for t in OTHERS]
+def _matrix() -> tuple[list[str], np.ndarray, np.ndarray]:
+    """N-grams, a row of them for each training paragraph with a last column of ones, and the paragraphs' classes."""
+    rows = _rows()
     grams = sorted({g for t, _ in rows for g in ngrams(t)})
     at = {g: i for i, g in enumerate(grams)}
+    x = np.zeros((len(rows), len(grams) + 1))
+    x[:, -1] = 1
+    for r, (t, _) in enumerate(rows):
+        found = [at[g] for g in ngrams(t)]
+        x[r, found] = 1 / max(1, len(found)) ** 0.5
+    return grams, x, np.array([c for _, c in rows])
 
-    def matrix(texts):
-        m = np.zeros((len(texts), len(grams) + 1))
-        m[:, -1] = 1
-        for r, t in enumerate(texts):
-            found = [at[g] for g in ngrams(t) if g in at]
-            m[r, found] = 1 / max(1, len(found)) ** 0.5
-        return m
 
-    x, y = matrix([t for t, _ in rows]), np.array([c for _, c in rows])
+@functools.cache
+def _folds(folds: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of every training paragraph by a fit without its fold, and the classes; n-grams of that fold alone count as unseen."""
+    _, x, y = _matrix()
     held = []
-    for fold in range(4):
-        test = np.arange(len(rows)) % 4 == fold
-        held.append((x[test] @ _fit(x[~test], y[~test], len(families)), y[test]))
-    z, truth = np.vstack([h[0] for h in held]), np.concatenate([h[1] for h in held])
+    for fold in range(folds):
+        test = np.arange(len(y)) % folds == fold
+        part = x[test].copy()
+        part[:, :-1] = (part[:, :-1] > 0) & (x[~test, :-1] > 0).any(axis=0)
+        part[:, :-1] /= np.maximum(1, part[:, :-1].sum(axis=1, keepdims=True)) ** 0.5
+        held.append((part @ _fit(x[~test], y[~test], len(TEMPLATES) + 1), y[test]))
+    return np.vstack([h[0] for h in held]), np.concatenate([h[1] for h in held])
+
+
+@functools.cache
+def trained() -> tuple[list[str], list[str], np.ndarray, float]:
+    """Families, n-grams, weights (a row per n-gram and a last one of constants), and the temperature."""
+    grams, x, y = _matrix()
+    z, truth = _folds()
 
     def loss(t):
         q = z / t - (z / t).max(axis=1, keepdims=True)
         return -(q[np.arange(len(q)), truth] - np.log(np.exp(q).sum(axis=1))).mean()
 
-    return families, grams, _fit(x, y, len(families)), float(min(np.geomspace(0.2, 5, 60), key=loss))
+    return [*TEMPLATES, UNKNOWN], grams, _fit(x, y, len(TEMPLATES) + 1), float(min(np.geomspace(0.2, 5, 60), key=loss))
+
+
+def held_out() -> tuple[float, float, float]:
+    """Of the templates and other paragraphs, each scored by a fit without its fold: the share given its right class, the
+    mean probability of the class given, and the share of other paragraphs left unknown."""
+    families, _, _, temperature = trained()
+    z, truth = _folds()
+    q = np.exp((z - z.max(axis=1, keepdims=True)) / temperature)
+    q /= q.sum(axis=1, keepdims=True)
+    right = q.argmax(axis=1) == truth
+    other = truth == len(families) - 1
+    return float(right.mean()), float(q.max(axis=1).mean()), float(right[other].mean())
+
+
+def phrases() -> list[str]:
+    """The templates' 2-grams with a content word."""
+    return sorted({g for ts in TEMPLATES.values() for t in ts for g in ngrams(t) if " " in g and not FUNCTION.issuperset(g.split())})
 
 
 def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -112,24 +155,30 @@ def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 
 def _grams(text):
-    words = F.filter(F.transform(F.split(F.lower(text), WORD), lambda w: F.regexp_replace(w, r"^\.+|\.+$", "")), lambda w: w != "")
+    words = F.filter(F.transform(F.split(F.lower(text), WORD), lambda w: F.btrim(w, F.lit("."))), lambda w: w != "")
     pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(words, pairs))
 
 
+def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, line, lines, paragraph: each line that isn't blank, and each run of lines joined by hard line breaks."""
+    lines = F.split(F.translate(F.col(text_col), "\x01\x02", "  "), r"\r?\n")
+    numbered = F.array_join(F.transform(lines, lambda l, i: F.concat(i.cast("string"), F.lit("\x01"), l)), "\n")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.split(F.regexp_replace(numbered, JOINED, "\x02"), "\n").alias("runs"))
+    runs = texts.select("doc_id", F.explode("runs").alias("run"))
+    runs = runs.select("doc_id", F.substring_index("run", "\x01", 1).cast("int").alias("line"), F.split(F.expr("substr(run, instr(run, '\x01') + 1)"), "\x02").alias("parts"))
+    whole = F.when(F.size("parts") > 1, F.array(F.struct(F.col("line").alias("line"), F.size("parts").alias("lines"), F.array_join("parts", " ").alias("paragraph"))))
+    single = F.transform("parts", lambda l, i: F.struct((F.col("line") + i).alias("line"), F.lit(1).alias("lines"), l.alias("paragraph")))
+    return runs.select("doc_id", F.explode(F.concat(single, F.coalesce(whole, F.slice(single, 1, 0)))).alias("u")).select("doc_id", "u.*").filter(F.btrim("paragraph") != "")
+
+
 def scan(docs: DataFrame, min_probability: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per candidate paragraph: doc_id, line, paragraph, family, probability, similarity, confirmed."""
+    """One row per paragraph with licence phrases: doc_id, line, lines, paragraph, family, probability, similarity, confirmed."""
     families, _, weights, temperature = trained()
-    model, known = _tables(docs.sparkSession)
-    lowered = F.lower(F.col(text_col))
-    has_stem = F.lit(False)
-    for stem in STEMS:
-        has_stem = has_stem | lowered.contains(stem)
-    lines = docs.filter(has_stem).select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col), r"\r?\n")).alias("line", "paragraph"))
-    here = F.lit(False)
-    for stem in STEMS:
-        here = here | F.lower("paragraph").contains(stem)
-    found = lines.filter(here).withColumn("grams", _grams(F.col("paragraph"))).withColumn("key", F.monotonically_increasing_id())
+    spark = docs.sparkSession
+    model, known = _tables(spark)
+    found = paragraphs(docs, id_col, text_col).withColumn("grams", _grams(F.col("paragraph"))).filter(F.arrays_overlap("grams", F.lit(phrases())))
+    found = Scratch(spark, "licences").table("found", found)
     # One row for each distinct paragraph is classified: a statement that many documents share costs one.
     texts = found.select("paragraph", "grams").dropDuplicates(["paragraph"])
     hits = texts.select("paragraph", F.explode("grams").alias("gram")).join(F.broadcast(model), "gram")
@@ -145,5 +194,5 @@ def scan(docs: DataFrame, min_probability: float = 0.5, id_col: str = "doc_id",
     compared = scored.join(F.broadcast(known.withColumnRenamed("family", "predicted")), "predicted", "left")
     share = F.coalesce(F.size(F.array_intersect("grams", "template")) / F.size("template"), F.lit(0.0))
     confirmed = compared.groupBy("paragraph", "family", "probability").agg(F.max(share).alias("similarity"))
-    out = found.select("doc_id", "line", "paragraph").join(confirmed, "paragraph")
-    return out.select("doc_id", "line", "paragraph", "family", "probability", "similarity", ((F.col("family") != UNKNOWN) & (F.col("similarity") >= CONFIRM)).alias("confirmed"))
+    out = found.select("doc_id", "line", "lines", "paragraph").join(confirmed, "paragraph")
+    return out.select("doc_id", "line", "lines", "paragraph", "family", "probability", "similarity", ((F.col("family") != UNKNOWN) & (F.col("similarity") >= CONFIRM)).alias("confirmed"))

@@ -132,6 +132,47 @@ def test_licences(spark):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+def test_licences_without_keywords_and_wrapped(spark):
+    gpl = "# This program is free software: you can redistribute it and/or\r\n# modify it under the terms of the GNU General Public License as\r\n# published by the Free Software Foundation"
+    texts = {0: "SPDX: Apache-2.0", 1: "Released under MIT terms, MIT License", 2: "Title\n\n" + gpl + "\n\nEnd.", 3: "Er ging mit den Kindern.\nSie kam mit ihm.", 4: "a\x01b\n\x02 Released under the MIT License.", 5: "of the\nin the\nto any", 6: "word " * 50_000 + "\nAll rights reserved.", 7: "Released under the MIT License.\nReleased under the MIT License."}
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()] + [(0, "Licensed under the MIT license."), (None, "MIT License")], "doc_id long, text string")
+    rows = licences.scan(df).collect()
+    got = {(r.doc_id, r.line, r.lines): r for r in rows}
+    assert got[2, 2, 3].family == "gpl" and got[2, 2, 3].confirmed
+    assert got[1, 0, 1].family == "mit" and got[4, 1, 1].family == "mit" and got[6, 1, 1].family == "proprietary" and got[None, 0, 1].family == "mit"
+    assert (0, 0, 1) in got and sum(r.doc_id == 0 for r in rows) == 2
+    assert not {3, 5} & {r.doc_id for r in rows} and {(r.line, r.family) for r in rows if r.doc_id == 7} == {(0, "mit"), (1, "mit")}
+
+
+def test_licence_paragraphs_score_as_the_plain_model(spark):
+    """The native scores against the same model computed plainly, for every paragraph of random licence-like texts."""
+    rng = random.Random(11)
+    known = [t for ts in licences.TEMPLATES.values() for t in ts] + licences.OTHERS
+    words = [w for t in known for w in t.split()]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 30))) + "." for _ in range(150)] + known
+    families, grams, weights, temperature = licences.trained()
+    at, gates = {g: i for i, g in enumerate(grams)}, set(licences.phrases())
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        mine = licences.ngrams(t)
+        assert (i in got) == bool(gates & set(mine))
+        if i in got:
+            hits = [at[g] for g in mine if g in at]
+            z = (weights[hits].sum(axis=0) / len(hits) ** 0.5 + weights[-1]) / temperature
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            best = families[int(p.argmax())]
+            assert abs(got[i].probability - p.max()) < 1e-9 and got[i].family == (best if p.max() >= 0.5 else licences.UNKNOWN)
+
+
+def test_licence_gate_loses_nothing_confirmed():
+    for ts in licences.TEMPLATES.values():
+        for t in ts:
+            pairs = [g for g in licences.ngrams(t) if " " in g]
+            assert sum(licences.FUNCTION.issuperset(g.split()) for g in pairs) < licences.CONFIRM * len(pairs)
+    right, sure, other = licences.held_out()
+    assert right > 0.6 and abs(right - sure) < 0.1 and other > 0.9
+
+
 def test_quality(spark):
     rng = random.Random(4)
     rows, labels = [], []
