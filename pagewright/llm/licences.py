@@ -6,8 +6,8 @@ fitted weights, one row per n-gram, are a table whose size the templates fix.
 
 Scanning is DataFrame operations only. Every line is a paragraph, and so is every run of lines that a hard line break
 joins (the line ends without a sentence mark and the next one isn't blank), so wrapped licence texts are read whole. A
-paragraph is reported if it holds one of the templates' 2-grams with a content word: without any, less than CONFIRM of
-every template's 2-grams can be there, so nothing that could be confirmed is left out. Its n-grams are joined with the
+paragraph is reported if it holds one of the `phrases`, 2-grams chosen from the templates so that without any of them
+less than CONFIRM of each template's 2-grams can be there: nothing that could be confirmed is left out. Its n-grams are joined with the
 weights and summed by paragraph, the constant added, and a softmax gives the family. A temperature fitted on left-out
 templates calibrates the probability; below `min_probability`, or when unknown is likeliest, the family is unknown. The
 share of the family's best template's 2-grams found in the paragraph confirms the prediction.
@@ -141,9 +141,28 @@ def held_out() -> tuple[float, float, float]:
     return float(right.mean()), float(q.max(axis=1).mean()), float(right[other].mean())
 
 
+def _anchor(pair: str) -> str:
+    """The longest content word of a 2-gram, or nothing."""
+    return max((w for w in pair.split() if w not in FUNCTION), key=lambda w: (len(w), w), default="")
+
+
+@functools.cache
 def phrases() -> list[str]:
-    """The templates' 2-grams with a content word."""
-    return sorted({g for ts in TEMPLATES.values() for t in ts for g in ngrams(t) if " " in g and not FUNCTION.issuperset(g.split())})
+    """The templates' 2-grams with a content word of six letters or more, and of templates that have few of them the others
+    with the longest, until a text with none of all these has less than CONFIRM of each template's 2-grams."""
+    pairs = [[g for g in ngrams(t) if " " in g] for ts in TEMPLATES.values() for t in ts]
+    chosen = {g for p in pairs for g in p if len(_anchor(g)) >= 6}
+    for p in pairs:
+        for g in sorted(p, key=lambda g: (len(_anchor(g)), g), reverse=True):
+            if sum(x not in chosen for x in p) < CONFIRM * len(p):
+                break
+            chosen.add(g)
+    return sorted(chosen)
+
+
+def anchors() -> list[str]:
+    """A text with none of these as a substring has no phrase."""
+    return sorted({_anchor(g) for g in phrases()})
 
 
 def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -154,19 +173,31 @@ def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return model, known
 
 
-def _grams(text):
-    words = F.filter(F.transform(F.split(F.lower(text), WORD), lambda w: F.btrim(w, F.lit("."))), lambda w: w != "")
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(words, pairs))
+def _words(text):
+    return F.array_remove(F.split(F.lower(text), r"\.*[^a-z0-9.]+\.*|^\.+|\.+$"), "")
+
+
+def _pairs(words):
+    return F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+
+
+def _once(name: str, value):
+    """A column that is evaluated once a row, however often later steps use it."""
+    return F.explode(F.array(value)).alias(name)
+
+
+def _anchored(df: DataFrame, text: str) -> DataFrame:
+    """Rows that may hold a phrase, before their words are taken apart."""
+    lowered = df.select("*", _once("_lowered", F.lower(F.col(text))))
+    return lowered.filter(F.exists(F.lit(anchors()), lambda w: F.contains(F.col("_lowered"), w))).drop("_lowered")
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line, lines, paragraph: each line that isn't blank, and each run of lines joined by hard line breaks."""
     lines = F.split(F.translate(F.col(text_col), "\x01\x02", "  "), r"\r?\n")
     numbered = F.array_join(F.transform(lines, lambda l, i: F.concat(i.cast("string"), F.lit("\x01"), l)), "\n")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.split(F.regexp_replace(numbered, JOINED, "\x02"), "\n").alias("runs"))
-    runs = texts.select("doc_id", F.explode("runs").alias("run"))
-    runs = runs.select("doc_id", F.substring_index("run", "\x01", 1).cast("int").alias("line"), F.split(F.expr("substr(run, instr(run, '\x01') + 1)"), "\x02").alias("parts"))
+    runs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(F.split(F.regexp_replace(numbered, JOINED, "\x02"), "\n")).alias("run"))
+    runs = runs.select("doc_id", F.substring_index("run", "\x01", 1).cast("int").alias("line"), _once("parts", F.split(F.expr("substr(run, instr(run, '\x01') + 1)"), "\x02")))
     whole = F.when(F.size("parts") > 1, F.array(F.struct(F.col("line").alias("line"), F.size("parts").alias("lines"), F.array_join("parts", " ").alias("paragraph"))))
     single = F.transform("parts", lambda l, i: F.struct((F.col("line") + i).alias("line"), F.lit(1).alias("lines"), l.alias("paragraph")))
     return runs.select("doc_id", F.explode(F.concat(single, F.coalesce(whole, F.slice(single, 1, 0)))).alias("u")).select("doc_id", "u.*").filter(F.btrim("paragraph") != "")
@@ -177,7 +208,11 @@ def scan(docs: DataFrame, min_probability: float = 0.5, id_col: str = "doc_id",
     families, _, weights, temperature = trained()
     spark = docs.sparkSession
     model, known = _tables(spark)
-    found = paragraphs(docs, id_col, text_col).withColumn("grams", _grams(F.col("paragraph"))).filter(F.arrays_overlap("grams", F.lit(phrases())))
+    held = _anchored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text")
+    units = _anchored(paragraphs(held), "paragraph")
+    units = units.select("*", _once("words", _words(F.col("paragraph"))))
+    units = units.select("*", _once("pairs", _pairs(F.col("words")))).filter(F.arrays_overlap("pairs", F.lit(phrases())))
+    found = units.select("doc_id", "line", "lines", "paragraph", F.array_distinct(F.concat("words", "pairs")).alias("grams"))
     found = Scratch(spark, "licences").table("found", found)
     # One row for each distinct paragraph is classified: a statement that many documents share costs one.
     texts = found.select("paragraph", "grams").dropDuplicates(["paragraph"])
