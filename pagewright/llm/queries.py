@@ -47,8 +47,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_warc(read(spark, sf_dir, "pages"), scratch.path("archives"))
     records = scratch.table("records", warc.summarise(warc.read_warc(spark, scratch.path("archives"))))
     captures = scratch.table("captures", warc.assemble(records).withColumn("page_id", warc.page_id(F.col("metadata"))))
-    first = captures.filter("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("first_page"))
-    return captures.join(first, "refers_to", "left").select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("first_page").alias("refers_to"))
+    first = captures.filter("type = 'response'").groupBy(F.col("record_id").alias("_to")).agg(F.min("page_id").alias("first_page"))
+    joined = captures.withColumn("_to", F.coalesce("refers_to", "record_id")).join(first, "_to", "left")
+    revisit = F.when(F.col("type") == "revisit", F.col("first_page"))
+    return joined.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), revisit.alias("refers_to"))
 
 
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

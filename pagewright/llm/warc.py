@@ -138,8 +138,9 @@ def assemble(records: DataFrame) -> DataFrame:
     one = lambda df, c: df.groupBy("record_id").agg(F.min(c).alias(c))  # noqa: E731  of several, that of the least identifier
     request = one(request.select(F.col("concurrent_to").alias("record_id"), "request"), "request")
     captures = captured.join(request, "record_id", "left").join(one(fields, "metadata"), "record_id", "left")
-    full = captured.filter("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("size").alias("full_size"))
-    return captures.join(full, "refers_to", "left").select(
+    # A response stands for itself here: without a key of its own, all responses would meet in one task.
+    full = captured.filter("type = 'response'").groupBy(F.col("record_id").alias("_to")).agg(F.min("size").alias("full_size"))
+    return captures.withColumn("_to", F.coalesce("refers_to", "record_id")).join(full, "_to", "left").select(
         "record_id", "type", "target_uri", "date", "refers_to", F.when(F.col("type") == "revisit", F.col("full_size")).otherwise(F.col("size")).alias("payload_bytes"), F.col("digest").alias("payload_digest"), "request", "metadata", *more
     )
 
