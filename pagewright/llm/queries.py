@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import decontamination, embedding_dedup, licences, minhash_dedup, mixing, passages, quality, token_output, toxicity, warc
+from pagewright.llm import decontamination, embedding_dedup, licences, minhash_dedup, mixing, passages, quality, spelling, token_output, toxicity, warc
 from pagewright.llm.common import Scratch, read
 
 
@@ -67,8 +69,27 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def dropped_letters(doc_id: int | None):
+    """What changes a document's runs: one in 199, by a hash of the id and the run, loses the letter that the hash names."""
+    seed = zlib.crc32(f"{doc_id}:".encode())
+
+    def change(word: str) -> str:
+        h = zlib.crc32(word.encode(), seed)
+        if h % 199:
+            return word
+        at = h % len(word)
+        return word[:at] + word[at + 1 :]
+
+    return change
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spelling.word_counts(read(spark, sf_dir, "documents"), min_length=6, min_count=5, edit=dropped_letters)
+    return spelling.variants(counts, min_length=6, ratio=5)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_embeddings, op4_licences, op5_toxicity, op6_warc, op7_decontamination, op8_tokens, op9_passages, op10_minhash)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_embeddings, op4_licences, op5_toxicity, op6_warc, op7_decontamination, op8_tokens, op9_passages, op10_minhash, op13_spelling)}
 
 
 SQL_WARC = """
@@ -81,5 +102,40 @@ FROM (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) A
 """
 
 
+# A CRC is worked out bit by bit: a byte is mixed in, then eight shifts follow. Letters are ASCII or two bytes beginning with 195.
+SQL_SPELLING = """
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zà-ÿÀ-ß]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL),
+crcs AS (
+  SELECT doc_id, run, n,
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+           flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END)),
+           lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END)) AS h
+  FROM runs),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM crcs)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, n, i, substr(word, 1, i::INT - 1) || substr(word, i::INT + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+shorter AS (SELECT DISTINCT c.word, c.n, w.word AS other, w.n AS other_n FROM cut c JOIN words w ON w.word = c.rest),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION ALL SELECT word, other, other_n FROM shorter
+  UNION ALL SELECT other, word, n FROM shorter),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS top FROM near GROUP BY word),
+named AS (SELECT b.word, b.n_near, b.top, min(e.other) AS other FROM best b JOIN near e ON e.word = b.word AND e.other_n = b.top GROUP BY ALL),
+formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN b.top >= 5 * w.n THEN b.other END AS form, CASE WHEN b.top >= 5 * w.n THEN b.top END AS form_n
+  FROM words w LEFT JOIN named b USING (word)),
+paths AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL SELECT p.word, f.form FROM paths p JOIN formed f ON f.word = p.root WHERE f.form IS NOT NULL),
+roots AS (SELECT p.word, p.root FROM paths p JOIN formed f ON f.word = p.root WHERE f.form IS NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM formed f JOIN roots r USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": SQL_WARC}
+    return {"op6_warc": SQL_WARC, "op13_spelling": SQL_SPELLING}
