@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import decontamination, embedding_dedup, licences, minhash_dedup, mixing, passages, quality, spelling, token_output, toxicity, warc, whitening
+from pagewright.llm import decontamination, embedding_dedup, licences, minhash_dedup, mixing, passages, quality, spelling, spotsigs, token_output, toxicity, warc, whitening
 from pagewright.llm.common import Scratch, read
 
 
@@ -73,6 +73,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"), components=16, scale=64.0, shift=1_000_000)
 
 
+def op12_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_edited(read(spark, sf_dir, "documents"))
+
+
 def dropped_letters(doc_id: int | None):
     """What changes a document's runs: one in 199, by a hash of the id and the run, loses the letter that the hash names."""
     seed = zlib.crc32(f"{doc_id}:".encode())
@@ -93,7 +97,7 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_embeddings, op4_licences, op5_toxicity, op6_warc, op7_decontamination, op8_tokens, op9_passages, op10_minhash, op11_whitening, op13_spelling)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_embeddings, op4_licences, op5_toxicity, op6_warc, op7_decontamination, op8_tokens, op9_passages, op10_minhash, op11_whitening, op12_spotsigs, op13_spelling)}
 
 
 SQL_WARC = """
