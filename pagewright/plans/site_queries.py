@@ -13,6 +13,7 @@ from pagewright.operators import brand, crawl, facts, layout, titles
 from pagewright.plans.knowledge import Stages
 from pagewright.plans.queries import EDGES, HOST, KINDS, NAVS, PARTS, SQL, URLS, host_pages, html_title_h1, nav_rows, plain, query, sql_line, sql_plain, sql_source, table
 from pagewright.sources import brand_html
+from pagewright.sources import html as html_source
 
 # Layout cleaning, over pages put into Markdown by pattern
 
@@ -252,3 +253,19 @@ def brand_marks(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.expr(MARKS.format("page_id")), "html").alias("html"))
     found = brand_html.brand_pages(pages.select(F.concat_ws(" ", "page_id", "url").alias("url"), F.concat(F.lit('<base href="'), "url", F.lit('">'), "html").alias("html")))
     return found.select(F.split_part("url", F.lit(" "), F.lit(1)).cast("bigint").alias("page_id"), F.split_part("url", F.lit(" "), F.lit(2)).alias("url"), "faviconUrl", "logoUrl", "logoConfidence")
+
+
+# Main content
+
+
+@query(r"""
+SELECT page_id, text FROM (
+  SELECT page_id, trim(regexp_replace(regexp_replace(replace(regexp_replace(article, '<[^>]+>', ' ', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '[*#\s]+', ' ', 'g')) AS text
+  FROM (SELECT page_id, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS article FROM pages))
+WHERE length(text) >= 1000
+""")
+def main_content(spark, sf_dir):
+    """Text of the pages' articles of 1,000 characters or more, found with every semantic element made a plain one, so by points alone."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), F.regexp_replace("html", "<(/?)(?:article|nav|footer)>", "<$1div>").alias("html"))
+    found = html_source.scrape_pages(pages).filter("article").select(F.col("url").cast("long").alias("page_id"), F.trim(F.regexp_replace("markdown", r"[*#\s]+", " ")).alias("text"))
+    return found.filter(F.length("text") >= 1000)

@@ -1,7 +1,8 @@
 """HTML pages to Markdown, structure and signals: one parser pass per page, as an Arrow function.
 
-The parser keeps a stack of open elements and tolerates unclosed ones. Markdown is taken from `main`, `article` or the
-body, in that order, without navigation, footers, forms, scripts, hidden parts and dialogs.
+The parser keeps a stack of open elements and tolerates unclosed ones. Markdown is taken from the page's article, if it has
+one (see `article`), else from `main`, `article` or the body, in that order, without navigation, footers, forms, scripts,
+hidden parts and dialogs.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql.types import StructType
 
 from pagewright.functions.urls import TRACKING_PARAMS
 from pagewright.schemas import STRUCTURE
+from pagewright.sources.article import main_content
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKS = {"p", "div", "section", "article", "main", "header", "ul", "ol", "table", "tr", "blockquote", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "li", "dl", "dt", "dd"}
@@ -249,20 +251,28 @@ def structure_of(root: Node) -> dict:
     return {"headings": heads, "forms": forms, "nav": nav[:NAV_LINKS], "footerText": footer, "signals": signals}
 
 
+def byline(root: Node) -> str | None:
+    """Who wrote the page, if an element is marked so."""
+    marked = (x.text() for x in root.all() if x.attrs.get("rel") == "author" or "author" in x.attrs.get("itemprop", "").split() or {"byline", "author"} & set(x.attrs.get("class", "").lower().split()))
+    return next((t for t in marked if 0 < len(t) < 100), None)
+
+
 def parse_page(html: str, url: str) -> dict:
     builder = Builder()
     builder.feed(html)
     builder.close()
     root = builder.root
     base = next((urljoin(url, b.attrs["href"]) for b in root.all("base") if b.attrs.get("href")), url)
-    main = next(root.all("main"), None) or next(root.all("article"), None) or next((x for x in root.all() if x.attrs.get("role") == "main"), None) or next(root.all("body"), None) or root
+    found = main_content(next(root.all("body"), root), is_noise, Node)
+    main, excerpt = found or (None, None)
+    main = main or next(root.all("main"), None) or next(root.all("article"), None) or next((x for x in root.all() if x.attrs.get("role") == "main"), None) or next(root.all("body"), None) or root
     meta = {m.attrs.get("name", m.attrs.get("property", "")).lower(): m.attrs.get("content") for m in root.all("meta")}
     text = re.sub(r"\n{3,}", "\n\n", "\n\n".join(markdown(main, base))).strip()
     title = next((t.text() for t in root.all("title")), None)
-    return {"markdown": f"{text}\n" if text else None, "title": title or None, "description": meta.get("description") or meta.get("og:description"), "author": meta.get("author"), "structure": structure_of(root), "error": None if text else "no content"}
+    return {"markdown": f"{text}\n" if text else None, "title": title or None, "description": meta.get("description") or meta.get("og:description") or excerpt or None, "author": meta.get("author") or byline(root), "article": found is not None, "structure": structure_of(root), "error": None if text else "no content"}
 
 
-SCHEMA = f"url string, markdown string, title string, description string, author string, structure {STRUCTURE}, error string"
+SCHEMA = f"url string, markdown string, title string, description string, author string, article boolean, structure {STRUCTURE}, error string"
 
 
 def _parse(schema: pa.Schema):
