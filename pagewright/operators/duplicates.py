@@ -1,7 +1,8 @@
 """Exact and near duplicates among a job's pages, with the first page of each group as its canonical one.
 
 Near duplicates are decided greedily in page order: a page is a leader unless an earlier leader absorbed it. That is the
-lexicographically first maximal independent set of the similarity graph, found in rounds of joins.
+lexicographically first maximal independent set of the similarity graph, found in rounds of joins in which leaders come
+first, so a template of many near-equal pages costs as many rows as it has pages.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.text import length_bucket, normalize_body, shingles
 
-SHORTEST, CANDIDATES, LENGTH_RATIO = 50, 200, 0.82
+SHORTEST, LENGTH_RATIO = 50, 0.82
+#: Undecided sets of one shingle that are compared with each other.
+SMALL = 64
 
 
 def with_bodies(pages: DataFrame, text_col: str = "cleanedMarkdown") -> DataFrame:
@@ -36,21 +39,40 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     return rows.select("job_id", "ord", "fingerprint", "chars", "bucket", F.transform(shingles(F.col("body")), lambda s: F.xxhash64(s)).alias("s"))
 
 
-def sharing_pairs(sets: DataFrame, threshold: float, key: str = "fingerprint") -> DataFrame:
-    """Pairs (a before b) that may reach the threshold: they share one of their rarest shingles.
+def thousandths(threshold: float) -> int:
+    """The least similarity, in thousandths, that rounds to the threshold in hundredths."""
+    return round(threshold * 1000) - 5
+
 
-    A set of n shingles whose similarity to another is t or more shares one of its n - ceil(t n) + 1 rarest with it, so
-    only those meet in the join, and common shingles hardly do. Shingles of one page only come first among the rarest and
-    meet nobody, so they are counted and not carried further.
+def rare_entries(sets: DataFrame, threshold: float, key: str = "fingerprint") -> DataFrame:
+    """Rows (job_id, key, s, ord, n, indexed): the rarest shingles of each set, by which similar sets must meet.
+
+    With shingles in one order, rarest first, two sets of similarity t or more have a common one among the first
+    n - ceil(t n) + 1 of the larger set and the first m - ceil(2t/(1+t) m) + 1 of the smaller one, so of two sets the
+    smaller is met by its `indexed` shingles only. Shingles of one page come first in the order and meet nobody: they are
+    counted and not carried further.
     """
+    least = thousandths(threshold)
     each = sets.select("job_id", key, "ord", F.size("s").alias("n"), F.explode("s").alias("s"))
     counts = each.groupBy("job_id", key, "s").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = each.join(counts, ["job_id", key, "s"])
     page = Window.partitionBy("job_id", "ord")
     ranked = ranked.withColumn("r", F.col("n") - F.count("*").over(page) + F.row_number().over(page.orderBy("df", "s")))
-    rare = ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * (threshold - 0.005)) + 1).select("job_id", key, "s", "ord")
-    left, right = rare.withColumnRenamed("ord", "a"), rare.withColumnRenamed("ord", "b")
-    return left.join(right, ["job_id", key, "s"]).filter("b > a").select("job_id", "a", "b").distinct()
+    first = lambda share, whole: F.expr(f"r <= n - div(n * {share} + {whole - 1}, {whole}) + 1")
+    return ranked.filter(first(least, 1000)).select("job_id", key, "s", "ord", "n", first(2 * least, 1000 + least).alias("indexed"))
+
+
+def meeting(left: DataFrame, right: DataFrame, key: str = "fingerprint") -> DataFrame:
+    """Pairs (job_id, a, b), a before b, of entries of two tables that may be similar."""
+    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("job_id", key, "s")]
+    may = F.expr("l.ord < r.ord and (l.indexed and l.n <= r.n or r.indexed and r.n <= l.n)")
+    return left.alias("l").join(right.alias("r"), on).filter(may).select("l.job_id", F.col("l.ord").alias("a"), F.col("r.ord").alias("b")).distinct()
+
+
+def sharing_pairs(sets: DataFrame, threshold: float, key: str = "fingerprint") -> DataFrame:
+    """All pairs (a before b) that may reach the threshold."""
+    entries = rare_entries(sets, threshold, key)
+    return meeting(entries, entries, key)
 
 
 def ranked_pairs(pairs: DataFrame, rows: DataFrame, key: str = "fingerprint") -> DataFrame:
@@ -79,13 +101,17 @@ def similar_pairs(sets: DataFrame, threshold: float = 0.94, most: int | None = N
     met = sharing_pairs(sets, threshold)
     if most is not None:
         met = ranked_pairs(met, sets).filter(F.col("rank") <= most).drop("rank")
+    return confirmed(met, sets, threshold)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Rows (job_id, a, b, overlap, union) of the pairs that reach the threshold and whose lengths are near."""
     side = lambda name: sets.select("job_id", F.col("ord").alias(name), F.col("chars").alias(f"{name}_chars"), F.col("bucket").alias(f"{name}_bucket"), F.col("s").alias(f"{name}_s"))
-    met = met.join(side("a"), ["job_id", "a"]).join(side("b"), ["job_id", "b"])
+    met = pairs.join(side("a"), ["job_id", "a"]).join(side("b"), ["job_id", "b"])
     met = met.filter((F.abs(F.col("a_bucket") - F.col("b_bucket")) <= 2) & (F.least("a_chars", "b_chars") >= LENGTH_RATIO * F.greatest("a_chars", "b_chars")))
     met = met.withColumn("overlap", F.size(F.array_intersect("a_s", "b_s"))).withColumn("union", F.greatest(F.lit(1), F.size("a_s") + F.size("b_s") - F.col("overlap")))
     # A similarity that rounds to the threshold or more, in whole numbers.
-    least = round(threshold * 1000) - 5
-    return met.filter(F.col("overlap") * 1000 >= F.col("union") * least).select("job_id", "a", "b", "overlap", "union")
+    return met.filter(F.col("overlap") * 1000 >= F.col("union") * thousandths(threshold)).select("job_id", "a", "b", "overlap", "union")
 
 
 def greedy_leaders(nodes: DataFrame, edges: DataFrame, save) -> DataFrame:
@@ -108,19 +134,69 @@ def greedy_leaders(nodes: DataFrame, edges: DataFrame, save) -> DataFrame:
     return state.join(led, ["job_id", "ord"], "left").select("job_id", "ord", F.when(F.col("leads"), F.col("ord")).otherwise(F.col("first")).alias("leader"))
 
 
-def mark_duplicates(pages: DataFrame, save, threshold: float = 0.94, most: int | None = CANDIDATES, text_col: str = "cleanedMarkdown") -> DataFrame:
+def near_leaders(sets: DataFrame, threshold: float, save, key: str = "fingerprint", small: int = SMALL) -> DataFrame:
+    """job_id, ord, leader, overlap, union: each set's earliest leader of similarity `threshold` or more, itself for leaders.
+
+    Leaders come first, so near-equal pages never meet each other. In a round every shingle names the earliest undecided
+    set that it can bring together with others; a set that no shingle gives an earlier one leads. The new leaders, and
+    only they, meet the other sets of their shingles, at most one leader for each entry; what is similar is absorbed. When
+    no shingle has more than `small` undecided sets, these are compared among each other, which is linear too, and
+    decided by their links. Tables of a round are deleted when the next one is written.
+    """
+    entries = save("entries", rare_entries(sets, threshold, key))
+    page = ["job_id", "ord"]
+    nobody = [F.lit(None).cast("boolean").alias("leads"), F.lit(None).cast(f"struct<leader:{dict(sets.dtypes)['ord']},overlap:int,union:int>").alias("led")]
+    state = save("state-0", sets.select(*page, *nobody))
+
+    def absorbed(state: DataFrame, leaders: DataFrame) -> DataFrame:
+        """The state after new leaders (job_id, ord) have met all sets that don't lead and have no earlier leader."""
+        heads = entries.join(leaders, page, "left_semi")
+        others = entries.join(state.filter("not coalesce(leads, false)").select(*page, "led.leader").join(leaders, page, "left_anti"), page)
+        pairs = meeting(heads, others.drop("leader"), key)
+        links = confirmed(pairs, sets, threshold).groupBy("job_id", F.col("b").alias("ord")).agg(F.min(F.struct(F.col("a").alias("leader"), "overlap", "union")).alias("now"))
+        new = state.join(leaders.withColumn("new", F.lit(True)), page, "left").join(links, page, "left")
+        leads = F.when(F.col("new") | F.col("leads"), True).when(F.coalesce("led", "now").isNotNull(), False)
+        return new.select(*page, leads.alias("leads"), F.least("led", "now").alias("led"))
+
+    i = 0
+    while True:
+        i += 1
+        undecided = state.filter("leads is null").select(*page)
+        open_ = save(f"open-{i}", entries.join(undecided, page, "left_semi"))
+        firsts = save(f"firsts-{i}", open_.groupBy("job_id", key, "s").agg(F.min("ord").alias("first"), F.min(F.when(F.col("indexed"), F.col("ord"))).alias("first_indexed"), F.count("*").alias("many")))
+        most = firsts.agg(F.max("many")).first()[0] or 0
+        last = most <= small
+        if last:
+            edges = save("edges", confirmed(meeting(open_, open_, key), sets, threshold))
+            found = greedy_leaders(undecided, edges.select("job_id", "a", "b"), save)
+            leaders = save(f"leaders-of-{i}", found.filter("leader = ord").select(*page))
+        else:
+            blocked = open_.join(firsts, ["job_id", key, "s"]).filter("if(indexed, first, first_indexed) < ord").select(*page).distinct()
+            leaders = save(f"leaders-of-{i}", undecided.join(blocked, page, "left_anti"))
+        state = save(f"state-{i}", absorbed(state, leaders))
+        drop = getattr(save, "drop", lambda *names: None)
+        drop(f"open-{i}", f"firsts-{i}", f"state-{i - 1}", f"leaders-of-{i}")
+        if last:
+            return state.select(*page, F.when(F.col("leads"), F.col("ord")).otherwise(F.col("led.leader")).alias("leader"), "led.overlap", "led.union")
+
+
+def mark_duplicates(pages: DataFrame, save, threshold: float = 0.94, most: int | None = None, text_col: str = "cleanedMarkdown") -> DataFrame:
     """Pages (with a fingerprint) with canonical_ord, duplicateConfidence and isDuplicate.
 
-    An exact copy keeps confidence 1 and follows its representative to that one's leader.
+    An exact copy keeps confidence 1 and follows its representative to that one's leader. With `most`, a page is compared
+    with its first `most` candidates only; that needs all pairs of pages that may be similar.
     """
     rows = save("bodies", with_bodies(pages, text_col).select("job_id", "ord", "fingerprint", "body", "chars", "bucket"))
     exact = exact_duplicates(rows, save)
     reps = rows.join(exact.filter("ord = first_ord").select("job_id", "ord"), ["job_id", "ord"], "left_semi")
     sets = save("sets", shingle_sets(reps))
-    edges = save("similar", similar_pairs(sets, threshold, most))
-    leaders = greedy_leaders(sets, edges.select("job_id", "a", "b"), save)
+    if most is None:
+        led = near_leaders(sets, threshold, save)
+    else:
+        edges = save("similar", similar_pairs(sets, threshold, most))
+        led = greedy_leaders(sets, edges.select("job_id", "a", "b"), save).join(edges.select("job_id", F.col("a").alias("leader"), F.col("b").alias("ord"), "overlap", "union"), ["job_id", "leader", "ord"], "left")
     score = F.floor((F.col("overlap") * 200 + F.col("union")) / (F.col("union") * 2)) / 100
-    near = leaders.join(edges.select("job_id", F.col("a").alias("leader"), F.col("b").alias("ord"), score.alias("near")), ["job_id", "leader", "ord"], "left").select("job_id", F.col("ord").alias("first_ord"), "leader", "near")
+    near = led.select("job_id", F.col("ord").alias("first_ord"), "leader", F.when(F.col("leader") != F.col("ord"), score).alias("near"))
     found = exact.join(near, ["job_id", "first_ord"])
     found = found.select("job_id", "ord", F.col("leader").alias("canonical"), F.when(F.col("ord") != F.col("first_ord"), 1.0).otherwise(F.coalesce("near", F.lit(1.0))).alias("duplicateConfidence"))
     out = pages.join(found, ["job_id", "ord"], "left")

@@ -28,6 +28,12 @@ class Stages:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later plan reads."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def build_knowledge(pages: DataFrame, threshold: float = 0.94) -> dict[str, DataFrame]:
     """Tables of a build from scraped pages (schema PAGE). Cleaning and duplicate marking are written once and reread."""

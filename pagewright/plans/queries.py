@@ -248,6 +248,35 @@ def shingle_jaccard_pairs(spark, sf_dir):
     return pairs.select("a", "b", F.col("overlap").cast("bigint").alias("overlap"), F.col("union").cast("bigint").alias("union"))
 
 
+# Sets of shingles meet by the shingles they share. Documents that have links are taken in order; one that no earlier leader is linked to joins the leaders.
+@query(f"""
+WITH RECURSIVE b AS (SELECT * FROM ({BODIES}) WHERE chars >= 50), r AS (SELECT *, list_filter(string_split(body, ' '), lambda x: x <> '') AS w FROM b WHERE doc_id IN (SELECT min(doc_id) FROM b GROUP BY lang, body)),
+s AS (SELECT *, list_distinct(list_transform(range(1, greatest(1, len(w) - 2) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM r),
+x AS (SELECT lang, doc_id, chars, bucket, len(s) AS n, unnest(s) AS g FROM s),
+alike AS (
+  SELECT x.doc_id AS a, z.doc_id AS b, count(*) AS overlap, any_value(x.n) + any_value(z.n) - count(*) AS "union"
+  FROM x JOIN x z ON x.lang = z.lang AND x.g = z.g AND z.doc_id > x.doc_id AND abs(x.bucket - z.bucket) <= 2 AND least(x.chars, z.chars) >= 0.82 * greatest(x.chars, z.chars)
+  GROUP BY x.doc_id, z.doc_id HAVING 200 * count(*) >= 159 * (any_value(x.n) + any_value(z.n) - count(*))),
+linked AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM (SELECT a AS doc_id FROM alike UNION SELECT b FROM alike)),
+walk AS (
+  SELECT 0::BIGINT AS i, []::BIGINT[] AS leaders
+  UNION ALL
+  SELECT l.i, CASE WHEN EXISTS (SELECT 1 FROM alike e WHERE e.b = l.doc_id AND list_contains(w.leaders, e.a)) THEN w.leaders ELSE list_append(w.leaders, l.doc_id) END
+  FROM walk w JOIN linked l ON l.i = w.i + 1),
+leaders AS (SELECT unnest(leaders) AS a FROM (SELECT leaders FROM walk ORDER BY i DESC LIMIT 1)),
+led AS (SELECT b AS doc_id, min(a) AS leader FROM alike JOIN leaders USING (a) WHERE b NOT IN (SELECT a FROM leaders) GROUP BY b),
+firsts AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, body) AS first_id FROM b)
+SELECT d.doc_id, coalesce(l.leader, f.first_id, d.doc_id) AS leader,
+       CASE WHEN f.first_id = d.doc_id AND l.leader IS NOT NULL THEN floor((e.overlap * 200 + e."union") / (e."union" * 2)) / 100.0 ELSE 1.0 END AS confidence
+FROM documents d LEFT JOIN firsts f ON f.doc_id = d.doc_id LEFT JOIN led l ON l.doc_id = f.first_id LEFT JOIN alike e ON e.a = l.leader AND e.b = d.doc_id
+""")
+def near_document_leaders(spark, sf_dir):
+    """Greedy leaders among the documents of a language, at similarities that round to 0.8 or more."""
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("job_id"), F.col("doc_id").alias("ord"), F.lit("f").alias("fingerprint"), F.col("text").alias("cleanedMarkdown"))
+    found = duplicates.mark_duplicates(docs, Stages(spark, "documents"), 0.8)
+    return found.select(F.col("ord").alias("doc_id"), F.col("canonical_ord").alias("leader"), F.col("duplicateConfidence").alias("confidence"))
+
+
 @query()
 def near_duplicate_leaders(spark, sf_dir):
     """Greedy leaders among pages of a host, by the whole operator."""
