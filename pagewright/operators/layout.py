@@ -52,17 +52,35 @@ def nav_texts(pages: DataFrame) -> DataFrame:
     return rows.select("job_id", normalize_line(F.col("link.text")).alias("norm"), "ord").filter("norm != ''").groupBy("job_id", "norm").agg(F.min("ord").alias("first_ord"))
 
 
-def footer_lines(pages: DataFrame, rows: DataFrame) -> DataFrame:
-    """Distinct (job_id, trimmed) lines of more than SHORT_FOOTER characters that stand in a footer of the job.
+def _grams(text: str) -> Column:
+    """Distinct runs of SHORT_FOOTER + 1 characters of a column that has as many or more."""
+    width = SHORT_FOOTER + 1
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - SHORT_FOOTER), lambda i: F.substr(text, i, F.lit(width))))
+
+
+def footer_candidates(pages: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What lines are compared with: (lines with one footer each, grams of footers, footers).
 
-    A line meets the footers that hold its first characters, so neither a job's footers nor its lines come together.
+    A line can stand in a footer only if all of its grams stand in footers of its job, so it is looked up by its first one,
+    and what is left by all; one that no footer has drops the line. The rarest of them, by the number of footers that hold
+    it, then says which footers to try, however many lines and footers begin alike; the first of these is tried alone.
     """
-    width = SHORT_FOOTER + 1
-    foot = pages.select("job_id", F.col("structure.footerText").alias("footer")).filter(F.length("footer") >= width).distinct()
-    grams = foot.select("job_id", "footer", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("footer") - SHORT_FOOTER), lambda i: F.substr("footer", i, F.lit(width))))).alias("gram"))
-    texts = rows.select("job_id", F.trim("line").alias("trimmed")).filter(F.length("trimmed") >= width).distinct()
-    met = texts.withColumn("gram", F.substring("trimmed", 1, width)).join(grams, ["job_id", "gram"])
-    return met.filter(F.contains("footer", F.col("trimmed"))).select("job_id", "trimmed").distinct()
+    foot = pages.select("job_id", F.col("structure.footerText").alias("footer")).filter(F.length("footer") > SHORT_FOOTER).distinct().withColumn("of", F.xxhash64("footer"))
+    grams = foot.select("job_id", "of", F.explode(_grams("footer")).alias("gram"))
+    counts = grams.groupBy("job_id", "gram").agg(F.count("*").alias("footers"), F.min("of").alias("of"))
+    texts = rows.select("job_id", F.trim("line").alias("trimmed")).filter(F.length("trimmed") > SHORT_FOOTER).distinct()
+    begun = texts.withColumn("gram", F.substring("trimmed", 1, SHORT_FOOTER + 1)).join(counts, ["job_id", "gram"], "left_semi")
+    each = begun.select("job_id", "trimmed", F.explode(_grams("trimmed")).alias("gram")).join(counts, ["job_id", "gram"], "left")
+    rarest = each.groupBy("job_id", "trimmed").agg(F.min(F.struct("footers", "gram", "of")).alias("r"), F.bool_and(F.col("footers").isNotNull()).alias("all")).filter("all")
+    return rarest.select("job_id", "trimmed", "r.gram", "r.of"), grams, foot
+
+
+def footer_lines(pages: DataFrame, rows: DataFrame) -> DataFrame:
+    """Distinct (job_id, trimmed) lines of more than SHORT_FOOTER characters that stand in a footer of the job."""
+    lines_, grams, foot = footer_candidates(pages, rows)
+    tried = lines_.join(foot, ["job_id", "of"]).groupBy("job_id", "trimmed", "gram").agg(F.bool_or(F.contains("footer", F.col("trimmed"))).alias("found"))
+    others = tried.filter("not found").join(grams, ["job_id", "gram"]).join(foot, ["job_id", "of"]).filter(F.contains("footer", F.col("trimmed")))
+    return tried.filter("found").select("job_id", "trimmed").union(others.select("job_id", "trimmed").distinct())
 
 
 def common_lines(pages: DataFrame, rows: DataFrame | None = None, nav: DataFrame | None = None) -> DataFrame:

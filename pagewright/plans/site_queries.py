@@ -81,6 +81,13 @@ def line_reasons(spark, sf_dir):
     return layout.line_reasons(pattern_pages(spark, sf_dir)).select("job_id", F.col("ord").alias("page_id"), F.col("no").cast("bigint").alias("no"), "line", "reason")
 
 
+@query(f"{INDEXES} SELECT DISTINCT l.job_id, l.t AS line FROM (SELECT DISTINCT job_id, t FROM ll WHERE length(t) > 8) l JOIN (SELECT DISTINCT job_id, footer FROM pp) p ON p.job_id = l.job_id AND contains(p.footer, l.t)")
+def footer_lines(spark, sf_dir):
+    """Lines of more than eight characters that stand in a footer of their host."""
+    pages = pattern_pages(spark, sf_dir)
+    return layout.footer_lines(pages, layout.page_lines(pages)).select("job_id", F.col("trimmed").alias("line"))
+
+
 # Titles
 
 SEP = titles.SEPARATOR.replace("'", "''")
