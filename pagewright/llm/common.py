@@ -58,6 +58,12 @@ class Scratch:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def free(self, *names: str) -> None:
+        """Delete tables, and let Spark remove the shuffle files of plans that have ended: it does so for plans that the
+        driver's garbage collector has found unused, which a small driver seldom runs by itself."""
+        self.drop(*names)
+        self.spark._jvm.System.gc()
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -235,3 +235,43 @@ def test_spelling_edges(spark):
     runs = ["".join(random.Random(i).choices("abcdef", k=8)) for i in range(3000)]
     changed = [r for r in runs if queries.dropped_letters(12)(r) != r]
     assert changed == [r for r in runs if zlib.crc32(f"12:{r}".encode()) % 199 == 0] and zlib.crc32(b"ab", seed) == zlib.crc32(b"12:ab")
+
+
+# Passages
+
+
+def test_passage_groups_are_whole(spark):
+    """Groups of 2 to 12 documents that share one planted passage each, some edited, some through other members only."""
+    from pagewright.llm import passages
+
+    rng, fresh = random.Random(9), itertools.count()
+    prose = lambda n: [f"t{next(fresh)}" for _ in range(n)]
+    line = prose(12)  # frequent, but short
+    texts, of = [], {}
+    for size in (2, 3, 5, 12):
+        shared = prose(rng.randint(55, 180))
+        for m in range(size):
+            w = list(shared)
+            if m % 3 == 2:
+                w[len(w) // 2] = f"edit{m}"
+            of[len(texts)] = size
+            texts.append(" ".join([*prose(rng.randint(0, 30)), *line, *prose(rng.randint(30, 60)), *w, *prose(rng.randint(5, 300))]))
+    lone = len(texts)
+    texts += [" ".join([*prose(60), *line, *prose(40)]) for _ in range(10)] + [texts[0], " ".join(prose(40_000)), None, ""]
+    rows = [(i, t, -1, "x") for i, t in enumerate(texts)] + [(3, texts[3], 5, "y"), (None, texts[5], 0, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rep long, group_id string").repartition(5)
+    got = [r for r in passages.repeated_passages(df).collect() if not r.group_id.endswith(":copies")]
+    copy = lone + 10
+    assert {r.doc_id for r in got} == {*of, copy}
+    groups = {}
+    for r in got:
+        groups.setdefault(r.group_id, set()).add(r.doc_id)
+        assert r.partner_id is not None and r.partner_id != r.doc_id
+    want, at = [], 0
+    for size in (2, 3, 5, 12):
+        want.append(set(range(at, at + size)) | ({copy} if at == 0 else set()))
+        at += size
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want))
+    assert all(r.n_links == len(groups[r.group_id]) - 1 for r in got)
+    whole = [r for r in passages.repeated_passages(df).collect() if r.group_id.endswith(":copies")]
+    assert sorted((r.doc_id, r.partner_id, r.n_links) for r in whole) == [(0, None, 1), (copy, 0, 1)]
