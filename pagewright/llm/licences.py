@@ -1,16 +1,19 @@
 """Licence scans: a trained paragraph classifier with an unknown class, confirmed against templates; native on the data.
 
-Training happens once on the driver, on the fixed templates below and nothing else: multinomial logistic regression
-over sparse word 1- and 2-grams, with paragraphs of ordinary prose and of licence-like prose as the unknown class. The
+Training happens once on the driver, on the fixed templates and statements below and nothing else: multinomial logistic
+regression over sparse word 1- and 2-grams, with ordinary prose, licence-like prose and licences of no listed family as
+the unknown class. The
 fitted weights, one row per n-gram, are a table whose size the templates fix.
 
 Scanning is DataFrame operations only. Every line is a paragraph, and so is every run of lines that a hard line break
 joins (the line ends without a sentence mark and the next one isn't blank), so wrapped licence texts are read whole. A
-paragraph is reported if it holds one of the `phrases`, 2-grams chosen from the templates so that without any of them
-less than CONFIRM of each template's 2-grams can be there: nothing that could be confirmed is left out. Its n-grams are joined with the
-weights and summed by paragraph, the constant added, and a softmax gives the family. A temperature fitted on left-out
-templates calibrates the probability; below `min_probability`, or when unknown is likeliest, the family is unknown. The
-share of the family's best template's 2-grams found in the paragraph confirms the prediction.
+paragraph's n-grams are joined with the weights and summed by distinct paragraph, the constant added, and a softmax gives
+the family. A temperature fitted on left-out paragraphs calibrates the probability; below `min_probability`, or when
+unknown is likeliest, the family is unknown, and the paragraph is reported only if it holds a template's 2-gram with a
+content word. The share of the family's best template's 2-grams found in the paragraph confirms the prediction.
+
+Texts and paragraphs with none of the `gate` words aren't scored. For these the model itself can give nothing but
+unknown: `most_without` bounds the score of any paragraph that lacks them, from the fitted weights.
 
 Defined cases: a null, empty or blank text has no paragraphs; equal paragraphs of a document are reported each with its
 line number (of a joined one, that of its first line, with `lines` above 1); control characters 1 and 2 count as
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +36,8 @@ from pagewright.llm.common import Scratch
 UNKNOWN = "unknown"
 # Function words; a 2-gram of nothing else says nothing of licences.
 FUNCTION = frozenset("a all an and any are as at be been but by can for from had has have he her his if in into is it its may no not of on one or our out she so than that the their them there these they this those to under until up upon was we were when where which who will with without you your".split())
+# The most frequent words of the four languages of PROSE.
+FREQUENT = "the of and to a in is that it for was on with as by be this are at from an de la le et les des en un du une que pour est par qui dans der die und den von zu das mit sich auf ist im ein el y los se del las con no su"
 # Short statements by which texts commonly name a licence.
 TEMPLATES = {
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "This software is released under the Apache 2.0 license.", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND", "SPDX-License-Identifier: Apache-2.0", "Distributed under the Apache License 2.0.", "You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0"],
@@ -58,6 +64,20 @@ OTHERS = [
     "Er kam mit dem Zug und ging mit den Kindern in den Garten.", "La casa de la familia está en el centro de la ciudad.", "Elle est venue avec les enfants dans la maison de la ville.", "The library was released in spring and the second version came later.", "All of the rights of the workers were discussed at the meeting.",
     "You may use the room without charge.", "The terms of the agreement were published by the court.", "This work is the first of its kind in the world.", "He may copy the text by hand for any person who asks.", "The program is free for all visitors of the museum.",
 ]
+# Names by which the families, and licences of none of them, go in short statements, and such statements.
+NAMES = {
+    "apache-2.0": ["Apache", "Apache 2.0", "Apache-2.0", "Apache License 2.0"], "mit": ["MIT", "MIT License", "MIT/X11", "MIT/Expat"], "gpl": ["GPL", "GPLv3", "GNU GPL", "GPL-2.0", "GNU General Public License"], "lgpl": ["LGPL", "LGPLv3", "GNU LGPL", "GNU Lesser General Public License"], "agpl": ["AGPL", "AGPLv3", "GNU AGPL", "Affero General Public License"],
+    "bsd": ["BSD", "BSD-3-Clause", "BSD 2-Clause", "New BSD", "Simplified BSD"], "mpl": ["MPL", "MPL 2.0", "Mozilla Public License"], "isc": ["ISC", "ISC License"], "cc-by": ["CC BY", "CC-BY-4.0", "Creative Commons Attribution"], "cc-by-sa": ["CC BY-SA", "CC-BY-SA-4.0", "Creative Commons ShareAlike"], "cc-by-nc": ["CC BY-NC", "CC-BY-NC-4.0", "Creative Commons NonCommercial"],
+    "cc-by-nd": ["CC BY-ND", "CC-BY-ND-4.0", "Creative Commons NoDerivatives"], "public-domain": ["CC0", "CC0 1.0", "public domain", "Unlicense"], "proprietary": ["proprietary", "all rights reserved", "closed source"],
+    UNKNOWN: ["Eclipse", "Eclipse Public License v 2.0", "EPL-2.0", "Boost", "Boost Software License 1.0", "Artistic", "Artistic License 2.0", "zlib", "WTFPL", "EUPL", "CDDL", "Python Software Foundation", "PostgreSQL", "Open Font License", "Microsoft Public License", "driving", "television", "fishing", "trade"],
+}
+FORMS = ["License: {}", "{} licence", "{} licensed", "Released under {}.", "Licensed under the {} license.", "This code is {} licensed.", "SPDX-License-Identifier: {}", "Lizenziert unter der {}-Lizenz", "{}-Lizenz", "Sous licence {}.", "Licencia {}."]
+# Prose of four languages with words that are also names of licences.
+PROSE = [
+    "mit", "mit", "mit", "mit", "mit", "mit", "by", "by", "or", "may", "any", "all", "without", "under", "mit der", "mit dem", "mit den und der", "mit einer", "und mit", "sich mit", "mit ihrer Schwester nach Hause", "Er sprach mit der Familie, die auf dem Land lebt.", "Das Haus mit dem Garten ist von der Stadt nicht weit.", "mit von zu das", "Die Frau ging mit den Kindern auf den Markt, und es war kalt.", "ist mit im nicht dem ein",
+    "avec les", "dans la", "de la et le", "pour une", "by", "and by the", "by the river", "of the", "with the", "is it that was for", "in the", "the and to of a", "version", "source", "public", "work", "software", "general", "copy", "file", "free", "notice", "this", "under the bridge", "terms", "permission", "en el", "de los", "por la", "no", "domain", "common", "use", "conditions",
+    "The version of the story by the river was free for all.", "A copy of the notice was in the file.", "The general public was in the square.", "These conditions and terms of use were new to us.", "Open source", "The software is new.", "He was licensed as a doctor.", "The work of art is on loan.", "No part of it was new.", "copyright", "The rights of man.", "reserved seats", "All seats are reserved.",
+]
 WORD = r"[^a-z0-9.]+"
 # A line end within a paragraph, between a line without a sentence mark at its end and one that isn't blank, with the next
 # line's number and comment mark; both lines are numbered here.
@@ -71,9 +91,10 @@ def ngrams(text: str) -> list[str]:
     return sorted({*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))})
 
 
-def _fit(x: np.ndarray, y: np.ndarray, k: int, ridge: float = 0.02, rounds: int = 800, rate: float = 0.5) -> np.ndarray:
+def _fit(x: np.ndarray, y: np.ndarray, k: int, weight: np.ndarray, ridge: float = 0.02, rounds: int = 250, rate: float = 0.5) -> np.ndarray:
     w, speed = np.zeros((x.shape[1], k)), 0.0
-    hot = np.eye(k)[y] / np.bincount(y, minlength=k)[y][:, None] * len(y) / k
+    hot = np.eye(k)[y] * (weight / np.bincount(y, weight, minlength=k)[y] ** 0.5)[:, None]
+    hot *= len(y) / hot.sum()
     share = hot.sum(axis=1, keepdims=True)
     for _ in range(rounds):
         z = x @ w
@@ -84,13 +105,17 @@ def _fit(x: np.ndarray, y: np.ndarray, k: int, ridge: float = 0.02, rounds: int
     return w
 
 
-def _rows() -> list[tuple[str, int]]:
-    return [(t, i) for i, ts in enumerate(TEMPLATES.values()) for t in ts] + [(t, len(TEMPLATES)) for t in OTHERS]
+def _rows() -> dict[tuple[str, int], int]:
+    """Training paragraphs with their classes, and how often each counts."""
+    families = [*TEMPLATES, UNKNOWN]
+    stated = [(form.format(name), families.index(f)) for form in FORMS for f, names in NAMES.items() for name in names]
+    # Words of prose stand alone in most texts of other vocabulary, so these rows count for more.
+    return Counter([(t, i) for i, ts in enumerate(TEMPLATES.values()) for t in ts] + stated + [(t, len(TEMPLATES)) for t in [*OTHERS, *PROSE * 4]])
 
 
 @functools.cache
-def _matrix() -> tuple[list[str], np.ndarray, np.ndarray]:
-    """N-grams, a row of them for each training paragraph with a last column of ones, and the paragraphs' classes."""
+def _matrix() -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """N-grams, a row of them for each training paragraph with a last column of ones, the paragraphs' classes and weights."""
     rows = _rows()
     grams = sorted({g for t, _ in rows for g in ngrams(t)})
     at = {g: i for i, g in enumerate(grams)}
@@ -99,34 +124,34 @@ def _matrix() -> tuple[list[str], np.ndarray, np.ndarray]:
     for r, (t, _) in enumerate(rows):
         found = [at[g] for g in ngrams(t)]
         x[r, found] = 1 / max(1, len(found)) ** 0.5
-    return grams, x, np.array([c for _, c in rows])
+    return grams, x, np.array([c for _, c in rows]), np.array(list(rows.values()), float)
 
 
 @functools.cache
 def _folds(folds: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Scores of every training paragraph by a fit without its fold, and the classes; n-grams of that fold alone count as unseen."""
-    _, x, y = _matrix()
+    _, x, y, weight = _matrix()
     held = []
     for fold in range(folds):
         test = np.arange(len(y)) % folds == fold
         part = x[test].copy()
         part[:, :-1] = (part[:, :-1] > 0) & (x[~test, :-1] > 0).any(axis=0)
         part[:, :-1] /= np.maximum(1, part[:, :-1].sum(axis=1, keepdims=True)) ** 0.5
-        held.append((part @ _fit(x[~test], y[~test], len(TEMPLATES) + 1), y[test]))
+        held.append((part @ _fit(x[~test], y[~test], len(TEMPLATES) + 1, weight[~test]), y[test]))
     return np.vstack([h[0] for h in held]), np.concatenate([h[1] for h in held])
 
 
 @functools.cache
 def trained() -> tuple[list[str], list[str], np.ndarray, float]:
     """Families, n-grams, weights (a row per n-gram and a last one of constants), and the temperature."""
-    grams, x, y = _matrix()
+    grams, x, y, weight = _matrix()
     z, truth = _folds()
 
     def loss(t):
         q = z / t - (z / t).max(axis=1, keepdims=True)
         return -(q[np.arange(len(q)), truth] - np.log(np.exp(q).sum(axis=1))).mean()
 
-    return [*TEMPLATES, UNKNOWN], grams, _fit(x, y, len(TEMPLATES) + 1), float(min(np.geomspace(0.2, 5, 60), key=loss))
+    return [*TEMPLATES, UNKNOWN], grams, _fit(x, y, len(TEMPLATES) + 1, weight), float(min(np.geomspace(0.2, 5, 60), key=loss))
 
 
 def held_out() -> tuple[float, float, float]:
@@ -141,28 +166,36 @@ def held_out() -> tuple[float, float, float]:
     return float(right.mean()), float(q.max(axis=1).mean()), float(right[other].mean())
 
 
-def _anchor(pair: str) -> str:
-    """The longest content word of a 2-gram, or nothing."""
-    return max((w for w in pair.split() if w not in FUNCTION), key=lambda w: (len(w), w), default="")
-
-
 @functools.cache
 def phrases() -> list[str]:
-    """The templates' 2-grams with a content word of six letters or more, and of templates that have few of them the others
-    with the longest, until a text with none of all these has less than CONFIRM of each template's 2-grams."""
-    pairs = [[g for g in ngrams(t) if " " in g] for ts in TEMPLATES.values() for t in ts]
-    chosen = {g for p in pairs for g in p if len(_anchor(g)) >= 6}
-    for p in pairs:
-        for g in sorted(p, key=lambda g: (len(_anchor(g)), g), reverse=True):
-            if sum(x not in chosen for x in p) < CONFIRM * len(p):
-                break
-            chosen.add(g)
-    return sorted(chosen)
+    """The templates' 2-grams with a content word: what an unknown paragraph must hold to be reported."""
+    return sorted({g for ts in TEMPLATES.values() for t in ts for g in ngrams(t) if " " in g and any(len(w) >= 4 and w not in FUNCTION for w in g.split())})
+
 
+def most_without(words: set[str]) -> float:
+    """How far a family's score can exceed that of unknown, at most, in a paragraph with none of these words.
 
-def anchors() -> list[str]:
-    """A text with none of these as a substring has no phrase."""
-    return sorted({_anchor(g) for g in phrases()})
+    A score is the constant and the sum of the weights of the n known n-grams over the root of n; so the most that any
+    n-grams can add, whatever n, is the largest of the sums of the greatest advantages over the roots of their numbers.
+    """
+    _, grams, weights, _ = trained()
+    left = np.array([not words & set(g.split()) for g in grams])
+    ahead = weights[:, :-1] - weights[:, -1:]
+    gains = -np.sort(-np.maximum(ahead[:-1][left], 0), axis=0)
+    roots = np.arange(1, len(gains) + 1)[:, None] ** 0.5
+    return float((np.max(np.cumsum(gains, axis=0) / roots, axis=0, initial=0) + ahead[-1]).max())
+
+
+@functools.cache
+def gate() -> list[str]:
+    """Words without any of which every paragraph is unknown to the model: all that it knows but the function words, and
+    the words of prose that it can spare."""
+    words = {w for g in trained()[1] for w in g.split()}
+    spared = FUNCTION | {w for t in PROSE for w in ngrams(t) if " " not in w}
+    for w in [*FREQUENT.split(), *sorted(spared - set(FREQUENT.split()))]:
+        if w in words and most_without(words - {w}) < 0:
+            words.remove(w)
+    return sorted(words)
 
 
 def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -186,12 +219,6 @@ def _once(name: str, value):
     return F.explode(F.array(value)).alias(name)
 
 
-def _anchored(df: DataFrame, text: str) -> DataFrame:
-    """Rows that may hold a phrase, before their words are taken apart."""
-    lowered = df.select("*", _once("_lowered", F.lower(F.col(text))))
-    return lowered.filter(F.exists(F.lit(anchors()), lambda w: F.contains(F.col("_lowered"), w))).drop("_lowered")
-
-
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line, lines, paragraph: each line that isn't blank, and each run of lines joined by hard line breaks."""
     lines = F.split(F.translate(F.col(text_col), "\x01\x02", "  "), r"\r?\n")
@@ -204,14 +231,14 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def scan(docs: DataFrame, min_probability: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph with licence phrases: doc_id, line, lines, paragraph, family, probability, similarity, confirmed."""
+    """One row per paragraph of a family, or unknown with a phrase of licences: doc_id, line, lines, paragraph, family, probability, similarity, confirmed."""
     families, _, weights, temperature = trained()
     spark = docs.sparkSession
     model, known = _tables(spark)
-    held = _anchored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text")
-    units = _anchored(paragraphs(held), "paragraph")
-    units = units.select("*", _once("words", _words(F.col("paragraph"))))
-    units = units.select("*", _once("pairs", _pairs(F.col("words")))).filter(F.arrays_overlap("pairs", F.lit(phrases())))
+    words = F.lit(gate())
+    held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.arrays_overlap(_words(F.col("text")), words))
+    units = paragraphs(held).select("*", _once("words", _words(F.col("paragraph")))).filter(F.arrays_overlap("words", words))
+    units = units.select("*", _once("pairs", _pairs(F.col("words"))))
     found = units.select("doc_id", "line", "lines", "paragraph", F.array_distinct(F.concat("words", "pairs")).alias("grams"))
     found = Scratch(spark, "licences").table("found", found)
     # One row for each distinct paragraph is classified: a statement that many documents share costs one.
@@ -229,5 +256,8 @@ def scan(docs: DataFrame, min_probability: float = 0.5, id_col: str = "doc_id",
     compared = scored.join(F.broadcast(known.withColumnRenamed("family", "predicted")), "predicted", "left")
     share = F.coalesce(F.size(F.array_intersect("grams", "template")) / F.size("template"), F.lit(0.0))
     confirmed = compared.groupBy("paragraph", "family", "probability").agg(F.max(share).alias("similarity"))
-    out = found.select("doc_id", "line", "lines", "paragraph").join(confirmed, "paragraph")
+    # Unknown paragraphs are of interest only where they speak of licences.
+    phrased = texts.filter(F.arrays_overlap("grams", F.lit(phrases()))).select("paragraph")
+    told = confirmed.filter(F.col("family") != UNKNOWN).union(confirmed.filter(F.col("family") == UNKNOWN).join(phrased, "paragraph", "left_semi"))
+    out = found.select("doc_id", "line", "lines", "paragraph").join(told, "paragraph")
     return out.select("doc_id", "line", "lines", "paragraph", "family", "probability", "similarity", ((F.col("family") != UNKNOWN) & (F.col("similarity") >= CONFIRM)).alias("confirmed"))
