@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import net, urls
 from pagewright.functions.text import lines
 
-SITEMAPS, LIMIT = 50, 5000
+SITEMAPS, LIMIT, MAX_REDIRECTS = 50, 5000, 5
 # Where sites keep their sitemaps.
 SITEMAP_PATHS = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml"]
 
@@ -113,30 +112,83 @@ def discover(edges: DataFrame, roots: DataFrame, save: Callable, max_depth: int
     return seen.withColumn("r", rank).filter(F.col("r") <= limit).drop("r").withColumn("kind", urls.kind(F.col("url")))
 
 
-def unique_slugs(pages: DataFrame) -> DataFrame:
-    """Pages (job_id, ord, url) with a slug that is unique in the job: base, base-2, base-3 in page order.
+def unique_slugs(pages: DataFrame, save=None) -> DataFrame:
+    """Pages (job_id, ord, url) with a slug that is unique in the job: base, base-2, base-3 in page order, as if each page
+    in turn took the first of these that no earlier page has. `ord` is unique in a job.
 
-    Only jobs where a numbered slug meets another page's own base need the sequential rule; they alone are grouped.
+    A page's place among those of its base gives its number, unless a numbered slug is another page's base too. Those bases
+    alone are settled in rounds: where pages claim one name the earliest keeps it, the others go on to their next number,
+    and the pages of their base after them with them. As names prefer earlier pages and pages smaller numbers, the rounds
+    end in what taking turns gives. Their number is that of the clashes one base meets in a row.
     """
     rows = pages.withColumn("base", urls.base_slug(F.col("url")))
-    number = F.row_number().over(Window.partitionBy("job_id", "base").orderBy("ord"))
-    rows = rows.withColumn("k", number).withColumn("slug", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("k").cast("string"))))
-    met = rows.filter("k > 1").select("job_id", F.col("slug").alias("base")).join(rows.filter("k = 1").select("job_id", "base"), ["job_id", "base"]).select("job_id").distinct()
-
-    def repair(group: pd.DataFrame) -> pd.DataFrame:
-        group, used = group.sort_values("ord"), set()
-        slugs = []
-        for base in group["base"]:
-            slug, i = base, 2
-            while slug in used:
-                slug, i = f"{base}-{i}", i + 1
-            used.add(slug)
-            slugs.append(slug)
-        return group.assign(slug=slugs)[["job_id", "ord", "slug"]]
-
-    again = rows.join(met, "job_id", "left_semi").select("job_id", "ord", "base").groupBy("job_id").applyInPandas(repair, "job_id string, ord long, slug string")
-    fixed = rows.join(again.withColumnRenamed("slug", "fixed"), ["job_id", "ord"], "left")
-    return fixed.withColumn("slug", F.coalesce("fixed", "slug")).drop("base", "k", "fixed")
+    same = Window.partitionBy("job_id", "base")
+    rows = rows.withColumn("k", F.row_number().over(same.orderBy("ord")))
+    bases = rows.filter("k = 1").select("job_id", "base", F.regexp_extract("base", "^(.+)-([1-9][0-9]*)$", 1).alias("stem"))
+    related = bases.filter("stem != ''").join(bases.select("job_id", F.col("base").alias("stem")), ["job_id", "stem"])
+    clashing = related.select("job_id", "base").union(related.select("job_id", "stem")).distinct()
+    if save is None:
+        from pagewright.plans.knowledge import Stages
+
+        save = Stages(pages.sparkSession, "slugs")
+    now = save("slugs-0", rows.join(clashing, ["job_id", "base"], "left_semi").select("job_id", "ord", "base", "k", F.col("k").alias("n")))
+    name = F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("n").cast("string")))
+    i, moving = 0, now.limit(1).count() > 0
+    while moving:
+        i += 1
+        named = now.withColumn("name", name)
+        first = named.groupBy("job_id", "name").agg(F.min("ord").alias("first"))
+        tried = named.join(first, ["job_id", "name"]).withColumn("lost", F.col("ord") > F.col("first"))
+        after = F.max(F.col("n") + F.col("lost").cast("int") - F.col("k")).over(same.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        now = save(f"slugs-{i}", tried.select("job_id", "ord", "base", "k", (F.col("k") + after).alias("n"), "lost"))
+        moving = now.filter("lost").limit(1).count() > 0
+        now = now.drop("lost")
+        save.drop(f"slugs-{i - 1}")
+    fixed = rows.join(now.select("job_id", "ord", "n"), ["job_id", "ord"], "left").withColumn("n", F.coalesce("n", "k"))
+    return fixed.withColumn("slug", name).drop("base", "k", "n")
+
+
+def redirect_chains(fetches: DataFrame, addresses: DataFrame | None = None, save=None) -> DataFrame:
+    """Where each stored fetch (url, status, location) ends: url, final_url, hops, outcome.
+
+    Up to MAX_REDIRECTS redirects are followed over the stored fetches, and every address on the way is judged before it
+    counts as fetched: `blocked` for one that isn't http(s), is local, or is an address, by itself or by `addresses`
+    (host, ip), that isn't public. Other outcomes are `ok`, `http <status>`, `no location`, `missing` (not stored) and
+    `too many`. An end leads to itself, so five steps are one of four and one of one, and four are two doublings: three
+    joins, whatever the chains and loops are. Of rows of one url the one of the least status is taken.
+    """
+    if save is None:
+        from pagewright.plans.knowledge import Stages
+
+        save = Stages(fetches.sparkSession, "redirects")
+    known = fetches.filter("url is not null").groupBy("url").agg(F.min(F.struct("status", "location")).alias("f")).select("url", "f.*")
+    moved = net.is_redirect(F.col("status"))
+    target = F.when(moved & (F.coalesce("location", F.lit("")) != ""), urls.absolutize(F.col("location"), F.col("url")))
+    known = known.withColumn("target", target)
+    places = known.select("url").union(known.filter("target is not null").select("target")).distinct()
+    bare = F.regexp_replace(urls.host(F.col("url")), r"^\[|\]$", "")
+    literal = F.when(bare.rlike(r"^[0-9.]+$"), net.is_public_ipv4(bare)).when(bare.contains(":"), net.is_public_ipv6(bare)).otherwise(~(bare.isin("", "localhost") | bare.rlike(r"\.(localhost|local|internal)$")))
+    places = places.withColumn("open", urls.scheme(F.col("url")).isin("http", "https") & literal)
+    if addresses is not None:
+        public = F.when(F.col("ip").contains(":"), net.is_public_ipv6(F.col("ip"))).otherwise(net.is_public_ipv4(F.col("ip")))
+        hosts = addresses.groupBy(F.lower("host").alias("host")).agg(F.bool_and(public).alias("public"))
+        places = places.withColumn("host", urls.host(F.col("url"))).join(hosts, "host", "left").withColumn("open", F.col("open") & F.coalesce("public", F.lit(True))).drop("host", "public")
+    outcome = (
+        F.when(~F.coalesce("open", F.lit(False)), "blocked").when(F.col("status").isNull(), "missing").when(F.col("target").isNotNull(), F.lit(None)).when(moved, "no location")
+        .when(F.col("status").between(200, 299), "ok").otherwise(F.concat_ws(" ", F.lit("http"), F.col("status").cast("string")))
+    )
+    step = places.join(known, "url", "left").withColumn("outcome", outcome)
+    step = save("step-1", step.select("url", F.when(F.col("outcome").isNull(), F.col("target")).otherwise(F.col("url")).alias("to"), F.col("outcome").isNull().cast("int").alias("hops"), "outcome"))
+
+    def then(first: DataFrame, second: DataFrame) -> DataFrame:
+        onward = second.select(F.col("url").alias("to"), F.col("to").alias("end"), F.col("hops").alias("more"), F.col("outcome").alias("last"))
+        return first.drop("outcome").join(onward, "to").select("url", F.col("end").alias("to"), (F.col("hops") + F.col("more")).alias("hops"), F.col("last").alias("outcome"))
+
+    two = save("step-2", then(step, step))
+    five = then(save("step-4", then(two, two)), step)
+    # After the fifth step the outcome is that of the place before it; the place reached must be an end itself.
+    ended = five.drop("outcome").join(step.select(F.col("url").alias("to"), "outcome"), "to")
+    return ended.join(known.select("url"), "url", "left_semi").select("url", F.col("to").alias("final_url"), "hops", F.coalesce("outcome", F.lit("too many")).alias("outcome"))
 
 
 def append_pages(stored: DataFrame, new: DataFrame) -> DataFrame:

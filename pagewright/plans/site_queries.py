@@ -252,14 +252,14 @@ ORIGIN = f"scheme || '://' || regexp_extract(url, '{PARTS}', 2)"
 MARKS = "concat('<link rel=\"icon\" href=\"/i', {0} % 5, '.ico\"><header><a href=\"', if({0} % 4 = 0, '/about', '/'), '\"><img src=\"/m', {0} % 7, '.svg\" alt=\"', if({0} % 3 = 0, 'site logo', 'us'), if({0} % 5 = 0, ' partner', ''), '\"></a></header>')"
 
 
-@query(f"""SELECT page_id, url, {ORIGIN} || '/i' || (page_id % 5) || '.ico' AS faviconUrl, CASE WHEN score > 0 THEN {ORIGIN} || '/m' || (page_id % 7) || '.svg' END AS logoUrl,
+@query(f"""SELECT page_id, url, {ORIGIN} || '/i' || (page_id % 5) || '.ico' AS faviconUrl, {ORIGIN} || CASE WHEN score > 0 THEN '/m' || (page_id % 7) || '.svg' ELSE '/i' || (page_id % 5) || '.ico' END AS logoUrl, CASE WHEN score > 0 THEN '' ELSE 'logo_candidate_uncertain' END AS warnings,
 CAST(CASE WHEN score > 0 THEN greatest(20, least(96, score)) ELSE 35 END AS DOUBLE) / 100 AS logoConfidence
 FROM (SELECT *, 38 + CASE WHEN page_id % 4 > 0 THEN 34 ELSE 0 END + CASE WHEN page_id % 3 = 0 THEN 24 ELSE 0 END - CASE WHEN page_id % 5 = 0 THEN 35 ELSE 0 END AS score FROM ({URLS}))""")
 def brand_marks(spark, sf_dir):
     """Icon and logo of each page, in a header made from its id, as the stored ones have neither."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.expr(MARKS.format("page_id")), "html").alias("html"))
     found = brand_html.brand_pages(pages.select(F.concat_ws(" ", "page_id", "url").alias("url"), F.concat(F.lit('<base href="'), "url", F.lit('">'), "html").alias("html")))
-    return found.select(F.split_part("url", F.lit(" "), F.lit(1)).cast("bigint").alias("page_id"), F.split_part("url", F.lit(" "), F.lit(2)).alias("url"), "faviconUrl", "logoUrl", "logoConfidence")
+    return found.select(F.split_part("url", F.lit(" "), F.lit(1)).cast("bigint").alias("page_id"), F.split_part("url", F.lit(" "), F.lit(2)).alias("url"), "faviconUrl", "logoUrl", F.array_join("warnings", ",").alias("warnings"), "logoConfidence")
 
 
 # Main content

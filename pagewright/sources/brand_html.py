@@ -24,10 +24,12 @@ OTHER_CLASSES = {"clients", "client", "references", "reference", "partners", "pa
 OTHER_TAGS = {"article", "main"}
 HEADER_CLASSES, HEADER_ID, HEADER_ROLE = {"header", "site-header"}, "header", "banner"
 IN_HEADER, TO_HOME, NAMED, OTHER = Decimal("0.38"), Decimal("0.34"), Decimal("0.24"), Decimal("-0.35")
+# Warnings of a page whose icon stands in for its logo, and of one with neither.
+UNCERTAIN, MISSING = "logo_candidate_uncertain", "logo_missing"
 LEAST, MOST, META, ICON_ONLY = Decimal("0.2"), Decimal("0.96"), 0.82, 0.35
 
-SCHEMA = "url string, faviconUrl string, logoUrl string, logoConfidence double, logoEvidence string, themeColor string, ogImageUrl string"
-ARROW = pa.schema([(c.split()[0], pa.float64() if c.endswith("double") else pa.string()) for c in SCHEMA.split(", ")])
+SCHEMA = "url string, faviconUrl string, logoUrl string, logoConfidence double, logoEvidence string, themeColor string, ogImageUrl string, warnings array<string>"
+ARROW = pa.schema([(c.split()[0], {"double": pa.float64(), "array<string>": pa.list_(pa.string())}.get(c.split()[1], pa.string())) for c in SCHEMA.split(", ")])
 
 
 def absolute(href: str | None, base: str) -> str | None:
@@ -92,14 +94,14 @@ def brand_marks(html: str, url: str) -> dict:
     content = lambda key, *names: next((m.attrs.get("content") for m in metas if m.attrs.get(key) in names), None)
     favicon = icon(root, base)
     named = next((m.attrs.get("content") for m in metas if m.attrs.get("property") == "og:logo" or m.attrs.get("name") == "logo"), None)
-    out = {"url": url, "faviconUrl": favicon, "logoConfidence": ICON_ONLY if favicon else 0.0, "themeColor": content("name", "theme-color"), "ogImageUrl": absolute(content("property", "og:image"), base)}
+    out = {"url": url, "faviconUrl": favicon, "logoConfidence": ICON_ONLY if favicon else 0.0, "themeColor": content("name", "theme-color"), "ogImageUrl": absolute(content("property", "og:image"), base), "warnings": []}
     if logo := absolute(named, base):
         return out | {"logoUrl": logo, "logoConfidence": META, "logoEvidence": "logo meta tag"}
     found = [x for image in root.all("img") if (x := image_logo(image, base))]
     if found:
         logo, confidence, evidence = max(found, key=lambda x: x[1])  # the first of equal ones
-        out |= {"logoUrl": logo, "logoConfidence": float(confidence), "logoEvidence": evidence}
-    return out
+        return out | {"logoUrl": logo, "logoConfidence": float(confidence), "logoEvidence": evidence}
+    return out | {"logoUrl": favicon, "warnings": [UNCERTAIN] if favicon else [MISSING]}  # the icon stands in for a logo
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,5 +111,5 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def brand_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """One row per page (url, html) with its icon, logo, confidence and evidence, theme colour and preview image."""
+    """One row per page (url, html) with its icon, logo (or the icon in its place), confidence and evidence, theme colour, preview image and warnings."""
     return pages.select("url", html_col).mapInArrow(_marks, SCHEMA)

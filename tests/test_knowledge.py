@@ -167,7 +167,7 @@ BRAND_CASES = [
     ('<link rel="icon" href="/f.ico"><link rel="apple-touch-icon" href="https://cdn.h.de/t.png"><img src="/l.svg" alt="Acme Logo">', ("https://cdn.h.de/t.png", "https://h.de/l.svg", 0.24, "logo/brand attribute")),
     ('<header><a href="/"><img src="/b.svg" alt="our logo"></a></header><main><div class="clients"><img src="/c.svg" alt="logo"></div></main>', (None, "https://h.de/b.svg", 0.96, "header image + linking to homepage + logo/brand attribute")),
     ('<meta name="logo" content="m.png"><header><img src="/b.svg" alt="logo"></header>', (None, "https://h.de/x/m.png", 0.82, "logo meta tag")),
-    ('<link rel="shortcut icon" href="s.ico"><div class="partners"><img src="/p.svg" alt="logo"></div>', ("https://h.de/x/s.ico", None, 0.35, None)),
+    ('<link rel="shortcut icon" href="s.ico"><div class="partners"><img src="/p.svg" alt="logo"></div>', ("https://h.de/x/s.ico", "https://h.de/x/s.ico", 0.35, None)),
     ('<div class="site-header"><img data-src="/a.svg"><img data-src="/b.svg"></div>', (None, "https://h.de/a.svg", 0.38, "header image")),
     ('<div id="header"><img src="/ad.svg" alt="reklam"></div>', (None, "https://h.de/ad.svg", 0.2, "header image")),
     ("", (None, None, 0.0, None)),
@@ -179,6 +179,8 @@ def test_brand_marks(spark):
     df = spark.createDataFrame([(f"https://h.de/x/{i}", h, 1) for i, (h, _) in enumerate(BRAND_CASES)], "url string, html string, logoUrl int")
     got = {r.url: (r.faviconUrl, r.logoUrl, r.logoConfidence, r.logoEvidence) for r in brand_html.brand_pages(df).collect()}
     assert got == {f"https://h.de/x/{i}": want for i, (_, want) in enumerate(BRAND_CASES)}
+    warned = {r.url[-1]: r.warnings for r in brand_html.brand_pages(df).collect()}
+    assert warned["0"] == [] and warned["3"] == ["logo_candidate_uncertain"] and warned["6"] == warned["7"] == ["logo_missing"]
     assert brand_html.brand_pages(df.limit(0)).count() == 0
 
 
