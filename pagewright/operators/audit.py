@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.operators.numbering import prefix_sums, saver
 from pagewright.schemas import PAGE_STATUSES
 
 LOW_CONFIDENCE = 0.7
@@ -57,12 +58,31 @@ def page_slice(rows: DataFrame, order: list, page: int, size: int = 10) -> DataF
     return rows.orderBy(*order).offset((max(1, page) - 1) * size).limit(size)
 
 
-def site_tree(pages: DataFrame, path_col: str = "path", most: int | None = 200) -> DataFrame:
-    """Distinct path prefixes of each job in tree order: job_id, line_no, depth, segment; at most `most` lines with the root."""
+def site_tree(pages: DataFrame, path_col: str = "path", most: int | None = 200, save=None, collation: str = "UNICODE") -> DataFrame:
+    """Path prefixes of each job in tree order: job_id, line_no (the root is line 0), depth, segment; at most `most` lines with the root.
+
+    Siblings are in the order of a Unicode collation. A prefix stands after its parent and its earlier siblings with all
+    they hold: subtree sizes come from a grouped count, sums over siblings from `prefix_sums`, and a line's number is the
+    sum of these steps along its path. So neither a job's tree nor a folder's content is one task's work.
+    """
     parts = F.filter(F.split(path_col, "/"), lambda s: s != "")
-    rows = pages.select("job_id", parts.alias("parts")).distinct().filter(F.size("parts") > 0)
-    rows = rows.select("job_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda n: F.slice("parts", 1, n))).alias("prefix")).distinct()
-    ranked = rows.withColumn("line_no", F.row_number().over(Window.partitionBy("job_id").orderBy("prefix")))
+    paths = pages.select("job_id", parts.alias("parts")).distinct().filter(F.size("parts") > 0)
+    above = lambda c: F.transform(F.sequence(F.lit(1), F.size(c)), lambda n: F.slice(c, 1, n))
+    prefixes = saver(pages, save, "tree")("tree", paths.select("job_id", F.explode(above("parts")).alias("prefix")).distinct())
+    along = prefixes.select("job_id", "prefix", F.explode(above("prefix")).alias("node"))
+    sizes = along.groupBy("job_id", "node").agg(F.count("*").alias("size")).withColumn("parent", F.slice("node", 1, F.size("node") - 1))
+    named = sizes.withColumn("collated", F.collate(F.element_at("node", -1), collation)).withColumn("segment", F.element_at("node", -1))
+    steps = prefix_sums(named, ["job_id", "parent"], ["collated", "segment"], F.col("size"), "before", save, "tree-sums")
+    steps = steps.select("job_id", "node", (F.col("before") + 1).alias("step"))
+    lines = along.join(steps, ["job_id", "node"]).groupBy("job_id", "prefix").agg(F.sum("step").alias("line_no"))
     if most is not None:
-        ranked = ranked.filter(F.col("line_no") < most)
-    return ranked.select("job_id", "line_no", F.size("prefix").alias("depth"), F.element_at("prefix", -1).alias("segment"))
+        lines = lines.filter(F.col("line_no") < most)
+    return lines.select("job_id", "line_no", F.size("prefix").alias("depth"), F.element_at("prefix", -1).alias("segment"))
+
+
+def tree_text(tree: DataFrame, most: int = 200) -> DataFrame:
+    """job_id, text: a tree of `most` lines at most, indented under a root line, with an ellipsis where the bound is reached."""
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), "segment")
+    rows = tree.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("line_no", line.alias("line")))).alias("lines"), F.count("*").alias("n"))  # bounded by `most`
+    text = F.array_join(F.concat(F.array(F.lit("/")), F.transform("lines", lambda x: x["line"]), F.when(F.col("n") + 1 >= most, F.array(F.lit("  …"))).otherwise(F.array().cast("array<string>"))), "\n")
+    return rows.select("job_id", text.alias("text"))

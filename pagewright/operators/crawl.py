@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import net, urls
 from pagewright.functions.text import lines
+from pagewright.operators.numbering import numbered, saver
 
 SITEMAPS, LIMIT, MAX_REDIRECTS = 50, 5000, 5
 # Where sites keep their sitemaps.
@@ -72,9 +73,9 @@ def crawl_sitemaps(roots: DataFrame, robots: DataFrame, documents: DataFrame, sa
     seen, found, level = save("sitemap-seen-0", front.select("job_id", "url", "n")), None, 0
     front = seen
     while True:
-        left = F.row_number().over(Window.partitionBy("job_id").orderBy("n", "url"))
         done = seen.join(front.select("job_id", "url"), ["job_id", "url"], "left_anti").groupBy("job_id").agg(F.count("*").alias("done"))
-        visit = front.withColumn("r", left).join(done, "job_id", "left").filter(F.col("r") + F.coalesce("done", F.lit(0)) <= most).select("job_id", "url", "n")
+        ranked = numbered(front, ["job_id"], ["n", "url"], "r", save, f"sitemap-rank-{level}")
+        visit = ranked.join(done, "job_id", "left").filter(F.col("r") + F.coalesce("done", F.lit(0)) < most).select("job_id", "url", "n")
         entries = save(f"sitemap-entries-{level}", sitemap_entries(visit.join(documents.select("url", "xml"), "url")).select("job_id", "is_index", F.col("loc").alias("url"), (F.col("n") + 1).alias("n")))
         pages = entries.filter("not is_index").select("job_id", "url").distinct()
         found = pages if found is None else found.union(pages)
@@ -108,8 +109,8 @@ def discover(edges: DataFrame, roots: DataFrame, save: Callable, max_depth: int
         if front.limit(1).count() == 0:
             break
         seen = seen.unionByName(front)
-    rank = F.row_number().over(Window.partitionBy("job_id").orderBy("depth", "url"))
-    return seen.withColumn("r", rank).filter(F.col("r") <= limit).drop("r").withColumn("kind", urls.kind(F.col("url")))
+    ranked = numbered(seen, ["job_id"], ["depth", "url"], "r", save, "frontier-rank")
+    return ranked.filter(F.col("r") < limit).drop("r").withColumn("kind", urls.kind(F.col("url")))
 
 
 def unique_slugs(pages: DataFrame, save=None) -> DataFrame:
@@ -127,10 +128,7 @@ def unique_slugs(pages: DataFrame, save=None) -> DataFrame:
     bases = rows.filter("k = 1").select("job_id", "base", F.regexp_extract("base", "^(.+)-([1-9][0-9]*)$", 1).alias("stem"))
     related = bases.filter("stem != ''").join(bases.select("job_id", F.col("base").alias("stem")), ["job_id", "stem"])
     clashing = related.select("job_id", "base").union(related.select("job_id", "stem")).distinct()
-    if save is None:
-        from pagewright.plans.knowledge import Stages
-
-        save = Stages(pages.sparkSession, "slugs")
+    save = saver(pages, save, "slugs")
     now = save("slugs-0", rows.join(clashing, ["job_id", "base"], "left_semi").select("job_id", "ord", "base", "k", F.col("k").alias("n")))
     name = F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("n").cast("string")))
     i, moving = 0, now.limit(1).count() > 0
@@ -157,10 +155,7 @@ def redirect_chains(fetches: DataFrame, addresses: DataFrame | None = None, save
     `too many`. An end leads to itself, so five steps are one of four and one of one, and four are two doublings: three
     joins, whatever the chains and loops are. Of rows of one url the one of the least status is taken.
     """
-    if save is None:
-        from pagewright.plans.knowledge import Stages
-
-        save = Stages(fetches.sparkSession, "redirects")
+    save = saver(fetches, save, "redirects")
     known = fetches.filter("url is not null").groupBy("url").agg(F.min(F.struct("status", "location")).alias("f")).select("url", "f.*")
     moved = net.is_redirect(F.col("status"))
     target = F.when(moved & (F.coalesce("location", F.lit("")) != ""), urls.absolutize(F.col("location"), F.col("url")))
@@ -191,11 +186,15 @@ def redirect_chains(fetches: DataFrame, addresses: DataFrame | None = None, save
     return ended.join(known.select("url"), "url", "left_semi").select("url", F.col("to").alias("final_url"), "hops", F.coalesce("outcome", F.lit("too many")).alias("outcome"))
 
 
-def append_pages(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Stored pages and those new URLs that the job has not, pending, in arrival order; known pages keep their state."""
-    fresh = new.dropDuplicates(["job_id", "url"]).join(stored.select("job_id", "url"), ["job_id", "url"], "left_anti")
+def append_pages(stored: DataFrame, new: DataFrame, save: Callable | None = None) -> DataFrame:
+    """Stored pages and those new URLs that the job has not, pending, in arrival order; known pages keep their state.
+
+    Of rows of one new URL the first to arrive counts.
+    """
+    first = new.groupBy("job_id", "url").agg(F.min("ord").alias("ord"), F.min_by("kind", "ord").alias("kind"))
+    fresh = first.join(stored.select("job_id", "url"), ["job_id", "url"], "left_anti")
     last = stored.groupBy("job_id").agg(F.max("ord").alias("last"))
-    fresh = fresh.join(last, "job_id", "left").withColumn("ord", F.coalesce(F.col("last") + 1, F.lit(0)) + F.row_number().over(Window.partitionBy("job_id").orderBy("ord")) - 1)
+    fresh = numbered(fresh, ["job_id"], ["ord", "url"], "place", save, "appended").join(last, "job_id", "left").withColumn("ord", F.coalesce(F.col("last") + 1, F.lit(0)) + F.col("place"))
     fresh = fresh.select("job_id", "ord", "url", F.coalesce("kind", urls.kind(F.col("url"))).alias("kind"), F.lit("pending").alias("status"))
     return stored.unionByName(fresh, allowMissingColumns=True)
 
