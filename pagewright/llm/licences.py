@@ -7,13 +7,13 @@ fitted weights, one row per n-gram, are a table whose size the templates fix.
 
 Scanning is DataFrame operations only. Every line is a paragraph, and so is every run of lines that a hard line break
 joins (the line ends without a sentence mark and the next one isn't blank), so wrapped licence texts are read whole. A
-paragraph's n-grams are joined with the weights and summed by distinct paragraph, the constant added, and a softmax gives
-the family. A temperature fitted on left-out paragraphs calibrates the probability; below `min_probability`, or when
+paragraph's known n-grams are joined with the weights and summed, once for paragraphs that have the same, the constant
+added, and a softmax gives the family. A temperature fitted on left-out paragraphs calibrates the probability; below `min_probability`, or when
 unknown is likeliest, the family is unknown, and the paragraph is reported only if it holds a template's 2-gram with a
 content word. The share of the family's best template's 2-grams found in the paragraph confirms the prediction.
 
-Texts and paragraphs with none of the `gate` words aren't scored. For these the model itself can give nothing but
-unknown: `most_without` bounds the score of any paragraph that lacks them, from the fitted weights.
+Texts and paragraphs with none of the `passing` words aren't scored. They hold no phrase, and the model itself can give
+them nothing but unknown: `most_without` bounds the score of any paragraph that lacks the `gate` words, from the weights.
 
 Defined cases: a null, empty or blank text has no paragraphs; equal paragraphs of a document are reported each with its
 line number (of a joined one, that of its first line, with `lines` above 1); control characters 1 and 2 count as
@@ -188,16 +188,27 @@ def most_without(words: set[str]) -> float:
 
 @functools.cache
 def gate() -> list[str]:
-    """Words without any of which every paragraph is unknown to the model: all that it knows but the function words, and
-    the words of prose that it can spare."""
-    words = {w for g in trained()[1] for w in g.split()}
-    spared = FUNCTION | {w for t in PROSE for w in ngrams(t) if " " not in w}
-    for w in [*FREQUENT.split(), *sorted(spared - set(FREQUENT.split()))]:
+    """Words without any of which every paragraph is unknown to the model: all that it knows, but for those that it can
+    spare, the most frequent ones first, then those that speak least for any family."""
+    _, grams, weights, _ = trained()
+    ahead = np.maximum((weights[:-1, :-1] - weights[:-1, -1:]).max(axis=1), 0)
+    strength: dict[str, float] = {}
+    for gram, most in zip(grams, ahead):
+        for w in gram.split():
+            strength[w] = max(strength.get(w, 0.0), float(most))
+    words = set(strength)
+    for w in [*FREQUENT.split(), *sorted(words - set(FREQUENT.split()), key=lambda w: (strength[w], w))]:
         if w in words and most_without(words - {w}) < 0:
             words.remove(w)
     return sorted(words)
 
 
+@functools.cache
+def passing() -> list[str]:
+    """Words without any of which no paragraph is reported: those of the gate, and the longest content word of each phrase."""
+    return sorted({*gate(), *(max((w for w in g.split() if w not in FUNCTION), key=lambda w: (len(w), w)) for g in phrases())})
+
+
 def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """Weights (gram, w) and templates (family, grams) as tables; both are fixed by the templates."""
     families, grams, weights, _ = trained()
@@ -235,19 +246,19 @@ def scan(docs: DataFrame, min_probability: float = 0.5, id_col: str = "doc_id",
     families, _, weights, temperature = trained()
     spark = docs.sparkSession
     model, known = _tables(spark)
-    words = F.lit(gate())
-    held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.arrays_overlap(_words(F.col("text")), words))
-    units = paragraphs(held).select("*", _once("words", _words(F.col("paragraph")))).filter(F.arrays_overlap("words", words))
-    units = units.select("*", _once("pairs", _pairs(F.col("words"))))
-    found = units.select("doc_id", "line", "lines", "paragraph", F.array_distinct(F.concat("words", "pairs")).alias("grams"))
+    passes = lambda words: F.exists(words, lambda w: w.isin(*passing()))
+    held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(passes(_words(F.col("text"))))
+    units = paragraphs(held).select("*", _once("words", _words(F.col("paragraph")))).filter(passes(F.col("words")))
+    # All that is told of a paragraph depends on the n-grams that the model knows, so these stand for it.
+    known_grams = F.array_sort(F.filter(F.array_distinct(F.concat("words", _pairs(F.col("words")))), lambda g: g.isin(*trained()[1])))
+    found = units.select("doc_id", "line", "lines", "paragraph", _once("grams", known_grams)).filter(F.size("grams") > 0)
     found = Scratch(spark, "licences").table("found", found)
-    # One row for each distinct paragraph is classified: a statement that many documents share costs one.
-    texts = found.select("paragraph", "grams").dropDuplicates(["paragraph"])
-    hits = texts.select("paragraph", F.explode("grams").alias("gram")).join(F.broadcast(model), "gram")
-    sums = hits.groupBy("paragraph").agg(F.count("*").alias("n"), *[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(families))])
+    texts = found.select("grams").distinct()
+    hits = texts.select("grams", F.explode("grams").alias("gram")).join(F.broadcast(model), "gram")
+    sums = hits.groupBy("grams").agg(F.count("*").alias("n"), *[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(families))])
     constant = weights[-1]
     scores = F.array(*[(F.coalesce(F.col(f"s{i}") / F.sqrt("n"), F.lit(0.0)) + float(constant[i])) / temperature for i in range(len(families))])
-    scored = texts.join(sums, "paragraph", "left").select("paragraph", "grams", scores.alias("z"))
+    scored = sums.select("grams", scores.alias("z"))
     top = F.array_max("z")
     scored = scored.withColumn("p", F.transform("z", lambda v: F.exp(v - top))).withColumn("probability", F.array_max("p") / F.aggregate("p", F.lit(0.0), lambda a, b: a + b))
     names = F.array(*[F.lit(f) for f in families])
@@ -255,9 +266,8 @@ def scan(docs: DataFrame, min_probability: float = 0.5, id_col: str = "doc_id",
     scored = scored.withColumn("predicted", best).withColumn("family", F.when(F.col("probability") >= min_probability, best).otherwise(UNKNOWN))
     compared = scored.join(F.broadcast(known.withColumnRenamed("family", "predicted")), "predicted", "left")
     share = F.coalesce(F.size(F.array_intersect("grams", "template")) / F.size("template"), F.lit(0.0))
-    confirmed = compared.groupBy("paragraph", "family", "probability").agg(F.max(share).alias("similarity"))
+    confirmed = compared.groupBy("grams", "family", "probability").agg(F.max(share).alias("similarity"))
     # Unknown paragraphs are of interest only where they speak of licences.
-    phrased = texts.filter(F.arrays_overlap("grams", F.lit(phrases()))).select("paragraph")
-    told = confirmed.filter(F.col("family") != UNKNOWN).union(confirmed.filter(F.col("family") == UNKNOWN).join(phrased, "paragraph", "left_semi"))
-    out = found.select("doc_id", "line", "lines", "paragraph").join(told, "paragraph")
+    told = confirmed.filter((F.col("family") != UNKNOWN) | F.exists("grams", lambda g: g.isin(*phrases())))
+    out = found.join(told, "grams")
     return out.select("doc_id", "line", "lines", "paragraph", "family", "probability", "similarity", ((F.col("family") != UNKNOWN) & (F.col("similarity") >= CONFIRM)).alias("confirmed"))
