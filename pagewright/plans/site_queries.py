@@ -138,22 +138,22 @@ def sitemap_urls(spark, sf_dir):
 
 
 def stored_pages(spark, sf_dir) -> DataFrame:
-    """Three quarters of the pages as stored rows with made states."""
+    """All pages as stored rows with made states."""
     status = F.expr("case ord % 4 when 0 then 'done' when 1 then 'scraping' else 'failed' end")
-    rows = host_pages(spark, sf_dir).filter("ord % 4 < 3").select("job_id", "ord", "url", F.col("ord").cast("string").alias("slug"), F.lit("content").alias("kind"), status.alias("status"), F.when(F.col("ord") % 4 == 2, F.concat(F.lit("HTTP "), (400 + F.col("ord") % 9).cast("string"))).alias("error"))
+    rows = host_pages(spark, sf_dir).select("job_id", "ord", "url", F.col("ord").cast("string").alias("slug"), F.lit("content").alias("kind"), status.alias("status"), F.when(F.col("ord") % 4 == 2, F.concat(F.lit("HTTP "), (400 + F.col("ord") % 9).cast("string"))).alias("error"))
     return rows
 
 
-STORED = f"SELECT job_id, page_id AS ord, url, CAST(page_id AS VARCHAR) AS slug, 'content' AS kind, CASE page_id % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'scraping' ELSE 'failed' END AS status, CASE WHEN page_id % 4 = 2 THEN 'HTTP ' || (400 + page_id % 9) END AS error FROM ({URLS}) WHERE page_id % 4 < 3"
+STORED = f"SELECT job_id, page_id AS ord, url, CAST(page_id AS VARCHAR) AS slug, 'content' AS kind, CASE page_id % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'scraping' ELSE 'failed' END AS status, CASE WHEN page_id % 4 = 2 THEN 'HTTP ' || (400 + page_id % 9) END AS error FROM ({URLS})"
 
 
-@query(f"""WITH s AS ({STORED}), f AS (SELECT job_id, url, min(page_id) AS first FROM ({URLS}) WHERE (job_id, url) NOT IN (SELECT (job_id, url) FROM s) GROUP BY ALL)
+@query(f"""WITH s AS ({STORED} WHERE page_id % 4 < 3), f AS (SELECT job_id, url, min(page_id) AS first FROM ({URLS}) WHERE (job_id, url) NOT IN (SELECT (job_id, url) FROM s) GROUP BY ALL)
 SELECT job_id, ord, url, status FROM s UNION ALL
 SELECT job_id, coalesce((SELECT max(ord) FROM s WHERE s.job_id = f.job_id) + 1, 0) + row_number() OVER (PARTITION BY job_id ORDER BY first) - 1 AS ord, url, 'pending' FROM f""")
 def append_pages(spark, sf_dir):
-    """Stored pages with the URLs that they lack, pending."""
+    """Three quarters of the pages, stored, with the URLs that they lack, pending."""
     new = host_pages(spark, sf_dir).groupBy("job_id", "url").agg(F.min("ord").alias("ord")).withColumn("kind", F.lit(None).cast("string"))
-    return crawl.append_pages(stored_pages(spark, sf_dir), new).select("job_id", "ord", "url", "status")
+    return crawl.append_pages(stored_pages(spark, sf_dir).filter("ord % 4 < 3"), new).select("job_id", "ord", "url", "status")
 
 
 @query(f"SELECT job_id, slug, CASE WHEN ord % 3 = 0 THEN 'done' ELSE status END AS status, CASE WHEN ord % 3 = 0 THEN NULL ELSE error END AS error, kind FROM ({STORED})")
