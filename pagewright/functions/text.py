@@ -67,6 +67,12 @@ def jaccard_hundredths(overlap: Column, union: Column) -> Column:
     """overlap/union in hundredths, rounded half up in whole numbers."""
     return F.floor((overlap * 200 + union) / (union * 2)).cast("long")
 
+def hashed_shingles(text: Column, n: int = 3) -> Column:
+    """Distinct hashes of the runs that `shingles` gives, for a text of single spaces; no run is built as a string."""
+    run = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - n)), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(n)]))
+    return F.array_distinct(let(F.split(text, " "), run))
+
+
 
 def length_bucket(n: Column) -> Column:
     return F.when(n > 0, F.floor(F.log(n.cast("double")) / F.log(F.lit(1.1)))).otherwise(0).cast("int")

@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import length_bucket, normalize_body, shingles
+from pagewright.functions.text import hashed_shingles, length_bucket, normalize_body
 
 SHORTEST, LENGTH_RATIO = 50, 0.82
 #: Undecided sets of one shingle that are compared with each other.
 SMALL = 64
+#: Sets in pairs up to which their ids are sent to all tasks, some 40 bytes each, so that other sets aren't shuffled.
+SENT = 500_000
 
 
 def with_bodies(pages: DataFrame, text_col: str = "cleanedMarkdown") -> DataFrame:
@@ -36,7 +38,7 @@ def exact_duplicates(rows: DataFrame, save) -> DataFrame:
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
     """Hashed sets of 3-word shingles: job_id, ord, fingerprint, chars, bucket, s."""
-    return rows.select("job_id", "ord", "fingerprint", "chars", "bucket", F.transform(shingles(F.col("body")), lambda s: F.xxhash64(s)).alias("s"))
+    return rows.select("job_id", "ord", "fingerprint", "chars", "bucket", hashed_shingles(F.col("body")).alias("s"))
 
 
 def thousandths(threshold: float) -> int:
@@ -45,26 +47,28 @@ def thousandths(threshold: float) -> int:
 
 
 def rare_entries(sets: DataFrame, threshold: float, key: str = "fingerprint") -> DataFrame:
-    """Rows (job_id, key, s, ord, n, indexed): the rarest shingles of each set, by which similar sets must meet.
+    """Rows (job_id, s, ord, n, indexed): the rarest shingles of each set, by which similar sets must meet.
 
     With shingles in one order, rarest first, two sets of similarity t or more have a common one among the first
     n - ceil(t n) + 1 of the larger set and the first m - ceil(2t/(1+t) m) + 1 of the smaller one, so of two sets the
     smaller is met by its `indexed` shingles only. Shingles of one page come first in the order and meet nobody: they are
-    counted and not carried further.
+    counted and not carried further. `s` is mixed with the job and key, so it alone brings rows together; should two groups
+    have equal numbers, both count too high, which is an order too. Rows are dealt and sorted once: a shingle has one row
+    for each page at most, and beside the many shingles of a page these are few.
     """
     least = thousandths(threshold)
-    each = sets.select("job_id", key, "ord", F.size("s").alias("n"), F.explode("s").alias("s"))
-    counts = each.groupBy("job_id", key, "s").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = each.join(counts, ["job_id", key, "s"])
-    page = Window.partitionBy("job_id", "ord")
+    group = F.xxhash64("job_id", F.lit("/"), key)
+    each = sets.select("job_id", "ord", F.size("s").alias("n"), group.alias("g"), F.explode("s").alias("s")).withColumn("s", F.col("s").bitwiseXOR(F.col("g"))).drop("g")
+    ranked = each.withColumn("df", F.count("*").over(Window.partitionBy("s"))).filter("df > 1")
+    page = Window.partitionBy("ord", "job_id")
     ranked = ranked.withColumn("r", F.col("n") - F.count("*").over(page) + F.row_number().over(page.orderBy("df", "s")))
     first = lambda share, whole: F.expr(f"r <= n - div(n * {share} + {whole - 1}, {whole}) + 1")
-    return ranked.filter(first(least, 1000)).select("job_id", key, "s", "ord", "n", first(2 * least, 1000 + least).alias("indexed"))
+    return ranked.filter(first(least, 1000)).select("job_id", "s", "ord", "n", first(2 * least, 1000 + least).alias("indexed"))
 
 
-def meeting(left: DataFrame, right: DataFrame, key: str = "fingerprint") -> DataFrame:
+def meeting(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs (job_id, a, b), a before b, of entries of two tables that may be similar."""
-    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("job_id", key, "s")]
+    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("s", "job_id")]
     may = F.expr("l.ord < r.ord and (l.indexed and l.n <= r.n or r.indexed and r.n <= l.n)")
     return left.alias("l").join(right.alias("r"), on).filter(may).select("l.job_id", F.col("l.ord").alias("a"), F.col("r.ord").alias("b")).distinct()
 
@@ -72,7 +76,7 @@ def meeting(left: DataFrame, right: DataFrame, key: str = "fingerprint") -> Data
 def sharing_pairs(sets: DataFrame, threshold: float, key: str = "fingerprint") -> DataFrame:
     """All pairs (a before b) that may reach the threshold."""
     entries = rare_entries(sets, threshold, key)
-    return meeting(entries, entries, key)
+    return meeting(entries, entries)
 
 
 def ranked_pairs(pairs: DataFrame, rows: DataFrame, key: str = "fingerprint") -> DataFrame:
@@ -93,7 +97,7 @@ def ranked_pairs(pairs: DataFrame, rows: DataFrame, key: str = "fingerprint") ->
     return met.withColumn("rank", nearer + F.col("place") - F.try_element_at("at", F.col("offset"))["upto"]).select("job_id", "a", "b", "rank")
 
 
-def similar_pairs(sets: DataFrame, threshold: float = 0.94, most: int | None = None) -> DataFrame:
+def similar_pairs(sets: DataFrame, save, threshold: float = 0.94, most: int | None = None) -> DataFrame:
     """job_id, a, b, overlap, union of pairs whose 3-word shingles' similarity, in hundredths, reaches the threshold.
 
     Pairs are of one fingerprint with length buckets at most two apart; with `most`, b is among a's first `most` candidates.
@@ -101,13 +105,21 @@ def similar_pairs(sets: DataFrame, threshold: float = 0.94, most: int | None = N
     met = sharing_pairs(sets, threshold)
     if most is not None:
         met = ranked_pairs(met, sets).filter(F.col("rank") <= most).drop("rank")
-    return confirmed(met, sets, threshold)
+    return confirmed(save("met", met), sets, threshold)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Rows (job_id, a, b, overlap, union) of the pairs that reach the threshold and whose lengths are near."""
-    side = lambda name: sets.select("job_id", F.col("ord").alias(name), F.col("chars").alias(f"{name}_chars"), F.col("bucket").alias(f"{name}_bucket"), F.col("s").alias(f"{name}_s"))
-    met = pairs.join(side("a"), ["job_id", "a"]).join(side("b"), ["job_id", "b"])
+def sets_of(pairs: DataFrame, sets: DataFrame, sent: int = SENT) -> DataFrame:
+    """The sets that stand in a pair, before any shuffle; all sets where their ids are too many to be sent to the tasks."""
+    page = F.xxhash64("job_id", F.lit("/"), F.col("ord"))
+    ids = pairs.select("job_id", F.explode(F.array("a", "b")).alias("ord")).select(page.alias("page")).distinct()
+    return sets.withColumn("page", page).join(F.broadcast(ids), "page", "left_semi").drop("page") if ids.limit(sent + 1).count() <= sent else sets
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float, key: str = "fingerprint") -> DataFrame:
+    """Rows (job_id, a, b, overlap, union) of the (stored) pairs that reach the threshold and whose lengths are near."""
+    sets = sets_of(pairs, sets)
+    side = lambda name: sets.select("job_id", F.col("ord").alias(name), F.col(key).alias(f"{name}_key"), F.col("chars").alias(f"{name}_chars"), F.col("bucket").alias(f"{name}_bucket"), F.col("s").alias(f"{name}_s"))
+    met = pairs.join(side("a"), ["job_id", "a"]).join(side("b"), ["job_id", "b"]).filter("a_key = b_key")
     met = met.filter((F.abs(F.col("a_bucket") - F.col("b_bucket")) <= 2) & (F.least("a_chars", "b_chars") >= LENGTH_RATIO * F.greatest("a_chars", "b_chars")))
     met = met.withColumn("overlap", F.size(F.array_intersect("a_s", "b_s"))).withColumn("union", F.greatest(F.lit(1), F.size("a_s") + F.size("b_s") - F.col("overlap")))
     # A similarity that rounds to the threshold or more, in whole numbers.
@@ -152,8 +164,8 @@ def near_leaders(sets: DataFrame, threshold: float, save, key: str = "fingerprin
         """The state after new leaders (job_id, ord) have met all sets that don't lead and have no earlier leader."""
         heads = entries.join(leaders, page, "left_semi")
         others = entries.join(state.filter("not coalesce(leads, false)").select(*page, "led.leader").join(leaders, page, "left_anti"), page)
-        pairs = meeting(heads, others.drop("leader"), key)
-        links = confirmed(pairs, sets, threshold).groupBy("job_id", F.col("b").alias("ord")).agg(F.min(F.struct(F.col("a").alias("leader"), "overlap", "union")).alias("now"))
+        pairs = save(f"met-{i}", meeting(heads, others.drop("leader")))
+        links = confirmed(pairs, sets, threshold, key).groupBy("job_id", F.col("b").alias("ord")).agg(F.min(F.struct(F.col("a").alias("leader"), "overlap", "union")).alias("now"))
         new = state.join(leaders.withColumn("new", F.lit(True)), page, "left").join(links, page, "left")
         leads = F.when(F.col("new") | F.col("leads"), True).when(F.coalesce("led", "now").isNotNull(), False)
         return new.select(*page, leads.alias("leads"), F.least("led", "now").alias("led"))
@@ -163,19 +175,19 @@ def near_leaders(sets: DataFrame, threshold: float, save, key: str = "fingerprin
         i += 1
         undecided = state.filter("leads is null").select(*page)
         open_ = save(f"open-{i}", entries.join(undecided, page, "left_semi"))
-        firsts = save(f"firsts-{i}", open_.groupBy("job_id", key, "s").agg(F.min("ord").alias("first"), F.min(F.when(F.col("indexed"), F.col("ord"))).alias("first_indexed"), F.count("*").alias("many")))
+        firsts = save(f"firsts-{i}", open_.groupBy("s", "job_id").agg(F.min("ord").alias("first"), F.min(F.when(F.col("indexed"), F.col("ord"))).alias("first_indexed"), F.count("*").alias("many")))
         most = firsts.agg(F.max("many")).first()[0] or 0
         last = most <= small
         if last:
-            edges = save("edges", confirmed(meeting(open_, open_, key), sets, threshold))
+            edges = save("edges", confirmed(save("met", meeting(open_, open_)), sets, threshold, key))
             found = greedy_leaders(undecided, edges.select("job_id", "a", "b"), save)
             leaders = save(f"leaders-of-{i}", found.filter("leader = ord").select(*page))
         else:
-            blocked = open_.join(firsts, ["job_id", key, "s"]).filter("if(indexed, first, first_indexed) < ord").select(*page).distinct()
+            blocked = open_.join(firsts, ["s", "job_id"]).filter("if(indexed, first, first_indexed) < ord").select(*page).distinct()
             leaders = save(f"leaders-of-{i}", undecided.join(blocked, page, "left_anti"))
         state = save(f"state-{i}", absorbed(state, leaders))
         drop = getattr(save, "drop", lambda *names: None)
-        drop(f"open-{i}", f"firsts-{i}", f"state-{i - 1}", f"leaders-of-{i}")
+        drop(f"open-{i}", f"firsts-{i}", f"state-{i - 1}", f"leaders-of-{i}", f"met-{i}")
         if last:
             return state.select(*page, F.when(F.col("leads"), F.col("ord")).otherwise(F.col("led.leader")).alias("leader"), "led.overlap", "led.union")
 
@@ -193,7 +205,7 @@ def mark_duplicates(pages: DataFrame, save, threshold: float = 0.94, most: int |
     if most is None:
         led = near_leaders(sets, threshold, save)
     else:
-        edges = save("similar", similar_pairs(sets, threshold, most))
+        edges = save("similar", similar_pairs(sets, save, threshold, most))
         led = greedy_leaders(sets, edges.select("job_id", "a", "b"), save).join(edges.select("job_id", F.col("a").alias("leader"), F.col("b").alias("ord"), "overlap", "union"), ["job_id", "leader", "ord"], "left")
     score = F.floor((F.col("overlap") * 200 + F.col("union")) / (F.col("union") * 2)) / 100
     near = led.select("job_id", F.col("ord").alias("first_ord"), "leader", F.when(F.col("leader") != F.col("ord"), score).alias("near"))

@@ -244,7 +244,7 @@ def shingle_jaccard_pairs(spark, sf_dir):
     save = Stages(spark, "pairs")
     rows = save("bodies", document_bodies(spark, sf_dir).drop("text"))
     firsts = duplicates.exact_duplicates(rows, save).filter("ord = first_ord").select("job_id", "ord")
-    pairs = duplicates.similar_pairs(save("sets", duplicates.shingle_sets(rows.join(firsts, ["job_id", "ord"], "left_semi"))), 0.8)
+    pairs = duplicates.similar_pairs(save("sets", duplicates.shingle_sets(rows.join(firsts, ["job_id", "ord"], "left_semi"))), save, 0.8)
     return pairs.select("a", "b", F.col("overlap").cast("bigint").alias("overlap"), F.col("union").cast("bigint").alias("union"))
 
 
