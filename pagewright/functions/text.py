@@ -9,7 +9,8 @@ IMAGE = r"!\[[^\]]*\]\([^)]+\)"
 LINK = r"\[([^\]]+)\]\([^)]+\)"
 #: White space as browsers see it: ASCII white space, no-break space and the Unicode spaces.
 SPACE = r"[\s   -     　﻿]"
-OTHER_SPACE = f"[{SPACE[1:-1]}&&[^ ]]"
+#: Characters that are no white space, as two ranges that most text is of.
+PLAIN = "[!-~À-ɏ]"
 #: Word boundaries that count ASCII letters, digits and underscore as word characters.
 LEFT, RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 # Image and document extensions that aren't body text.
@@ -22,8 +23,11 @@ def let(value: Column, body) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    """White space as single spaces, none at the ends. Only runs that aren't a single space already are matched."""
-    return F.regexp_replace(F.regexp_replace(text, f" ?{OTHER_SPACE}{SPACE}*|  {SPACE}*", " "), r"^ | \z", "")
+    """White space as single spaces, none at the ends.
+
+    A run is matched if it isn't a single space already; letters and marks are ruled out by a range before the class is tried.
+    """
+    return F.trim(F.regexp_replace(text, f" (?!{PLAIN}){SPACE}+|(?![ {PLAIN[1:]}){SPACE}+", " "))
 
 
 def lines(text: Column) -> Column:

@@ -297,8 +297,9 @@ def content_confidence(spark, sf_dir):
     """Confidence of documents if lines of under 40 characters count as layout."""
     lines = F.split("text", "\n")
     kept, gone = F.array_join(F.filter(lines, lambda x: F.length(x) >= 40), "\n"), F.size(F.filter(lines, lambda x: F.length(x) < 40))
-    score = text.content_confidence(F.length(text.normalize_body(kept)), F.length(text.normalize_body(F.col("text"))), gone)
-    return table(spark, sf_dir, "documents").select("doc_id", score.alias("confidence"))
+    # Bodies are measured in a step of their own, else each use of a length normalises them again.
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.length(text.normalize_body(kept)).alias("cleaned"), F.length(text.normalize_body(F.col("text"))).alias("raw"), gone.alias("gone"))
+    return rows.select("doc_id", text.content_confidence(F.col("cleaned"), F.col("raw"), F.col("gone")).alias("confidence"))
 
 
 @query("SELECT lang, count(*) AS docs, count(l.doc_id) AS labelled, sum(quality) AS good, sum(toxic) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY lang")

@@ -29,3 +29,16 @@ def test_shingles_are_dealt_once_and_only_sets_in_pairs_after(spark):
     assert duplicates.sets_of(pairs, sets).count() == 4 and duplicates.sets_of(pairs, sets, sent=1).count() == 52
     got = duplicates.confirmed(pairs, sets, 0.8).collect()
     assert [(r.a, r.b, r.overlap, r.union) for r in got] == [(0, 1, 9, 9)]  # sets without a fingerprint meet nothing
+
+
+def test_squeeze_is_one_search_over_any_white_space(spark):
+    marks = " \t\n\r\v\f        　﻿"
+    rows = [(f"{a}{b}x{b}{a}ß{a}ɐ{b}{b}{a}",) for a in marks for b in marks] + [("",), (" ",), ("a b",), (None,)]
+    for r in spark.createDataFrame(rows, "t string").select("t", text.squeeze(F.col("t")).alias("s")).collect():
+        assert r.s == (None if r.t is None else re.sub(f"[{marks}]+", " ", r.t).strip(" "))
+    # Spaces inside a line aren't tried against the class, nor ends in a search of their own.
+    assert plan(spark.range(1).select(text.squeeze(F.col("id").cast("string")).alias("s"))).count("regexp_replace") == 1
+
+
+def test_confidence_normalises_each_body_once(spark):
+    assert plan(queries.content_confidence(spark, SF)).count("jpg|jpeg") == 2
