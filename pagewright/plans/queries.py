@@ -353,7 +353,8 @@ def fact_extract(spark, sf_dir):
 @query()
 def fact_collapse(spark, sf_dir):
     """Facts of each source's documents that say the same, as one row."""
-    return facts.collapse_facts(document_facts(spark, sf_dir)).select("job_id", "key", "kind", "value", "occurrences", "alsoOn")
+    found = Stages(spark, "facts")("facts", document_facts(spark, sf_dir))  # read twice
+    return facts.collapse_facts(found).select("job_id", "key", "kind", "value", "occurrences", "alsoOn")
 
 
 # Page types, clusters, audit
