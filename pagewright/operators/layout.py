@@ -46,6 +46,11 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return rows.withColumn("norm", normalize_line(F.col("line")))
 
 
+def with_marks(rows: DataFrame) -> DataFrame:
+    """Lines with the normal form of their text alone, and whether they are layout wherever they stand."""
+    return rows.withColumn("text_norm", normalize_line(layout_text(F.col("line")))).withColumn("chrome", is_layout_line(F.col("line"), F.lit(False)))
+
+
 def nav_texts(pages: DataFrame) -> DataFrame:
     """Navigation texts of a job with the first page that has each."""
     rows = pages.select("job_id", "ord", F.explode("structure.nav").alias("link"))
@@ -87,11 +92,11 @@ def common_lines(pages: DataFrame, rows: DataFrame | None = None, nav: DataFrame
     """Lines that look like layout (by the navigation seen up to their page) on two fifths of a job's pages, twice at least."""
     rows = page_lines(pages) if rows is None else rows
     nav = nav_texts(pages) if nav is None else nav
-    text_norm = normalize_line(layout_text(F.col("line")))
-    short = rows.filter("norm != ''").filter(F.length("norm") <= LONGEST_LINE).withColumn("text_norm", text_norm)
+    rows = rows if "chrome" in rows.columns else with_marks(rows)
+    short = rows.filter("norm != ''").filter(F.length("norm") <= LONGEST_LINE)
     seen = nav.select("job_id", F.col("norm").alias("text_norm"), "first_ord")
     met = short.join(seen, ["job_id", "text_norm"], "left").withColumn("in_nav", F.coalesce(F.col("first_ord") <= F.col("ord"), F.lit(False)))
-    met = met.filter(is_layout_line(F.col("line"), F.col("in_nav")) | F.trim("line").rlike(BULLET_LINK))
+    met = met.filter(F.col("in_nav") | F.col("chrome") | F.trim("line").rlike(BULLET_LINK))
     counts = met.select("job_id", "ord", "norm").distinct().groupBy("job_id", "norm").agg(F.count("*").alias("pages"))
     total = pages.groupBy("job_id").agg(F.count("*").alias("n"))
     return counts.join(total, "job_id").filter(F.col("pages") >= F.greatest(F.lit(LEAST), F.ceil(F.col("n") * SHARE[0] / SHARE[1]))).select("job_id", "norm", "pages")
@@ -118,16 +123,19 @@ def skipped_sections(raw: Column) -> Column:
     return F.aggregate(heads, F.struct(F.lit(None).cast("int").alias("level"), empty.alias("out")), step, lambda s: s["out"])
 
 
-def line_reasons(pages: DataFrame) -> DataFrame:
-    """Every line with why it is removed: job_id, ord, no, line, reason (null: kept)."""
-    rows = page_lines(pages)
-    nav, common = nav_texts(pages), common_lines(pages, rows)
+def line_reasons(pages: DataFrame, save=None) -> DataFrame:
+    """Every line with why it is removed: job_id, ord, no, line, reason (null: kept).
+
+    With `save(name, df)` the lines and their normal forms, which four joins read, are made and written once.
+    """
     heads = pages.withColumn("heads", skipped_sections(F.col("raw"))).select("job_id", "ord", "heads", F.posexplode(lines(F.col("raw"))).alias("no", "line"))
     at = F.try_element_at(F.filter("heads", lambda h: h["no"] <= F.col("no")), F.lit(-1))
-    every = heads.withColumn("at", at).withColumn("trimmed", F.trim("line")).drop("heads")
+    every = with_marks(heads.withColumn("at", at).withColumn("trimmed", F.trim("line")).drop("heads").withColumn("norm", normalize_line(F.col("line"))))
+    every = every if save is None else save("lines", every)
+    nav, common = nav_texts(pages), common_lines(pages, every)
     # Blank lines, of which a job has many, meet no index.
     blank = every.filter("trimmed = ''")
-    rows = every.filter("trimmed != ''").withColumn("norm", normalize_line(F.col("line"))).withColumn("text_norm", normalize_line(layout_text(F.col("line"))))
+    rows = every.filter("trimmed != ''")
     rows = rows.join(common.select("job_id", "norm", F.lit(True).alias("is_common")), ["job_id", "norm"], "left")
     rows = rows.join(nav.select("job_id", "norm", F.lit(True).alias("is_nav")), ["job_id", "norm"], "left")
     rows = rows.join(nav.select("job_id", F.col("norm").alias("text_norm"), F.lit(True).alias("text_nav")), ["job_id", "text_norm"], "left")
@@ -139,7 +147,7 @@ def line_reasons(pages: DataFrame) -> DataFrame:
         .when(flag("is_common"), F.concat(F.lit("repeated:"), F.substring("trimmed", 1, 80)))
         .when(flag("is_nav"), F.concat(F.lit("navigation:"), F.col("trimmed")))
         .when(is_breadcrumb(F.col("trimmed")), "breadcrumbs")
-        .when(is_layout_line(F.col("trimmed"), flag("text_nav")), F.concat(F.lit("layout:"), F.substring("trimmed", 1, 80)))
+        .when(flag("text_nav") | F.col("chrome"), F.concat(F.lit("layout:"), F.substring("trimmed", 1, 80)))
         .when(flag("in_footer"), "footer")
     )
     opens = F.coalesce(F.col("at.starts") & (F.col("at.no") == F.col("no")), F.lit(False))
@@ -147,14 +155,14 @@ def line_reasons(pages: DataFrame) -> DataFrame:
     return rows.select("job_id", "ord", "no", "line", reason.alias("reason"))
 
 
-def clean_pages(pages: DataFrame) -> DataFrame:
+def clean_pages(pages: DataFrame, save=None) -> DataFrame:
     """Pages with cleanedMarkdown, diagnostics, and headings taken from the cleaned text.
 
     Lines of skipped sections count as removed; only the heading that opens a section leaves an artifact.
     """
     body = F.array_sort(F.collect_list(F.when(F.col("reason").isNull(), F.struct("no", "line"))))
     gone = F.array_sort(F.collect_list(F.when(F.col("reason") != "", F.struct("no", "reason"))))
-    per_page = line_reasons(pages).groupBy("job_id", "ord").agg(body.alias("body"), gone.alias("gone"), F.count_if(F.col("reason").isNotNull()).alias("removed"))
+    per_page = line_reasons(pages, save).groupBy("job_id", "ord").agg(body.alias("body"), gone.alias("gone"), F.count_if(F.col("reason").isNotNull()).alias("removed"))
     out = pages.join(per_page, ["job_id", "ord"]).withColumn("cleanedMarkdown", normalize_markdown(F.array_join(F.transform("body", lambda x: x["line"]), "\n")))
     cleaned, before = normalize_body(F.col("cleanedMarkdown")), F.length(normalize_body(F.col("raw")))
     out = out.withColumn("normalized", cleaned).withColumn("cleanedText", F.length("normalized")).withColumn("rawText", before)

@@ -42,3 +42,15 @@ def test_squeeze_is_one_search_over_any_white_space(spark):
 
 def test_confidence_normalises_each_body_once(spark):
     assert plan(queries.content_confidence(spark, SF)).count("jpg|jpeg") == 2
+
+
+def test_lines_are_made_once(spark):
+    made = []
+
+    def save(name, df):
+        made.append(name)
+        return knowledge.Stages(spark, "t")(name, df)
+
+    pages = knowledge.Stages(spark, "t")("pages", queries.scraped(spark, SF))
+    kept = sorted(map(repr, layout.line_reasons(pages, save).collect()))
+    assert made == ["lines"] and kept == sorted(map(repr, layout.line_reasons(pages).collect()))
