@@ -35,23 +35,42 @@ class Stages:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def build_knowledge(pages: DataFrame, threshold: float = 0.94) -> dict[str, DataFrame]:
-    """Tables of a build from scraped pages (schema PAGE). Cleaning and duplicate marking are written once and reread."""
+#: Tables of a build that need facts, and those that need clusters.
+FACTS = {"page_facts", "facts", "audit"}
+CLUSTERS = {"pages", "clusters", "members", "records", "audit", "manifest", "content_documents", "template_documents", "site_documents"}
+TABLES = FACTS | CLUSTERS | {"duplicate_groups", "review"}
+
+
+def build_knowledge(pages: DataFrame, threshold: float = 0.94, wanted: set[str] = frozenset(TABLES)) -> dict[str, DataFrame]:
+    """The `wanted` tables of a build from scraped pages (schema PAGE); what only others need isn't made.
+
+    Cleaning and duplicate marking are written once and reread, clusters and facts where several tables read them.
+    """
     save = Stages(pages.sparkSession, "knowledge")
-    cleaned = layout.clean_pages(titles.strip_suffixes(pages)).drop("normalized")
+    named = titles.strip_suffixes(pages.select("job_id", "ord", "title"))
+    cleaned = layout.clean_pages(pages, save).drop("normalized", "title").join(named, ["job_id", "ord"])
     typed = save("cleaned", clusters.with_fingerprints(cleaned))
     marked = save("marked", duplicates.mark_duplicates(typed, save, threshold))
     flagged = F.when(F.col("isDuplicate"), F.array_append("diagnostics.warnings", "duplicate_page")).otherwise(F.col("diagnostics.warnings"))
     marked = marked.withColumn("diagnostics", F.col("diagnostics").withField("warnings", flagged))
     groups = duplicates.duplicate_groups(marked)
-    found, members = clusters.cluster_pages(marked.filter("not isDuplicate"))
-    found, members = save("clusters", found), save("members", members)
-    rows = records.records(marked, found, members)
-    every = save("facts", facts.extract_facts(marked))
-    own = members.select("job_id", F.col("ord").alias("canonical_ord"), "cluster_id")
-    placed = marked.join(own, ["job_id", "canonical_ord"], "left").join(found.select("job_id", "cluster_id", F.col("confidence").alias("templateConfidence")), ["job_id", "cluster_id"], "left")
-    unique = placed.filter("cluster_id is null and not isDuplicate")
-    return {
-        "pages": placed, "clusters": found, "members": members, "duplicate_groups": groups, "records": rows, "page_facts": every, "facts": facts.collapse_facts(every), "audit": audit.audit(marked, members, every), "review": audit.review_list(marked),
-        "manifest": export.manifest(found, members, groups), "content_documents": export.unique_page_document(unique), "template_documents": export.template_document(found, placed.filter("cluster_id is not null and not isDuplicate")), "site_documents": export.site_document(marked, found, groups),
-    }
+    out = {"duplicate_groups": groups, "review": audit.review_list(marked)}
+    if wanted & FACTS:
+        every = facts.extract_facts(marked)
+        every = save("facts", every if wanted & {"page_facts", "facts"} else every.select("job_id", "kind", "needsReview"))
+        out |= {"page_facts": every, "facts": facts.collapse_facts(every)} if wanted & {"page_facts", "facts"} else {}
+    if wanted & CLUSTERS:
+        found, members = clusters.cluster_pages(marked.filter("not isDuplicate"))
+        found = save("clusters", found)
+        if wanted & (CLUSTERS - {"clusters"}):
+            members = save("members", members)
+        own = members.select("job_id", F.col("ord").alias("canonical_ord"), "cluster_id")
+        placed = marked.join(own, ["job_id", "canonical_ord"], "left").join(found.select("job_id", "cluster_id", F.col("confidence").alias("templateConfidence")), ["job_id", "cluster_id"], "left")
+        unique = placed.filter("cluster_id is null and not isDuplicate")
+        out |= {
+            "pages": placed, "clusters": found, "members": members, "records": records.records(marked, found, members), "manifest": export.manifest(found, members, groups),
+            "content_documents": export.unique_page_document(unique), "template_documents": export.template_document(found, placed.filter("cluster_id is not null and not isDuplicate")), "site_documents": export.site_document(marked, found, groups),
+        }
+        if "audit" in wanted:
+            out["audit"] = audit.audit(marked, members, every)
+    return {k: v for k, v in out.items() if k in wanted}

@@ -385,29 +385,30 @@ def html_to_markdown(spark, sf_dir):
     return pages.select("url", "markdown", "title", F.to_json("structure").alias("structure"), "error")
 
 
-def knowledge(spark, sf_dir) -> dict[str, DataFrame]:
+def knowledge(spark, sf_dir, name: str) -> DataFrame:
+    """One table of a build; the build makes no other."""
     save = Stages(spark, "scraped")
-    return build_knowledge(save("pages", scraped(spark, sf_dir)))
+    return build_knowledge(save("pages", scraped(spark, sf_dir)), wanted={name})[name]
 
 
 @query()
 def knowledge_pages(spark, sf_dir):
-    return knowledge(spark, sf_dir)["pages"].select("job_id", "ord", "slug", "url", "pageType", "fingerprint", "diagnostics.contentConfidence", "diagnostics.removedLineCount", "diagnostics.normalizedBodyHash", "isDuplicate", "canonical_ord", "cluster_id")
+    return knowledge(spark, sf_dir, "pages").select("job_id", "ord", "slug", "url", "pageType", "fingerprint", "diagnostics.contentConfidence", "diagnostics.removedLineCount", "diagnostics.normalizedBodyHash", "isDuplicate", "canonical_ord", "cluster_id")
 
 
 @query()
 def knowledge_clusters(spark, sf_dir):
-    return knowledge(spark, sf_dir)["clusters"].select("job_id", "cluster_id", "label", "confidence", "fingerprint", "n", "sampleUrls")
+    return knowledge(spark, sf_dir, "clusters").select("job_id", "cluster_id", "label", "confidence", "fingerprint", "n", "sampleUrls")
 
 
 @query()
 def knowledge_records(spark, sf_dir):
-    return knowledge(spark, sf_dir)["records"].select("job_id", "cluster_id", "ord", F.to_json(F.struct("slug", "title", "sections", "images", "featureBullets", "technicalData", "internalLinks", "date", "email", "phone")).alias("record"))
+    return knowledge(spark, sf_dir, "records").select("job_id", "cluster_id", "ord", F.to_json(F.struct("slug", "title", "sections", "images", "featureBullets", "technicalData", "internalLinks", "date", "email", "phone")).alias("record"))
 
 
 @query()
 def knowledge_audit(spark, sf_dir):
-    return knowledge(spark, sf_dir)["audit"].drop("factsByKind", "suspiciousFactsByKind")
+    return knowledge(spark, sf_dir, "audit").drop("factsByKind", "suspiciousFactsByKind")
 
 
 STATUS = "CASE page_id % 5 WHEN 0 THEN 'done' WHEN 1 THEN 'pending' WHEN 2 THEN 'failed' WHEN 3 THEN 'skipped' ELSE 'scraping' END"

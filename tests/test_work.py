@@ -54,3 +54,20 @@ def test_lines_are_made_once(spark):
     pages = knowledge.Stages(spark, "t")("pages", queries.scraped(spark, SF))
     kept = sorted(map(repr, layout.line_reasons(pages, save).collect()))
     assert made == ["lines"] and kept == sorted(map(repr, layout.line_reasons(pages).collect()))
+
+
+def test_a_build_makes_what_is_asked(spark, monkeypatch):
+    written = []
+
+    class Named(knowledge.Stages):
+        def __call__(self, name, df):
+            written.append(name)
+            return super().__call__(name, df)
+
+    pages = knowledge.Stages(spark, "t")("pages", queries.scraped(spark, SF))
+    monkeypatch.setattr(knowledge, "Stages", Named)
+    assert set(knowledge.build_knowledge(pages, wanted={"clusters"})) == {"clusters"}
+    assert "facts" not in written and "members" not in written and written.count("lines") == 1
+    written.clear()
+    built = knowledge.build_knowledge(pages, wanted={"audit"})
+    assert set(built) == {"audit"} and built["audit"].count() > 0 and "facts" in written
