@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pagewright.functions.text import fact_source
 
 PER_PAGE, AROUND = 200, 80
+#: Pages whose facts a task holds at a time.
+AT_ONCE = 256
 W, E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 LOWER = "a-ząćęłńóśźżäöüß"
 # What facts of each kind look like, units, labels and words of context.
@@ -126,9 +128,9 @@ SCHEMA = "kind:string,value:string,unit:string,label:string,context:string,confi
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [page_facts(t or "") for t in batch.column(4).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, FACTS)], names=["job_id", "ord", "slug", "url", "facts"])
+    for part in (batch.slice(i, AT_ONCE) for batch in batches for i in range(0, batch.num_rows, AT_ONCE)):
+        found = pa.array([page_facts(t.as_py() or "") for t in part.column(4)], FACTS)
+        yield pa.RecordBatch.from_arrays([*part.columns[:4], found], names=["job_id", "ord", "slug", "url", "facts"])
 
 
 def extract_facts(pages: DataFrame, text_col: str = "raw") -> DataFrame:

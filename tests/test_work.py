@@ -71,3 +71,15 @@ def test_a_build_makes_what_is_asked(spark, monkeypatch):
     written.clear()
     built = knowledge.build_knowledge(pages, wanted={"audit"})
     assert set(built) == {"audit"} and built["audit"].count() > 0 and "facts" in written
+
+
+def test_python_holds_few_pages_at_a_time():
+    """A batch of many pages comes back in parts, and trees have no cycles that wait for the collector."""
+    n = 3 * html.AT_ONCE + 1
+    batch = pa.RecordBatch.from_arrays([pa.array([f"https://x.y/{i}" for i in range(n)]), pa.array(["<main><h1>A</h1><p>text</p></main>"] * n)], names=["url", "html"])
+    schema = pa.schema([("url", pa.string()), ("markdown", pa.string())])
+    parts = list(html._parse(schema)(iter([batch])))
+    assert [p.num_rows for p in parts] == [html.AT_ONCE] * 3 + [1] and [u for p in parts for u in p.column(0).to_pylist()] == batch.column(0).to_pylist()
+    rows = pa.RecordBatch.from_arrays([pa.array(["j"] * 600), pa.array(range(600)), pa.array(["s"] * 600), pa.array([""] * 600), pa.array([f"tel. 500 600 {i + 100}" for i in range(600)])], names=["job_id", "ord", "slug", "url", "text"])
+    parts = list(facts._extract(iter([rows])))
+    assert max(p.num_rows for p in parts) <= facts.AT_ONCE and sum(p.num_rows for p in parts) == 600
