@@ -14,21 +14,8 @@ from pagewright.sources import html
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("t", ["", "a", "a b", "a b c", "a b c d a b c d a b", "x x x x x"])
-def test_hashed_shingles_are_as_many_as_shingles(spark, t):
-    r = spark.createDataFrame([(t,)], "t string").select(F.size(text.shingles(F.col("t"))).alias("a"), F.size(text.hashed_shingles(F.col("t"))).alias("b")).first()
-    assert r.a == r.b
-
-
-def test_shingles_are_dealt_once_and_only_sets_in_pairs_after(spark):
-    rows = [("j", "f", i, 100, 48, [1, 2, 3, 4, 5, 6, 7, 8, 9] if i < 2 else [100 + 9 * i + k for k in range(9)]) for i in range(50)] + [("j", None, 90 + i, 100, 48, [1, 2, 3]) for i in range(2)]
-    sets = spark.createDataFrame(rows, "job_id string, fingerprint string, ord long, chars int, bucket int, s array<long>")
-    entries = duplicates.rare_entries(sets, 0.8)
-    assert " Join " not in plan(entries)
-    pairs = duplicates.meeting(entries, entries)
-    assert duplicates.sets_of(pairs, sets).count() == 4 and duplicates.sets_of(pairs, sets, sent=1).count() == 52
-    got = duplicates.confirmed(pairs, sets, 0.8).collect()
-    assert [(r.a, r.b, r.overlap, r.union) for r in got] == [(0, 1, 9, 9)]  # sets without a fingerprint meet nothing
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_squeeze_is_one_search_over_any_white_space(spark):
@@ -44,16 +31,21 @@ def test_confidence_normalises_each_body_once(spark):
     assert plan(queries.content_confidence(spark, SF)).count("jpg|jpeg") == 2
 
 
-def test_lines_are_made_once(spark):
-    made = []
+@pytest.mark.parametrize("t", ["", "a", "a b", "a b c", "a b c d a b c d a b", "x x x x x"])
+def test_hashed_shingles_are_as_many_as_shingles(spark, t):
+    r = spark.createDataFrame([(t,)], "t string").select(F.size(text.shingles(F.col("t"))).alias("a"), F.size(text.hashed_shingles(F.col("t"))).alias("b")).first()
+    assert r.a == r.b
 
-    def save(name, df):
-        made.append(name)
-        return knowledge.Stages(spark, "t")(name, df)
 
-    pages = knowledge.Stages(spark, "t")("pages", queries.scraped(spark, SF))
-    kept = sorted(map(repr, layout.line_reasons(pages, save).collect()))
-    assert made == ["lines"] and kept == sorted(map(repr, layout.line_reasons(pages).collect()))
+def test_shingles_are_dealt_once_and_only_sets_in_pairs_after(spark):
+    rows = [("j", "f", i, 100, 48, [1, 2, 3, 4, 5, 6, 7, 8, 9] if i < 2 else [100 + 9 * i + k for k in range(9)]) for i in range(50)] + [("j", None, 90 + i, 100, 48, [1, 2, 3]) for i in range(2)]
+    sets = spark.createDataFrame(rows, "job_id string, fingerprint string, ord long, chars int, bucket int, s array<long>")
+    entries = duplicates.rare_entries(sets, 0.8)
+    assert " Join " not in plan(entries)
+    pairs = duplicates.meeting(entries, entries)
+    assert duplicates.sets_of(pairs, sets).count() == 4 and duplicates.sets_of(pairs, sets, sent=1).count() == 52
+    got = duplicates.confirmed(pairs, sets, 0.8).collect()
+    assert [(r.a, r.b, r.overlap, r.union) for r in got] == [(0, 1, 9, 9)]  # sets without a fingerprint meet nothing
 
 
 def test_a_build_makes_what_is_asked(spark, monkeypatch):
@@ -73,6 +65,18 @@ def test_a_build_makes_what_is_asked(spark, monkeypatch):
     assert set(built) == {"audit"} and built["audit"].count() > 0 and "facts" in written
 
 
+def test_lines_are_made_once(spark):
+    made = []
+
+    def save(name, df):
+        made.append(name)
+        return knowledge.Stages(spark, "t")(name, df)
+
+    pages = knowledge.Stages(spark, "t")("pages", queries.scraped(spark, SF))
+    kept = sorted(map(repr, layout.line_reasons(pages, save).collect()))
+    assert made == ["lines"] and kept == sorted(map(repr, layout.line_reasons(pages).collect()))
+
+
 def test_python_holds_few_pages_at_a_time():
     """A batch of many pages comes back in parts, and trees have no cycles that wait for the collector."""
     n = 3 * html.AT_ONCE + 1
