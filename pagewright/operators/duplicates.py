@@ -131,17 +131,20 @@ def greedy_leaders(nodes: DataFrame, edges: DataFrame, save) -> DataFrame:
 
     A node whose earlier neighbours are all absorbed leads; a node with an earlier leading neighbour is absorbed. Rounds
     grow with the longest chain of decisions, and each decides one node at least. `save(name, df)` writes a round's table and reads it back.
+    Nodes that are marked in a column `waits` stay undecided, and so do those that depend on them: they have no leader.
     """
-    state = save("leaders-0", nodes.select("job_id", "ord", F.lit(None).cast("boolean").alias("leads")))
-    i, still = 0, True
+    waits = F.col("waits") if "waits" in nodes.columns else F.lit(False)
+    state = save("leaders-0", nodes.select("job_id", "ord", F.lit(None).cast("boolean").alias("leads"), waits.alias("waits")))
+    i, still, left = 0, True, None
     while still:
         i += 1
         seen = edges.join(state.select("job_id", F.col("ord").alias("a"), "leads"), ["job_id", "a"])
         seen = seen.groupBy("job_id", F.col("b").alias("ord")).agg(F.bool_or(F.coalesce("leads", F.lit(False))).alias("led"), F.bool_and(F.coalesce(~F.col("leads"), F.lit(False))).alias("free"))
         now = state.join(seen, ["job_id", "ord"], "left")
-        decided = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.col("led").isNull() | F.col("free"), True).when(F.col("led"), False)
-        state = save(f"leaders-{i}", now.select("job_id", "ord", decided.alias("leads")))
-        still = state.filter("leads is null").limit(1).count() > 0
+        decided = F.when(F.col("leads").isNotNull() | F.col("waits"), F.col("leads")).when(F.col("led").isNull() | F.col("free"), True).when(F.col("led"), False)
+        state = save(f"leaders-{i}", now.select("job_id", "ord", decided.alias("leads"), "waits"))
+        before, left = left, state.filter("leads is null and not waits").count()
+        still = left > 0 and left != before
     led = edges.join(state.filter("leads").select("job_id", F.col("ord").alias("a")), ["job_id", "a"]).groupBy("job_id", F.col("b").alias("ord")).agg(F.min("a").alias("first"))
     return state.join(led, ["job_id", "ord"], "left").select("job_id", "ord", F.when(F.col("leads"), F.col("ord")).otherwise(F.col("first")).alias("leader"))
 
@@ -149,11 +152,11 @@ def greedy_leaders(nodes: DataFrame, edges: DataFrame, save) -> DataFrame:
 def near_leaders(sets: DataFrame, threshold: float, save, key: str = "fingerprint", small: int = SMALL) -> DataFrame:
     """job_id, ord, leader, overlap, union: each set's earliest leader of similarity `threshold` or more, itself for leaders.
 
-    Leaders come first, so near-equal pages never meet each other. In a round every shingle names the earliest undecided
-    set that it can bring together with others; a set that no shingle gives an earlier one leads. The new leaders, and
-    only they, meet the other sets of their shingles, at most one leader for each entry; what is similar is absorbed. When
-    no shingle has more than `small` undecided sets, these are compared among each other, which is linear too, and
-    decided by their links. Tables of a round are deleted when the next one is written.
+    Leaders come first, so near-equal pages never meet each other. In a round the first `small` undecided sets of every
+    shingle are compared among each other, and those that are among the first of all their shingles are decided by their
+    links, so a shingle that many different sets hold takes as many rounds as it has such parts, not sets. The new
+    leaders, and only they, meet the other sets of their shingles; what is similar is absorbed. When no shingle has more
+    than `small` undecided sets, all are decided. Tables of a round are deleted when the next one is written.
     """
     entries = save("entries", rare_entries(sets, threshold, key))
     page = ["job_id", "ord"]
@@ -175,7 +178,7 @@ def near_leaders(sets: DataFrame, threshold: float, save, key: str = "fingerprin
         i += 1
         undecided = state.filter("leads is null").select(*page)
         open_ = save(f"open-{i}", entries.join(undecided, page, "left_semi"))
-        firsts = save(f"firsts-{i}", open_.groupBy("s", "job_id").agg(F.min("ord").alias("first"), F.min(F.when(F.col("indexed"), F.col("ord"))).alias("first_indexed"), F.count("*").alias("many")))
+        firsts = save(f"firsts-{i}", open_.groupBy("s", "job_id").agg(F.count("*").alias("many")))
         most = firsts.agg(F.max("many")).first()[0] or 0
         last = most <= small
         if last:
@@ -183,11 +186,15 @@ def near_leaders(sets: DataFrame, threshold: float, save, key: str = "fingerprin
             found = greedy_leaders(undecided, edges.select("job_id", "a", "b"), save)
             leaders = save(f"leaders-of-{i}", found.filter("leader = ord").select(*page))
         else:
-            blocked = open_.join(firsts, ["s", "job_id"]).filter("if(indexed, first, first_indexed) < ord").select(*page).distinct()
-            leaders = save(f"leaders-of-{i}", undecided.join(blocked, page, "left_anti"))
+            placed = save(f"placed-{i}", open_.withColumn("place", F.row_number().over(Window.partitionBy("s", "job_id").orderBy("ord"))))
+            front = placed.filter(F.col("place") <= small)
+            behind = placed.groupBy(*page).agg((F.max("place") > small).alias("waits"))
+            edges = save("edges", confirmed(save("met", meeting(front, front)), sets, threshold, key))
+            nodes = undecided.join(behind, page, "left").withColumn("waits", F.coalesce("waits", F.lit(False)))
+            leaders = save(f"leaders-of-{i}", greedy_leaders(nodes, edges.select("job_id", "a", "b"), save).filter("leader = ord").select(*page))
         state = save(f"state-{i}", absorbed(state, leaders))
         drop = getattr(save, "drop", lambda *names: None)
-        drop(f"open-{i}", f"firsts-{i}", f"state-{i - 1}", f"leaders-of-{i}", f"met-{i}")
+        drop(f"open-{i}", f"firsts-{i}", f"state-{i - 1}", f"leaders-of-{i}", f"met-{i}", f"placed-{i}")
         if last:
             return state.select(*page, F.when(F.col("leads"), F.col("ord")).otherwise(F.col("led.leader")).alias("leader"), "led.overlap", "led.union")
 

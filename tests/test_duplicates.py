@@ -93,3 +93,18 @@ def test_empty_and_single(spark):
     assert duplicates.near_leaders(empty, 0.9, Stages(spark, "t")).count() == 0
     one = spark.createDataFrame([("j", None, 4, 100, 48, [1, 2]), ("j", "f", 5, 100, 48, [])], SETS)
     assert sorted((r.ord, r.leader) for r in duplicates.near_leaders(one, 0.9, Stages(spark, "t")).collect()) == [(4, 4), (5, 5)]
+
+
+def test_different_sets_of_one_shingle_take_few_rounds(spark):
+    """Sixty sets share a rare shingle and nothing else; a round decides more than the first of them."""
+    rows = [("j", "f", i, 1000, 70, [7, *range(1000 * i + 100, 1000 * i + 103)]) for i in range(60)] + [("j", "f", 100 + i, 1000, 70, [7, *range(1000 * i + 100, 1000 * i + 103)]) for i in range(0, 60, 7)]
+    names = []
+
+    class Named(Stages):
+        def __call__(self, name, df):
+            names.append(name)
+            return super().__call__(name, df)
+
+    got = duplicates.near_leaders(spark.createDataFrame(rows, SETS), 0.5, Named(spark, "t"), small=16)
+    assert {(r.job_id, r.ord): (r.leader, r.overlap, r.union) for r in got.collect()} == plain_leaders(rows, duplicates.thousandths(0.5))
+    assert len([n for n in names if n.startswith("state-")]) <= 7
