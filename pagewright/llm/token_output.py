@@ -17,28 +17,28 @@ import os
 import re
 import threading
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SHARD_TOKENS = 1 << 21
 BLOCK = 512
-CACHE_WORDS, CACHE_PIECES = 500_000, 500_000
+CACHE_WORDS = 1_000_000
 IDLE_SECONDS = 5
-#: Documents encoded together, so that a word they share is looked up once.
-ROWS = 512
-#: Pieces that go to the library at once.
-BATCH = 2048
+#: Bytes of the documents encoded together, so that a word they share is looked up once.
+ENCODE_BYTES = 1 << 23
+#: Words that go to the library in one text, and texts that go there at once.
+LED, BATCH = 128, 1024
 SHARD_SCHEMA = "part int, seq int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, planes array<binary>, ranks array<binary>, zeros array<long>"
 #: A space between white space, or at a text's end after white space: here the pre-tokenizer joins what a split would part.
 JOINED_SPACE = re.compile(r"\s (?:\s|\Z)")
-#: Western letters, other signs (no apostrophe, which may begin a contraction), a line's end, and letters and signs again:
-#: the pre-tokenizer parts a word between any two of these.
-PIECES = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+#: Letters, and what follows from an ASCII sign, digit or line end on: the pre-tokenizer parts a word between them.
+STEM = re.compile(r"([A-Za-z]+)([\x00-@\[-`{-\x7f].*)?", re.DOTALL)
 
 
 class WaveletMatrix:
@@ -115,32 +115,23 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """The whole sequence, undoing the planes from the last to the first."""
-        out = np.zeros(self.n, np.uint32)
+        out = np.zeros(self.n, np.uint16 if len(self.zeros) <= 16 else np.uint32)
         for level in range(len(self.zeros) - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n).astype(bool)
+            bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
             up = np.empty_like(out)
             up[~bit], up[bit] = out[: self.zeros[level]], out[self.zeros[level] :]
-            up |= bit.astype(np.uint32) << np.uint32(len(self.zeros) - 1 - level)
+            up |= bit.astype(out.dtype) << out.dtype.type(len(self.zeros) - 1 - level)
             out = up
         return out
 
 
-class Memory(dict):
-    """Words kept for good, and the `rest` that only the present batch holds."""
-
-    rest: dict[str, bytes]
-
-    def __missing__(self, word: str) -> bytes:
-        return self.rest[word]
-
-
 class Encoder:
     """Ids of whole texts from the tokenizers library, remembering words.
 
     The byte-level pre-tokenizer never joins across a space that follows a character other than white space or precedes
     one, so such a text's ids are those of its space-led words in turn. Other texts, and those that hold a token added to
-    the vocabulary, go to the library whole. A new word is put together from its pieces where it has that form, so that
-    one met with another sign or line end costs little.
+    the vocabulary, go to the library whole. Distinct words are looked up once for each call. Of new ones, the letters they
+    begin with go to the library many to a text: a word's ids begin at a token that begins with a space, as no other does.
     """
 
     def __init__(self, path: str):
@@ -150,37 +141,84 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         #: What a text doesn't hold that is split here: added tokens, and NUL, which marks a text's first word.
         self.unsplit = ["\0", *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
-        self.words = Memory()
-        self.pieces: dict[str, bytes] = {"": b""}
         self.width = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kind = np.dtype("<u2" if self.width <= 16 else "<u4")
-
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        code = {2: "H", 4: "I"}[self.kind.itemsize]
-        out: list[bytes] = []
+        vocabulary = self.tokenizer.get_vocab()
+        self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.leads[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # the byte-level sign of a space
+        self.words: dict[str, int] = {}  # number of each word kept; its ids are ids[bounds[number] : bounds[number + 1]]
+        self.ids, self.bounds = np.zeros(1 << 20, self.kind), np.zeros(1 << 18, np.int64)
+
+    def _batch(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
         for i in range(0, len(texts), BATCH):  # the library's results take far more memory than the ids
-            out += [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + BATCH], add_special_tokens=False)]
+            out += [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts[i : i + BATCH], add_special_tokens=False)]
         return out
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words as `encode` splits them: a space goes before each but the first of a text, which a NUL marks."""
-        parts = [m.groups() if (m := PIECES.fullmatch(w)) else (w,) for w in (w[1:] if w[:1] == "\0" else " " + w for w in words)]
-        known = self.pieces
-        new = list({p for ps in parts for p in ps if p not in known})
-        coded = dict(zip(new, self._batch(new)))
-        if len(known) < CACHE_PIECES:
-            known.update(coded)
-        return {w: b"".join([known[p] if p in known else coded[p] for p in ps]) for w, ps in zip(words, parts)}
+    def _led(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids and numbers of ids of words with a space before each; none is empty or begins with white space."""
+        ids, lengths = [], []
+        chunks = [words[i : i + LED] for i in range(0, len(words), LED)]
+        for chunk, found in zip(chunks, self._batch([" " + " ".join(c) for c in chunks])):
+            at = np.flatnonzero(self.leads[found])
+            if len(at) != len(chunk) or at[0]:  # another vocabulary may part words otherwise
+                each = self._batch([" " + w for w in chunk])
+                found, at = np.concatenate(each), np.cumsum([0, *map(len, each[:-1])])
+            ids.append(found)
+            lengths.append(np.diff(at, append=len(found)))
+        return ids, lengths
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and each word's number of ids, as `encode` splits them: a space goes before each but the first of a text, which a NUL marks."""
+        led: dict[str, int] = {}
+        rest: dict[str, int] = {"": 0}
+        parts = np.zeros((len(words), 2), np.int64)
+        for i, w in enumerate(words):
+            if m := STEM.fullmatch(w):
+                stem, tail = m.groups("")
+                parts[i] = led.setdefault(stem, len(led)), ~rest.setdefault(tail, len(rest))
+            elif not w or w[0] == "\0" or w[0].isspace():  # beside another word, white space might join
+                parts[i] = ~rest.setdefault(w[1:] if w[:1] == "\0" else " " + w, len(rest)), ~0
+            else:
+                parts[i] = led.setdefault(w, len(led)), ~0
+        ids, lengths = self._led(list(led))
+        tails = self._batch(list(rest))
+        ends = np.cumsum(np.concatenate([[0], *lengths, list(map(len, tails))]).astype(np.int64)) * self.kind.itemsize
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate([*ids, *tails]))])
+        found = pieces.take(pa.array(np.where(parts < 0, len(led) + ~parts, parts).ravel()))
+        _, ends, data = found.buffers()
+        ends = np.frombuffer(ends, np.int64, len(found) + 1, found.offset * 8)[::2] // self.kind.itemsize
+        return np.frombuffer(data, self.kind)[: ends[-1]] if data is not None else self.ids[:0], np.diff(ends)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if any(x in t for x in self.unsplit) or JOINED_SPACE.search(t) else ("\0" + t).split(" ") for t in texts]
-        known = self.words
-        coded = self._words(list(set().union(*filter(None, split)).difference(known)))
+        whole = [any(x in t for x in self.unsplit) or bool(JOINED_SPACE.search(t)) for t in texts]
+        lists = pc.split_pattern(pa.array([None if w else "\0" + t for t, w in zip(texts, whole)], pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        found, known = coded.dictionary.to_pylist(), self.words
+        number = np.fromiter(map(known.get, found, repeat(-1)), np.int64, len(found))
+        new = np.flatnonzero(number < 0)
+        ids, lengths = self._words([found[i] for i in new])
+        number[new] = len(known) + np.arange(len(new))
+        # New words stand behind those kept; where there is room, they are kept too.
+        begin, bounds = int(self.bounds[len(known)]), len(known) + len(new) + 1
+        if bounds > len(self.bounds):
+            self.bounds = np.concatenate([self.bounds, np.zeros(bounds, np.int64)])
+        if begin + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(begin + len(ids), self.kind)])
+        self.ids[begin : begin + len(ids)] = ids
+        self.bounds[len(known) + 1 : bounds] = begin + np.cumsum(lengths)
         if len(known) < CACHE_WORDS:  # words met first, so mostly the frequent ones, stay
-            known.update(coded)
-        known.rest = coded
-        whole = iter(self._batch([t for t, words in zip(texts, split) if words is None]))
-        return [np.frombuffer(next(whole) if words is None else b"".join(map(known.__getitem__, words)), self.kind) for words in split]
+            first = len(known)
+            known.update((found[i], first + n) for n, i in enumerate(new.tolist()))
+        size = self.kind.itemsize
+        kept = pa.Array.from_buffers(pa.large_binary(), bounds - 1, [None, pa.py_buffer(self.bounds[:bounds] * size), pa.py_buffer(self.ids)])
+        taken = kept.take(pa.array(number).take(coded.indices))
+        _, ends, data = taken.buffers()
+        ends = np.frombuffer(ends, np.int64, len(taken) + 1, taken.offset * 8) // size
+        out = np.frombuffer(data, self.kind) if len(taken) else self.ids[:0]
+        ends = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))])]
+        rest = iter(self._batch([t for t, w in zip(texts, whole) if w]))
+        return [next(rest) if w else out[a:b] for w, a, b in zip(whole, ends[:-1].tolist(), ends[1:].tolist())]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -214,8 +252,10 @@ def _shards(path: str, end_id: int):
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_tokens": w.n, "doc_ids": docs, "doc_tokens": counts, "planes": [p.tobytes() for p in w.planes], "ranks": [r.tobytes() for r in w.ranks], "zeros": w.zeros}], SHARD_ARROW)
 
         for batch in batches:
-            for i in range(0, batch.num_rows, ROWS):
-                rows = batch.slice(i, ROWS)
+            sizes = pc.binary_length(batch.column(2)).fill_null(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // ENCODE_BYTES)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(cuts, cuts[1:]):
+                rows = batch.slice(i, j - i)
                 texts = [t or "" for t in rows.column(2).to_pylist()]
                 for p, doc, x in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), words.encode(texts)):
                     if ids and (p != part or held + len(x) + 1 > SHARD_TOKENS):
