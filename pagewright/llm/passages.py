@@ -5,11 +5,14 @@
    passage of `min_words` are kept, which are few: a position has one exactly when it is the least of some stretch of
    that length, so a sliding minimum finds them and the tree is built over them alone.
 2. Windows meet that have the same least shingle and the same least one, by a further hash function, in the half
-   passage to its right or to its left; a passage holds one of these halves. Each is paired with the key's first and
-   last document, never with all others. The widest overlap of each piece of a document is verified first, then
-   all overlaps but those between places of one group. Members of larger keys that are not all in one group, who may share
-   a passage with each other only, meet again by short runs of shingles, sampled by their hashes so that any half passage
-   has one.
+   passage to its right or to its left; a passage holds one of these halves. Around such windows every stretch of the
+   passage length is hashed whole, and all documents that hold an equal one are tied to the first of them: equality
+   carries over, so no pairs are needed and none is lost, however large the key.
+   For near-equal stretches, each window is paired with the key's first and last document. The widest overlap of each
+   piece of a document is verified first, then all overlaps but those between places of one group. Members of larger keys
+   that are not all in one group meet again by short runs of shingles, sampled by their hashes so that any half passage
+   has one, and are again paired with a run's first and last document. So a near-equal stretch without an equal passage in
+   it, shared by none of these ends, may be missed.
 3. An interval join keeps pairs whose windows, laid over each other at the least shingle, overlap by the passage length.
 4. Verification cuts both texts' overlapping shingles, finds every longest near-equal stretch of the cut, and confirms it
    if its Jaccard similarity reaches `percent`. Confirmed stretches of a document that overlap or touch are united into
@@ -18,7 +21,7 @@
 Texts with equal words form a class first; its smallest id stands for it, and its copies are reported whole.
 
 Defined cases: a null, empty or short text has no passage; a passage repeated inside one document only isn't reported;
-rows with equal ids count as one document (of different texts of one id, the one of least hashes is compared); null ids are ignored; extra columns are ignored; an empty table gives an
+rows with equal ids count as one document (of different texts of one id, the one of least hashes is compared, without the step for equal stretches); null ids are ignored; extra columns are ignored; an empty table gives an
 empty result. No group is capped, and no text cut: the parts compared are bounded by the windows.
 """
 
@@ -148,6 +151,57 @@ def _runs(k: int, width: int, table: bytes, keys: bytes):
     return run
 
 
+def _grams(k: int, width: int, table: bytes, sides: bytes):
+    """(key, rep, pos) of the stretches of `width` shingles that hold the least one of a window whose side key is in `sides`.
+
+    One hash function is enough: two documents with an equal stretch have a window each around its least shingle, and as
+    one half of the stretch beside it is equal too, the windows share a side key.
+    """
+    mult, add = sh.spread(11, HASHES) | np.uint64(1), sh.spread(12, HASHES)
+    half = width // 2 - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(in_table(table, TABLE_BITS, batch.column(2).to_numpy().view(np.uint64))))
+            for i, j, raw, off in sh.slices(batch.column(1)):
+                h, _, begins = sh.shingles(sh.words(raw, off), k, short=False)
+                first, at, last = compact_windows(sh.mix(h * mult[0] + add[0]), begins, width)
+                if not len(at):
+                    continue
+                edge = np.full(half, ~np.uint64(0))
+                near = _sliding(np.concatenate([edge, sh.mix(h ^ sh.BASE), edge]), half, np.minimum)
+                key = sh.mix(h[at])
+                keep = in_table(sides, KEY_BITS, sh.mix(key ^ near[at])) | in_table(sides, KEY_BITS, sh.mix(key + near[at + half + 1]))
+                first, at, last = first[keep], at[keep], last[keep]
+                mark = np.zeros(len(h) + 1, np.int64)
+                np.add.at(mark, np.maximum(first, at - width + 1), 1)
+                np.add.at(mark, np.minimum(at, last - width + 1) + 1, -1)
+                p = np.flatnonzero(np.cumsum(mark) > 0)
+                power, inverse = sh._power(len(h))
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[: len(h)], dtype=np.uint64)])
+                owner = np.searchsorted(begins, p, "right") - 1
+                value = sh.mix((total[p + width] - total[p]) * inverse[p])
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(batch.column(0).to_numpy()[i:j][owner]), pa.array((p - begins[owner]).astype(np.int32))], names=["key", "rep", "pos"])
+
+    return run
+
+
+def _equal(grams: DataFrame, scratch: Scratch, k: int, width: int) -> DataFrame:
+    """Equal stretches, as `_verify` gives them, of every document with one of the others that hold the same.
+
+    Equal stretches are a relation that carries over, so each is tied to its first document, and places in a row of one
+    document with one partner are one stretch. Nothing grows but with the number of places.
+    """
+    at = F.struct("rep", "pos")
+    met = grams.groupBy("key").agg(F.min(at).alias("a"), F.max(at).alias("z")).filter("a.rep < z.rep")
+    rows = grams.join(met, "key").withColumn("h", F.when(F.expr("rep != a.rep"), F.col("a")).when(F.expr("pos != a.pos"), F.col("z"))).filter("h is not null")
+    rows = rows.select("rep", F.col("h.rep").alias("hub"), "pos", (F.col("pos") - F.col("h.pos")).alias("d"))
+    place = F.row_number().over(Window.partitionBy("rep", "hub", "d").orderBy("pos"))
+    rows = rows.withColumn("run", F.col("pos") - place).groupBy("rep", "hub", "d", "run").agg(F.min("pos").cast("long").alias("begin"), (F.max("pos") + width - 1 + k).cast("long").alias("end"))
+    found = rows.select("rep", "hub", "begin", "end", (F.col("begin") - F.col("d")).alias("hub_begin"), (F.col("end") - F.col("d")).alias("hub_end"))
+    return scratch.table("found-equal", found)
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, raw, off in sh.slices(batch.column(1)):
@@ -336,10 +390,17 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, k
     keys = bit_table(met, KEY_BITS)
     # What the table lets through wrongly meets nobody in the groups below, so these windows need no further join.
     windows = scratch.table("windows", hashed.mapInArrow(_windows(k, width, table, keys), WINDOW_SCHEMA))
-    # First the widest overlap of each piece of a document; then those that no group of spans settles.
+    # All equal stretches; near-equal ones by the widest overlap of each piece of a document, then those that no group settles.
     widest = F.max_by(F.struct("hub", "i0", "j0", "n", "c"), F.struct("n", -F.col("hub"), "i0")).alias("e")
     edges = scratch.table("edges", _edges(_overlaps(windows, scratch, width)))
+    ends = [scratch.spark.read.parquet(scratch.path(f"ends-{side}")).select(F.col(side).alias("h")) for side in ("right_key", "left_key")]
+    sides = bit_table(ends[0].union(ends[1]), KEY_BITS)
     scratch.free("overlaps", "ends-right_key", "ends-left_key")
+    # Ids of different texts are left to the comparisons below, which choose one of these.
+    one = heads.groupBy(F.col("doc_id").alias("rep")).agg(F.count_distinct("h1", "h2", "n").alias("texts")).filter("texts = 1").join(classes, "rep", "left_semi")
+    grams = scratch.table("grams", hashed.mapInArrow(_grams(k, width, table, sides), "key long, rep long, pos int").join(one, "rep", "left_semi").select("key", "rep", "pos"))
+    equal = _equal(grams, scratch, k, width)
+    scratch.free("grams")
     best = edges.groupBy("rep", F.floor(F.col("c") / REACH).alias("piece")).agg(widest).select("rep", "e.*")
     found = _verify(best, texts, scratch, "best", k, percent, width)
     groups = _groups(found, scratch, "best")
@@ -352,7 +413,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, k
     runs = scratch.table("runs", hashed.mapInArrow(_runs(k, width, table, crowded), "key long, rep long, first int, least int, last int").join(classes.select("rep").distinct(), "rep", "left_semi"))
     met = scratch.table("met", _edges(_sided_overlaps(runs, scratch, "key", width)))
     scratch.free("runs", "ends-key")
-    found = found.union(_verify(_unsettled(met, groups), texts, scratch, "runs", k, percent, width))
+    # Equal stretches come last: they settle no comparison of near-equal ones, which may reach beyond them.
+    found = found.union(_verify(_unsettled(met, groups), texts, scratch, "runs", k, percent, width)).union(equal)
     groups = _groups(found, scratch, "all")
     copies = heads.select("doc_id", "h1", "h2", "n").distinct().join(classes, ["h1", "h2", "n"])
     members = groups.join(classes.select("rep", "size"), "rep")
