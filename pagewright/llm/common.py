@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, size: int | None) -> Iterator[None]:
+    """Python workers get Arrow batches of `size` bytes at most, if given, in what is run meanwhile."""
+    before = spark.conf.get(BATCH_BYTES)
+    try:
+        if size:
+            spark.conf.set(BATCH_BYTES, size)
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage, so a lost executor costs a reread and not a recomputation."""
 
@@ -38,13 +52,8 @@ class Scratch:
 
     def table(self, name: str, df: DataFrame, batch_bytes: int | None = None) -> DataFrame:
         """Write `df` once and read it back from the shared folder. Python workers get batches of `batch_bytes` at most, if given."""
-        before = self.spark.conf.get(BATCH_BYTES)
-        try:
-            if batch_bytes:
-                self.spark.conf.set(BATCH_BYTES, batch_bytes)
+        with batches_of(self.spark, batch_bytes):
             df.write.mode("overwrite").parquet(self.path(name))
-        finally:
-            self.spark.conf.set(BATCH_BYTES, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def size(self, name: str) -> int:

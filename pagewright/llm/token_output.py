@@ -26,19 +26,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagewright.llm.common import batches_of
+
 SHARD_TOKENS = 1 << 21
 BLOCK = 512
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_000_000  # pieces remembered
 IDLE_SECONDS = 5
-#: Bytes of the documents encoded together, so that a word they share is looked up once.
-ENCODE_BYTES = 1 << 23
-#: Words that go to the library in one text, and texts that go there at once.
-LED, BATCH = 128, 1024
+#: Bytes of the documents encoded together, so that a word they share is looked up once; Arrow batches are as large.
+ENCODE_BYTES = 1 << 22
+#: Pieces that go to the library in one text, and texts that go there at once: its results take some hundred bytes a token.
+LED, BATCH = 128, 64
 SHARD_SCHEMA = "part int, seq int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, planes array<binary>, ranks array<binary>, zeros array<long>"
 #: A space between white space, or at a text's end after white space: here the pre-tokenizer joins what a split would part.
 JOINED_SPACE = re.compile(r"\s (?:\s|\Z)")
 #: Letters, and what follows from an ASCII sign, digit or line end on: the pre-tokenizer parts a word between them.
-STEM = re.compile(r"([A-Za-z]+)([\x00-@\[-`{-\x7f].*)?", re.DOTALL)
+STEM = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>(?s:[\x00-@\[-`{-\x7f].*)?)$"
 
 
 class WaveletMatrix:
@@ -57,7 +59,7 @@ class WaveletMatrix:
             ones.view(np.uint8)[: len(planes[-1])] = planes[-1]
             ranks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(ones).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32))]).astype("<u4"))
             zeros.append(int(len(bit) - ranks[-1][-1]))
-            ids = np.concatenate([ids[~bit], ids[bit]])
+            ids = ids[np.concatenate([np.flatnonzero(~bit), np.flatnonzero(bit)])]
         return cls(planes, ranks, zeros, len(ids))
 
     def _bit(self, level: int, i: int) -> int:
@@ -119,19 +121,20 @@ class WaveletMatrix:
         for level in range(len(self.zeros) - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
             up = np.empty_like(out)
-            up[~bit], up[bit] = out[: self.zeros[level]], out[self.zeros[level] :]
+            up[np.flatnonzero(~bit)], up[np.flatnonzero(bit)] = out[: self.zeros[level]], out[self.zeros[level] :]
             up |= bit.astype(out.dtype) << out.dtype.type(len(self.zeros) - 1 - level)
             out = up
         return out
 
 
 class Encoder:
-    """Ids of whole texts from the tokenizers library, remembering words.
+    """Ids of whole texts from the tokenizers library, remembering pieces of words.
 
     The byte-level pre-tokenizer never joins across a space that follows a character other than white space or precedes
     one, so such a text's ids are those of its space-led words in turn. Other texts, and those that hold a token added to
-    the vocabulary, go to the library whole. Distinct words are looked up once for each call. Of new ones, the letters they
-    begin with go to the library many to a text: a word's ids begin at a token that begins with a space, as no other does.
+    the vocabulary, go to the library whole. Arrow finds the distinct words of a call and parts them into pieces: the
+    letters they begin with, and the rest. Words are many more than pieces, so pieces alone are remembered. New ones go to
+    the library many to a text: a piece's ids begin at a token that begins with a space, as no other does.
     """
 
     def __init__(self, path: str):
@@ -146,77 +149,81 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
         self.leads[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # the byte-level sign of a space
-        self.words: dict[str, int] = {}  # number of each word kept; its ids are ids[bounds[number] : bounds[number + 1]]
+        self.known: dict[str, int] = {}  # number of each piece kept; its ids are ids[bounds[number] : bounds[number + 1]]
         self.ids, self.bounds = np.zeros(1 << 20, self.kind), np.zeros(1 << 18, np.int64)
 
     def _batch(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
-        for i in range(0, len(texts), BATCH):  # the library's results take far more memory than the ids
+        for i in range(0, len(texts), BATCH):
             out += [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts[i : i + BATCH], add_special_tokens=False)]
         return out
 
-    def _led(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids and numbers of ids of words with a space before each; none is empty or begins with white space."""
+    def _led(self, pieces: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids and numbers of ids of pieces that begin with their only space, before something other than white space."""
         ids, lengths = [], []
-        chunks = [words[i : i + LED] for i in range(0, len(words), LED)]
-        for chunk, found in zip(chunks, self._batch([" " + " ".join(c) for c in chunks])):
+        chunks = [pieces[i : i + LED] for i in range(0, len(pieces), LED)]
+        for chunk, found in zip(chunks, self._batch(["".join(c) for c in chunks])):
             at = np.flatnonzero(self.leads[found])
             if len(at) != len(chunk) or at[0]:  # another vocabulary may part words otherwise
-                each = self._batch([" " + w for w in chunk])
+                each = self._batch(chunk)
                 found, at = np.concatenate(each), np.cumsum([0, *map(len, each[:-1])])
             ids.append(found)
             lengths.append(np.diff(at, append=len(found)))
         return ids, lengths
 
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids and each word's number of ids, as `encode` splits them: a space goes before each but the first of a text, which a NUL marks."""
-        led: dict[str, int] = {}
-        rest: dict[str, int] = {"": 0}
-        parts = np.zeros((len(words), 2), np.int64)
-        for i, w in enumerate(words):
-            if m := STEM.fullmatch(w):
-                stem, tail = m.groups("")
-                parts[i] = led.setdefault(stem, len(led)), ~rest.setdefault(tail, len(rest))
-            elif not w or w[0] == "\0" or w[0].isspace():  # beside another word, white space might join
-                parts[i] = ~rest.setdefault(w[1:] if w[:1] == "\0" else " " + w, len(rest)), ~0
-            else:
-                parts[i] = led.setdefault(w, len(led)), ~0
-        ids, lengths = self._led(list(led))
-        tails = self._batch(list(rest))
-        ends = np.cumsum(np.concatenate([[0], *lengths, list(map(len, tails))]).astype(np.int64)) * self.kind.itemsize
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate([*ids, *tails]))])
-        found = pieces.take(pa.array(np.where(parts < 0, len(led) + ~parts, parts).ravel()))
-        _, ends, data = found.buffers()
-        ends = np.frombuffer(ends, np.int64, len(found) + 1, found.offset * 8)[::2] // self.kind.itemsize
-        return np.frombuffer(data, self.kind)[: ends[-1]] if data is not None else self.ids[:0], np.diff(ends)
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and each piece's number of ids; those that begin with their only space go to the library together."""
+        led = np.fromiter((p[:1] == " " and p[1:2] != "" and not p[1].isspace() and p.find(" ", 1) < 0 for p in pieces), bool, len(pieces))
+        ids, lengths = self._led([p for p, x in zip(pieces, led) if x])
+        rest = self._batch([p for p, x in zip(pieces, led) if not x])
+        order = np.argsort(np.concatenate([np.flatnonzero(led), np.flatnonzero(~led)]))
+        ends = np.cumsum(np.concatenate([[0], *lengths, list(map(len, rest))]).astype(np.int64))
+        return self._taken(ends, np.concatenate([self.ids[:0], *ids, *rest]), order)
+
+    def _taken(self, ends: np.ndarray, ids: np.ndarray, which) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chosen pieces in turn, and the number of each; `ends` has one entry more than there are pieces."""
+        size = self.kind.itemsize
+        kept = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends * size), pa.py_buffer(ids)])
+        taken = kept.take(pa.array(which))
+        _, ends, data = taken.buffers()
+        ends = np.frombuffer(ends, np.int64, len(taken) + 1, taken.offset * 8) // size
+        return np.frombuffer(data, self.kind)[ends[0] : ends[-1]] if data is not None and len(taken) else self.ids[:0], np.diff(ends)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [any(x in t for x in self.unsplit) or bool(JOINED_SPACE.search(t)) for t in texts]
-        lists = pc.split_pattern(pa.array([None if w else "\0" + t for t, w in zip(texts, whole)], pa.large_string()), " ")
-        coded = lists.flatten().dictionary_encode()
-        found, known = coded.dictionary.to_pylist(), self.words
-        number = np.fromiter(map(known.get, found, repeat(-1)), np.int64, len(found))
+    def _numbers(self, pieces: np.ndarray) -> np.ndarray:
+        """Number of each of these distinct pieces in `ids` and `bounds`; new ones stand behind those kept and, where there is room, are kept."""
+        known = self.known
+        number = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(number < 0)
-        ids, lengths = self._words([found[i] for i in new])
-        number[new] = len(known) + np.arange(len(new))
-        # New words stand behind those kept; where there is room, they are kept too.
-        begin, bounds = int(self.bounds[len(known)]), len(known) + len(new) + 1
+        ids, lengths = self._pieces(pieces[new].tolist())
+        first = len(known)
+        number[new] = first + np.arange(len(new))
+        begin, bounds = int(self.bounds[first]), first + len(new) + 1
         if bounds > len(self.bounds):
             self.bounds = np.concatenate([self.bounds, np.zeros(bounds, np.int64)])
         if begin + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(begin + len(ids), self.kind)])
         self.ids[begin : begin + len(ids)] = ids
-        self.bounds[len(known) + 1 : bounds] = begin + np.cumsum(lengths)
-        if len(known) < CACHE_WORDS:  # words met first, so mostly the frequent ones, stay
-            first = len(known)
-            known.update((found[i], first + n) for n, i in enumerate(new.tolist()))
-        size = self.kind.itemsize
-        kept = pa.Array.from_buffers(pa.large_binary(), bounds - 1, [None, pa.py_buffer(self.bounds[:bounds] * size), pa.py_buffer(self.ids)])
-        taken = kept.take(pa.array(number).take(coded.indices))
-        _, ends, data = taken.buffers()
-        ends = np.frombuffer(ends, np.int64, len(taken) + 1, taken.offset * 8) // size
-        out = np.frombuffer(data, self.kind) if len(taken) else self.ids[:0]
-        ends = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))])]
+        self.bounds[first + 1 : bounds] = begin + np.cumsum(lengths)
+        if first < CACHE_WORDS:  # pieces met first, so mostly the frequent ones, stay
+            known.update(zip(pieces[new].tolist(), range(first, bounds)))
+        self.end = bounds
+        return number
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [any(x in t for x in self.unsplit) or bool(JOINED_SPACE.search(t)) for t in texts]
+        lists = pc.split_pattern(pa.array([None if w else "\0" + t for t, w in zip(texts, whole)], pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary
+        parted = pc.extract_regex(words, STEM)
+        stems, tails = pc.struct_field(parted, [0]), pc.struct_field(parted, [1]).fill_null("")
+        led = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), pc.coalesce(stems, words), pa.scalar(" ", pa.large_string()))
+        heads = pc.if_else(pc.starts_with(words, "\0"), pc.utf8_slice_codeunits(words, 1), led)
+        pieces = pa.concat_arrays([heads, tails]).dictionary_encode()
+        number = self._numbers(pieces.dictionary.to_numpy(zero_copy_only=False))[pieces.indices.to_numpy()]
+        # A word's ids are those of its two pieces; a text's are those of its words.
+        ids, lengths = self._taken(self.bounds[: self.end], self.ids, np.stack([number[: len(words)], number[len(words) :]], 1).ravel())
+        out, lengths = self._taken(np.cumsum([0, *lengths.reshape(-1, 2).sum(1)]), ids, coded.indices)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))])]
         rest = iter(self._batch([t for t, w in zip(texts, whole) if w]))
         return [next(rest) if w else out[a:b] for w, a, b in zip(whole, ends[:-1].tolist(), ends[1:].tolist())]
 
@@ -281,7 +288,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // docs_per_part))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     shards = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(_shards(tokenizer_path, end_id), SHARD_SCHEMA)
-    shards.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", 1).parquet(out)
+    with batches_of(docs.sparkSession, ENCODE_BYTES):  # a worker and the JVM beside it hold no more of the texts than is encoded at once
+        shards.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", 1).parquet(out)
     index = read_shards(docs.sparkSession, out).select("part", "seq", "n_tokens")
     sums = index.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))  # one row for each part, so the window below stays small
     before = sums.select("part", (F.sum("part_tokens").over(Window.orderBy("part")) - F.col("part_tokens")).alias("part_start"))

@@ -27,3 +27,41 @@ def test_encoder_equals_the_library_on_odd_texts(monkeypatch):
     for i in range(0, 3000, 500):
         assert [x.tolist() for x in encoder.encode(texts[i : i + 500])] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts[i : i + 500]]
     assert encoder.encode([]) == []
+
+
+def _ids(encoder, texts):
+    return [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_known_pieces_of_new_words_are_not_sent_again(monkeypatch):
+    encoder = token_output.Encoder(tokenizer_path())
+    stems = [f"w{chr(97 + i % 26)}\u00e9{chr(97 + i // 26)}" for i in range(600)]
+    text = lambda sign: "start " + " ".join(s + sign for s in stems)
+    encoder.encode([text("!") + " x.\nHe y, z. x"])
+    sent = []
+    batch = encoder._batch
+    monkeypatch.setattr(encoder, "_batch", lambda texts: sent.extend(texts) or batch(texts))
+    texts = [text(""), text("."), text(","), text(".\nHe")]
+    assert [x.tolist() for x in encoder.encode(texts)] == _ids(encoder, texts)
+    assert not sent
+
+
+def test_what_the_library_is_given_at_once_is_small():
+    """Its results hold some hundred bytes a token; 1,024 texts of 128 words each took 45 MB or more."""
+    encoder, most = token_output.Encoder(tokenizer_path()), []
+
+    class Library:
+        def encode_batch_fast(self, texts, **more):
+            most.append(sum(map(len, texts)))
+            return encode_batch_fast(texts, **more)
+
+    encode_batch_fast, encoder.tokenizer = encoder.tokenizer.encode_batch_fast, Library()
+    encoder.encode(["start " + " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(40_000))])
+    assert max(most) < 100_000
+
+
+def test_encoder_equals_the_library_on_marks_and_numbers():
+    rnd, encoder = random.Random(2), token_output.Encoder(tokenizer_path())
+    parts = ["a", "The", "\u00e9", "\u00ff", "\u00d7", "\u0301", "\u00b2", "\u2167", "\u01c5", "\u00aa", "\u4e00", "\u200b", "\u00a0", "\u3000", "\x1c", "\n", " ", " ", "'", "'s", "'ll", "7", "-", "_", "!"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(24))) for _ in range(6000)]
+    assert [x.tolist() for x in encoder.encode(texts)] == _ids(encoder, texts)
