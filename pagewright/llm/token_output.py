@@ -30,7 +30,7 @@ from pagewright.llm.common import batches_of
 
 SHARD_TOKENS = 1 << 21
 BLOCK = 512
-CACHE_WORDS = 1_000_000  # pieces remembered
+CACHE_WORDS = 300_000  # pieces remembered, and what one call adds
 IDLE_SECONDS = 5
 #: Bytes of the documents encoded together, so that a word they share is looked up once; Arrow batches are as large.
 ENCODE_BYTES = 1 << 22

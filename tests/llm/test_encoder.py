@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
+
 from pagewright.llm import token_output
 from pagewright.llm.queries import tokenizer_path
 
@@ -65,3 +67,21 @@ def test_encoder_equals_the_library_on_marks_and_numbers():
     parts = ["a", "The", "\u00e9", "\u00ff", "\u00d7", "\u0301", "\u00b2", "\u2167", "\u01c5", "\u00aa", "\u4e00", "\u200b", "\u00a0", "\u3000", "\x1c", "\n", " ", " ", "'", "'s", "'ll", "7", "-", "_", "!"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(24))) for _ in range(6000)]
     assert [x.tolist() for x in encoder.encode(texts)] == _ids(encoder, texts)
+
+
+def test_workers_get_no_more_text_than_is_encoded_at_once(spark, tmp_path, monkeypatch):
+    """Parts of 10 MB came as one batch."""
+    schema = token_output.SHARD_ARROW
+
+    def sizes(path, end_id):
+        def run(batches):
+            for n, b in enumerate(batches):
+                yield pa.RecordBatch.from_pylist([{"part": b.column(0)[0].as_py(), "seq": n, "n_tokens": b.nbytes}], schema)
+
+        return run
+
+    monkeypatch.setattr(token_output, "_shards", sizes)
+    token_output.write_tokens(spark.range(40).selectExpr("id doc_id", "repeat('word ', 200000) text"), str(tmp_path / "out"), "")
+    found = [r.n_tokens for r in token_output.read_shards(spark, str(tmp_path / "out")).collect()]
+    assert sum(found) > 40_000_000
+    assert max(found) < 6_000_000
