@@ -234,17 +234,20 @@ def stretches(a: np.ndarray, b: np.ndarray, percent: int, width: int) -> list[tu
         return [(0, n - 1, 0, n - 1)]
     gain = percent / 100
     need = 2 * gain / (1 + gain)  # share of equal shingles at which sets of one size reach the similarity
-    equal = np.isin(a, b)
-    at = np.flatnonzero(equal)
+    # Sets of Python numbers: on a few hundred shingles a sort by numpy takes several times as long.
+    a, b = a.tolist(), b.tolist()
+    there = set(b)
+    at = [i for i, x in enumerate(a) if x in there]
     if len(at) < need * width - 1:
         return []
-    total = np.concatenate([[0.0], np.cumsum(np.where(equal, 1 - need, -need))])
-    lo, hi = int(at[0]), int(at[-1])
-    if hi - lo + 1 >= width and total[hi + 1] - total[lo] >= -1e-9 and (found := _same(a, b, lo, hi, percent)):
+    lo, hi = at[0], at[-1]
+    if hi - lo + 1 >= width and len(at) - need * (hi - lo + 1) >= -1e-9 and (found := _same(a, b, lo, hi, percent)):
         return [(lo, hi, *found)]  # all others lie inside
-    # The farthest end of each beginning; whatever shorter stretch begins there lies inside.
-    enough = np.triu(total[at + 1][None, :] - total[at][:, None] >= -1e-9)
-    ends = at[len(at) - 1 - enough[:, ::-1].argmax(axis=1)]
+    # The farthest end of each beginning; whatever shorter stretch begins there lies inside. An end serves a beginning if the
+    # equal shingles between exceed the share that is needed, so the last end with a surplus as large is looked up.
+    at, rank = np.array(at), np.arange(len(at))
+    surplus = np.maximum.accumulate((rank + 1 - need * (at + 1))[::-1])
+    ends = at[len(at) - 1 - np.searchsorted(surplus, rank - need * at - 1e-9)]
     lengths = ends - at + 1
     out: list[tuple[int, int, int, int]] = []
     for i in np.argsort(-lengths, kind="stable"):
@@ -256,18 +259,18 @@ def stretches(a: np.ndarray, b: np.ndarray, percent: int, width: int) -> list[tu
     return out
 
 
-def _same(a: np.ndarray, b: np.ndarray, lo: int, hi: int, percent: int) -> tuple[int, int] | None:
+def _same(a: list[int], b: list[int], lo: int, hi: int, percent: int) -> tuple[int, int] | None:
     """First and last place in b of the shingles lo to hi of a, if the similarity of both stretches is reached."""
-    x = np.unique(a[lo : hi + 1])
-    spots = np.flatnonzero(np.isin(b, x))
+    x = set(a[lo : hi + 1])
+    spots = [i for i, y in enumerate(b) if y in x]
     # A shingle that also stands elsewhere in b stretches its span: the span around the same place is tried next.
-    for part in (spots, spots[(spots >= lo - 4) & (spots <= hi + 4)]):
-        if not len(part):
+    for part in (spots, [i for i in spots if lo - 4 <= i <= hi + 4]):
+        if not part:
             return None
-        y = np.unique(b[part[0] : part[-1] + 1])
-        both = len(np.intersect1d(x, y, assume_unique=True))
+        y = set(b[part[0] : part[-1] + 1])
+        both = len(x & y)
         if 100 * both >= percent * (len(x) + len(y) - both):
-            return int(part[0]), int(part[-1])
+            return part[0], part[-1]
     return None
 
 
