@@ -5,8 +5,8 @@
    passage of `min_words` are kept, which are few: a position has one exactly when it is the least of some stretch of
    that length, so a sliding minimum finds them and the tree is built over them alone.
 2. Windows meet that have the same least shingle and the same least one, by a further hash function, in the half
-   passage to its right or to its left; a passage holds one of these halves. Around such windows every stretch of the
-   passage length is hashed whole, and all documents that hold an equal one are tied to the first of them: equality
+   passage to its right or to its left; a passage holds one of these halves. Around windows of which another document
+   holds a whole half every stretch of the passage length is hashed whole, and all documents that hold an equal one are tied to the first of them: equality
    carries over, so no pairs are needed and none is lost, however large the key.
    For near-equal stretches, each window is paired with the key's first and last document. The widest overlap of each
    piece of a document is verified first, then all overlaps but those between places of one group. Members of larger keys
@@ -43,7 +43,10 @@ TABLE_BITS = 23
 KEY_BITS = 25
 #: Shingles on each side of the least one that are compared at once; longer passages have further windows.
 REACH = 96
-WINDOW_SCHEMA = "key long, right_key long, left_key long, rep long, first int, least int, last int"
+#: Comparisons that a task remembers: some 2 KB each.
+REMEMBERED = 8192
+PLACES = "first array<int>, least array<int>, last array<int>"
+WINDOW_SCHEMA = f"key long, right_key long, left_key long, rep long, {PLACES}, halves array<long>"
 
 
 def _sliding(x: np.ndarray, n: int, op) -> np.ndarray:
@@ -85,8 +88,39 @@ def compact_windows(v: np.ndarray, begins: np.ndarray, width: int) -> tuple[np.n
     return first, at, last
 
 
+def _totals(h: np.ndarray) -> np.ndarray:
+    """Running sums from which `_run_hash` takes the hash of any run."""
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * sh._power(len(h))[0][: len(h)], dtype=np.uint64)])
+
+
+def _run_hash(total: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each whole run of values, wherever it stands."""
+    return (total[end] - total[begin]) * sh._power(len(total))[1][begin]
+
+
+def _halves(total: np.ndarray, first: np.ndarray, at: np.ndarray, last: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the half passage on each side of windows' least shingles, that shingle included, and whether the window holds it: (right, has right, left, has left)."""
+    right, left = at + half <= last, at - half >= first
+    return sh.mix(_run_hash(total, at, np.where(right, at + half + 1, at))), right, sh.mix(_run_hash(total, np.where(left, at - half, at), at + 1)), left
+
+
+def _alike(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order in which rows of one key follow each other, otherwise as they were, and where each run of such rows begins."""
+    order = np.argsort(key, kind="stable")
+    x = key[order]
+    return order, np.flatnonzero(np.append(np.ones(min(len(x), 1), bool), x[1:] != x[:-1]))
+
+
+def _lists(starts: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), values)
+
+
 def _windows(k: int, width: int, table: bytes, keys: bytes | None = None):
-    """Compact windows of the documents in `table`: their keys alone, or, of the keys that `keys` may hold, whole rows."""
+    """Compact windows of the documents in `table`: their keys alone, or, of the keys that `keys` may hold, whole rows.
+
+    A text that repeats its lines has many windows of the same keys: they are one row with all their places. Those of the
+    first hash function have the hashes of their half passages too, which `_grams` needs.
+    """
     mult, add = sh.spread(11, HASHES) | np.uint64(1), sh.spread(12, HASHES)
     half = width // 2 - 1
 
@@ -100,6 +134,7 @@ def _windows(k: int, width: int, table: bytes, keys: bytes | None = None):
                 ids = batch.column(0).to_numpy()[i:j]
                 other = sh.mix(h ^ sh.BASE)
                 near = _sliding(np.concatenate([np.full(half, ~np.uint64(0)), other, np.full(half, ~np.uint64(0))]), half, np.minimum) if len(h) else other
+                total = None if keys is None else _totals(h)
                 for f in range(HASHES):
                     first, at, last = compact_windows(sh.mix(h * mult[f] + add[f]), begins, width)
                     key, doc = sh.mix(h[at] + np.uint64(f)), owner[at]
@@ -108,9 +143,21 @@ def _windows(k: int, width: int, table: bytes, keys: bytes | None = None):
                         continue
                     keep = in_table(keys, KEY_BITS, key)
                     first, at, last, key, doc = first[keep], at[keep], last[keep], key[keep], doc[keep]
-                    if len(at):
-                        left, right = sh.mix(key ^ near[at]), sh.mix(key + near[at + half + 1])
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), right.view(np.int64), left.view(np.int64), ids[doc], *((c - begins[doc]).astype(np.int32) for c in (first, at, last)))], names=["key", "right_key", "left_key", "rep", "first", "least", "last"])
+                    if not len(at):
+                        continue
+                    left, right = sh.mix(key ^ near[at]), sh.mix(key + near[at + half + 1])
+                    order, starts = _alike(sh.mix(sh.mix(left + doc.astype(np.uint64)) + right))
+                    one = order[starts]
+                    hashes, of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                    if not f:
+                        r, has_r, l, has_l = (x[order] for x in _halves(total, first, at, last, half))
+                        row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
+                        hashes, of = np.concatenate([r[has_r], l[has_l]]), np.concatenate([row[has_r], row[has_l]])
+                        by = np.argsort(of, kind="stable")
+                        hashes, of = hashes[by], of[by]
+                    places = [_lists(starts, pa.array((x - begins[doc])[order].astype(np.int32))) for x in (first, at, last)]
+                    halves = _lists(np.searchsorted(of, np.arange(len(starts))), pa.array(hashes.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[one].view(np.int64)) for x in (key, right, left)), pa.array(ids[doc[one]]), *places, halves], names=["key", "right_key", "left_key", "rep", "first", "least", "last", "halves"])
 
     return run
 
@@ -145,17 +192,20 @@ def _runs(k: int, width: int, table: bytes, keys: bytes):
                 p = least_of_stretches(value, begins, size)
                 p = p[inside[p] & (np.cumsum(mark)[p] > 0)]
                 owner = np.searchsorted(begins, p, "right") - 1
-                least = (p - begins[owner] + size // 2).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(value[p].view(np.int64)), pa.array(batch.column(0).to_numpy()[i:j][owner]), pa.array(np.zeros(len(p), np.int32)), pa.array(least), pa.array((begins[owner + 1] - begins[owner] - 1).astype(np.int32))], names=["key", "rep", "first", "least", "last"])
+                order, starts = _alike(sh.mix(value[p] + owner.astype(np.uint64)))
+                one = order[starts]
+                places = [_lists(starts, pa.array(x[order].astype(np.int32))) for x in (np.zeros(len(p)), p - begins[owner] + size // 2, begins[owner + 1] - begins[owner] - 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(value[p[one]].view(np.int64)), pa.array(batch.column(0).to_numpy()[i:j][owner[one]]), *places], names=["key", "rep", "first", "least", "last"])
 
     return run
 
 
-def _grams(k: int, width: int, table: bytes, sides: bytes):
-    """(key, rep, pos) of the stretches of `width` shingles that hold the least one of a window whose side key is in `sides`.
+def _grams(k: int, width: int, table: bytes, halves: bytes):
+    """(key, rep, pos) of the stretches of `width` shingles that hold a half passage beside a window's least one that is in `halves`.
 
-    One hash function is enough: two documents with an equal stretch have a window each around its least shingle, and as
-    one half of the stretch beside it is equal too, the windows share a side key.
+    One hash function is enough: two documents with an equal stretch have a window each around its least shingle, and the
+    stretch holds the whole half on one side of it, which is then equal too. Texts that only have two least shingles in
+    common, of which there are the more the more texts there are, give no stretches.
     """
     mult, add = sh.spread(11, HASHES) | np.uint64(1), sh.spread(12, HASHES)
     half = width // 2 - 1
@@ -168,34 +218,36 @@ def _grams(k: int, width: int, table: bytes, sides: bytes):
                 first, at, last = compact_windows(sh.mix(h * mult[0] + add[0]), begins, width)
                 if not len(at):
                     continue
-                edge = np.full(half, ~np.uint64(0))
-                near = _sliding(np.concatenate([edge, sh.mix(h ^ sh.BASE), edge]), half, np.minimum)
-                key = sh.mix(h[at])
-                keep = in_table(sides, KEY_BITS, sh.mix(key ^ near[at])) | in_table(sides, KEY_BITS, sh.mix(key + near[at + half + 1]))
-                first, at, last = first[keep], at[keep], last[keep]
+                total = _totals(h)
+                right, has_right, left, has_left = _halves(total, first, at, last, half)
                 mark = np.zeros(len(h) + 1, np.int64)
-                np.add.at(mark, np.maximum(first, at - width + 1), 1)
-                np.add.at(mark, np.minimum(at, last - width + 1) + 1, -1)
+                for keep, least, most in ((has_right & in_table(halves, KEY_BITS, right), at + half - width + 1, at), (has_left & in_table(halves, KEY_BITS, left), at - width + 1, at - half)):
+                    np.add.at(mark, np.maximum(first, least)[keep], 1)
+                    np.add.at(mark, np.minimum(most, last - width + 1)[keep] + 1, -1)
                 p = np.flatnonzero(np.cumsum(mark) > 0)
-                power, inverse = sh._power(len(h))
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[: len(h)], dtype=np.uint64)])
                 owner = np.searchsorted(begins, p, "right") - 1
-                value = sh.mix((total[p + width] - total[p]) * inverse[p])
+                value = sh.mix(_run_hash(total, p, p + width))
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(batch.column(0).to_numpy()[i:j][owner]), pa.array((p - begins[owner]).astype(np.int32))], names=["key", "rep", "pos"])
 
     return run
 
 
+def _met_halves(windows: DataFrame) -> DataFrame:
+    """Hashes (h) of the half passages that windows of two documents hold."""
+    each = windows.select("rep", F.explode("halves").alias("h"))
+    return each.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("h")
+
+
 def _equal(grams: DataFrame, scratch: Scratch, k: int, width: int) -> DataFrame:
     """Equal stretches, as `_verify` gives them, of every document with one of the others that hold the same.
 
     Equal stretches are a relation that carries over, so each is tied to its first document, and places in a row of one
     document with one partner are one stretch. Nothing grows but with the number of places.
     """
-    at = F.struct("rep", "pos")
-    met = grams.groupBy("key").agg(F.min(at).alias("a"), F.max(at).alias("z")).filter("a.rep < z.rep")
-    rows = grams.join(met, "key").withColumn("h", F.when(F.expr("rep != a.rep"), F.col("a")).when(F.expr("pos != a.pos"), F.col("z"))).filter("h is not null")
-    rows = rows.select("rep", F.col("h.rep").alias("hub"), "pos", (F.col("pos") - F.col("h.pos")).alias("d"))
+    # Plain numbers: a least or greatest struct would be found by sorting. Any place of the document will do.
+    met = grams.groupBy("key").agg(F.min("rep").alias("a"), F.min_by("pos", "rep").alias("a_pos"), F.max("rep").alias("z"), F.max_by("pos", "rep").alias("z_pos")).filter("a < z")
+    rows = grams.join(met.hint("shuffle_hash"), "key").filter("rep != a or pos != a_pos")
+    rows = rows.select("rep", F.expr("if(rep != a, a, z)").alias("hub"), "pos", F.expr("pos - if(rep != a, a_pos, z_pos)").alias("d"))
     place = F.row_number().over(Window.partitionBy("rep", "hub", "d").orderBy("pos"))
     rows = rows.withColumn("run", F.col("pos") - place).groupBy("rep", "hub", "d", "run").agg(F.min("pos").cast("long").alias("begin"), (F.max("pos") + width - 1 + k).cast("long").alias("end"))
     found = rows.select("rep", "hub", "begin", "end", (F.col("begin") - F.col("d")).alias("hub_begin"), (F.col("end") - F.col("d")).alias("hub_end"))
@@ -206,13 +258,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, raw, off in sh.slices(batch.column(1)):
             w = sh.words(raw, off)
-            a, b, n = [], [], np.diff(w.offsets)
-            for t in range(j - i):
-                h = w.hashes[w.offsets[t] : w.offsets[t + 1]]
-                power = np.cumprod(np.full(len(h), sh.BASE, np.uint64), dtype=np.uint64)
-                a.append(int((h * power).sum(dtype=np.uint64).view(np.int64)))
-                b.append(int((sh.mix(h) * power).sum(dtype=np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n.astype(np.int64))], names=["doc_id", "h1", "h2", "n"])
+            h1, h2 = (_run_hash(_totals(h), w.offsets[:-1], w.offsets[1:]).view(np.int64) for h in (w.hashes, sh.mix(w.hashes)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(x) for x in (h1, h2, np.diff(w.offsets).astype(np.int64)))], names=["doc_id", "h1", "h2", "n"])
 
 
 def _sequences(k: int, table: bytes):
@@ -276,10 +323,16 @@ def _same(a: list[int], b: list[int], lo: int, hi: int, percent: int) -> tuple[i
 
 def _confirm(k: int, percent: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A text that repeats its lines brings the same two cuts again and again.
+        done: dict[tuple[bytes, bytes], list[tuple[int, int, int, int]]] = {}
         for batch in batches:
             rows = []
             for rep, hub, i0, j0, x, y in zip(*(batch.column(n).to_pylist() for n in range(6))):
-                for a, b, p, q in stretches(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), percent, width):
+                if (found := done.get((x, y))) is None:
+                    if len(done) >= REMEMBERED:
+                        done.clear()
+                    found = done[x, y] = stretches(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), percent, width)
+                for a, b, p, q in found:
                     rows.append((rep, hub, i0 + a, i0 + b + k, j0 + p, j0 + q + k))
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], pa.int64()) for n in range(6)], names=["rep", "hub", "begin", "end", "hub_begin", "hub_end"])
 
@@ -287,8 +340,8 @@ def _confirm(k: int, percent: int, width: int):
 
 
 def _overlaps(windows: DataFrame, scratch: Scratch, width: int) -> DataFrame:
-    """Overlaps by the least shingle together with the least one to its right, and with the least one to its left."""
-    return scratch.table("overlaps", _sided_overlaps(windows, scratch, "right_key", width).union(_sided_overlaps(windows, scratch, "left_key", width)).distinct())
+    """Overlaps by the least shingle together with the least one to its right, and with the least one to its left; those by both stand twice."""
+    return _sided_overlaps(windows, scratch, "right_key", width).union(_sided_overlaps(windows, scratch, "left_key", width))
 
 
 def _sided_overlaps(windows: DataFrame, scratch: Scratch, key: str, width: int) -> DataFrame:
@@ -297,11 +350,12 @@ def _sided_overlaps(windows: DataFrame, scratch: Scratch, key: str, width: int)
     The groups' ends are combined before the shuffle and written first, so that what remains is a plain join, of which
     Spark splits the parts of a key that many windows have.
     """
-    at = F.struct("rep", "first", "least", "last")
-    ends = scratch.table(f"ends-{key}", windows.groupBy(key).agg(F.min(at).alias("a"), F.max(at).alias("z")).filter("a.rep < z.rep"))
-    rows = windows.select(key, "rep", "first", "least", "last").join(ends, key)
-    hubs = F.filter(F.array(F.when(F.expr("rep != a.rep"), F.col("a")), F.when(F.expr("rep != z.rep and (rep != a.rep or least != a.least)"), F.col("z"))), lambda h: h.isNotNull())
-    both = rows.withColumn("h", F.explode(hubs))
+    at = lambda n: F.struct("rep", *(F.element_at(c, n).alias(c) for c in ("first", "least", "last")))
+    ends = scratch.table(f"ends-{key}", windows.groupBy(key).agg(F.min(at(1)).alias("a"), F.max(at(-1)).alias("z")).filter("a.rep < z.rep"))
+    rows = windows.select(key, "rep", "first", "least", "last").join(ends.hint("shuffle_hash"), key).select("rep", "a", "z", "first", "last", F.posexplode("least").alias("i", "least"))
+    rows = rows.select("rep", "a", "z", F.expr("first[i]").alias("first"), "least", F.expr("last[i]").alias("last"))
+    hubs = F.array(F.when(F.expr("rep != a.rep"), F.col("a")), F.when(F.expr("rep != z.rep and (rep != a.rep or least != a.least)"), F.col("z")))
+    both = rows.withColumn("h", F.explode(hubs)).filter("h is not null")
     before = F.least(F.col("least") - F.col("first"), F.col("h.least") - F.col("h.first"))
     after = F.least(F.col("last") - F.col("least"), F.col("h.last") - F.col("h.least"))
     both = both.withColumn("before", before).withColumn("after", after).filter(F.col("before") + F.col("after") + 1 >= width)
@@ -321,8 +375,8 @@ def _unsettled(edges: DataFrame, groups: DataFrame) -> DataFrame:
     Members of a group are tied already, and what they share there is reported.
     """
     spans = groups.select("rep", "begin", "end", "group_id")
-    one = edges.alias("e").join(spans.alias("g"), F.expr("e.rep = g.rep and e.c >= g.begin and e.c < g.end"), "left").select("e.*", F.col("g.group_id").alias("mine"))
-    both = one.alias("e").join(spans.alias("h"), F.expr("e.hub = h.rep and e.c - e.i0 + e.j0 >= h.begin and e.c - e.i0 + e.j0 < h.end"), "left")
+    one = edges.alias("e").join(spans.hint("shuffle_hash").alias("g"), F.expr("e.rep = g.rep and e.c >= g.begin and e.c < g.end"), "left").select("e.*", F.col("g.group_id").alias("mine"))
+    both = one.alias("e").join(spans.hint("shuffle_hash").alias("h"), F.expr("e.hub = h.rep and e.c - e.i0 + e.j0 >= h.begin and e.c - e.i0 + e.j0 < h.end"), "left")
     return both.filter("e.mine is null or h.group_id is null or e.mine != h.group_id").select(*(f"e.{c}" for c in edges.columns))
 
 
@@ -331,24 +385,26 @@ def _unresolved_keys(windows: DataFrame, groups: DataFrame) -> DataFrame:
 
     Their members met the key's first and last document only, and may share a passage with each other.
     """
-    many = windows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
-    crowded = windows.join(many, "key").groupBy("key").agg(F.bool_or(F.expr("rep != lo and rep != hi")).alias("more")).filter("more").select("key")
-    held = windows.join(crowded, "key").alias("w").join(groups.alias("g"), F.expr("w.rep = g.rep and w.least >= g.begin and w.least < g.end"), "left")
+    # A text has many windows of a key if it repeats its lines: they are one before anything is shuffled.
+    crowded = windows.select("key", "rep").distinct().groupBy("key").agg(F.count("*").alias("n")).filter("n > 2").select("key")
+    held = windows.select("key", "rep", "least").join(crowded.hint("shuffle_hash"), "key").select("key", "rep", F.explode("least").alias("least")).alias("w").join(groups.hint("shuffle_hash").alias("g"), F.expr("w.rep = g.rep and w.least >= g.begin and w.least < g.end"), "left")
     return held.groupBy("w.key").agg(F.min("g.group_id").alias("a"), F.max("g.group_id").alias("z"), F.bool_or(F.col("g.group_id").isNull()).alias("outside")).filter("outside or a != z").select(F.col("key").alias("h"))
 
 
-def _verify(edges: DataFrame, texts: DataFrame, scratch: Scratch, tag: str, k: int, percent: int, width: int) -> DataFrame:
-    edges = scratch.table(f"edges-{tag}", edges)
+def _sequences_of(edges: DataFrame, texts: DataFrame, scratch: Scratch, tag: str, k: int) -> DataFrame:
+    """(rep, seq) of the documents that stored edges name."""
     ids = edges.select("rep").union(edges.select("hub")).distinct()
     table = bit_table(ids.select(F.xxhash64("rep").alias("h")), TABLE_BITS)
     seqs = texts.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(_sequences(k, table), "rep long, seq binary").join(ids, "rep", "left_semi").groupBy("rep").agg(F.min("seq").alias("seq"))
-    seqs = scratch.table(f"seqs-{tag}", seqs)
+    return scratch.table(f"seqs-{tag}", seqs)
+
+
+def _verify(edges: DataFrame, seqs: DataFrame, scratch: Scratch, tag: str, percent: int, width: int, k: int) -> DataFrame:
     cut = lambda start: F.expr(f"substring(seq, 4 * {start} + 1, 4 * n)")
     rows = edges.join(seqs, "rep").select("rep", "hub", "i0", "j0", "n", cut("i0").alias("x"))
     rows = rows.join(seqs.withColumnRenamed("rep", "hub"), "hub").select("rep", "hub", "i0", "j0", "x", cut("j0").alias("y"))
     found = rows.mapInArrow(_confirm(k, percent, width), "rep long, hub long, begin long, end long, hub_begin long, hub_end long").filter("rep != hub")
     found = scratch.table(f"found-{tag}", found.distinct())
-    scratch.free(f"edges-{tag}", f"seqs-{tag}")
     return found
 
 
@@ -366,7 +422,7 @@ def _groups(found: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     runs = scratch.table(f"places-{tag}", runs.withColumn("start", F.max(F.when(F.col("new"), F.col("begin"))).over(order)))
     spans = scratch.table(f"spans-{tag}", runs.groupBy("rep", "start").agg(F.max("end").alias("end"), F.min("other").alias("other")))
     node = F.struct("rep", F.col("start").alias("begin"))
-    at = lambda rep, begin, end, to: runs.select(F.col("rep").alias(rep), F.col("begin").alias(begin), F.col("end").alias(end), node.alias(to))
+    at = lambda rep, begin, end, to: runs.select(F.col("rep").alias(rep), F.col("begin").alias(begin), F.col("end").alias(end), node.alias(to)).hint("shuffle_hash")
     edges = found.join(at("rep", "begin", "end", "a"), ["rep", "begin", "end"]).join(at("hub", "hub_begin", "hub_end", "b"), ["hub", "hub_begin", "hub_end"]).select("a", "b").distinct()
     nodes = connected(scratch.table(f"span-edges-{tag}", edges), scratch, f"spans-{tag}")
     out = spans.withColumn("id", node).join(nodes, "id").select("rep", F.col("start").alias("begin"), "end", "other", F.concat_ws(":", "component.rep", "component.begin").alias("group_id"))
@@ -394,30 +450,34 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, k
     # What the table lets through wrongly meets nobody in the groups below, so these windows need no further join.
     windows = scratch.table("windows", hashed.mapInArrow(_windows(k, width, table, keys), WINDOW_SCHEMA))
     # All equal stretches; near-equal ones by the widest overlap of each piece of a document, then those that no group settles.
-    widest = F.max_by(F.struct("hub", "i0", "j0", "n", "c"), F.struct("n", -F.col("hub"), "i0")).alias("e")
+    widest = F.max_by(F.struct("hub", "i0", "j0", "n", "c"), F.struct("n", -F.col("hub"), "i0", "j0", "c")).alias("e")
     edges = scratch.table("edges", _edges(_overlaps(windows, scratch, width)))
-    ends = [scratch.spark.read.parquet(scratch.path(f"ends-{side}")).select(F.col(side).alias("h")) for side in ("right_key", "left_key")]
-    sides = bit_table(ends[0].union(ends[1]), KEY_BITS)
-    scratch.free("overlaps", "ends-right_key", "ends-left_key")
+    scratch.free("ends-right_key", "ends-left_key")
+    halves = bit_table(_met_halves(windows), KEY_BITS)
     # Ids of different texts are left to the comparisons below, which choose one of these.
     one = heads.groupBy(F.col("doc_id").alias("rep")).agg(F.count_distinct("h1", "h2", "n").alias("texts")).filter("texts = 1").join(classes, "rep", "left_semi")
-    grams = scratch.table("grams", hashed.mapInArrow(_grams(k, width, table, sides), "key long, rep long, pos int").join(one, "rep", "left_semi").select("key", "rep", "pos"))
+    grams = scratch.table("grams", hashed.mapInArrow(_grams(k, width, table, halves), "key long, rep long, pos int").join(one.hint("shuffle_hash"), "rep", "left_semi").select("key", "rep", "pos"))
     equal = _equal(grams, scratch, k, width)
     scratch.free("grams")
     best = edges.groupBy("rep", F.floor(F.col("c") / REACH).alias("piece")).agg(widest).select("rep", "e.*")
-    found = _verify(best, texts, scratch, "best", k, percent, width)
+    seqs = _sequences_of(edges, texts, scratch, "edges", k)
+    found = _verify(scratch.table("edges-best", best), seqs, scratch, "best", percent, width, k)
+    scratch.free("edges-best")
     groups = _groups(found, scratch, "best")
-    found = found.union(_verify(_unsettled(edges, groups), texts, scratch, "rest", k, percent, width))
+    found = found.union(_verify(scratch.table("edges-rest", _unsettled(edges, groups)), seqs, scratch, "rest", percent, width, k))
+    scratch.free("edges", "edges-rest", "seqs-edges")
     groups = _groups(found, scratch, "rest")
-    scratch.free("edges", "groups-best")
+    scratch.drop("groups-best")
     # Members of a key of more documents may share a passage with each other only: they meet by short runs inside it.
     crowded = bit_table(_unresolved_keys(windows, groups), KEY_BITS)
     scratch.free("windows")
-    runs = scratch.table("runs", hashed.mapInArrow(_runs(k, width, table, crowded), "key long, rep long, first int, least int, last int").join(classes.select("rep").distinct(), "rep", "left_semi"))
+    runs = scratch.table("runs", hashed.mapInArrow(_runs(k, width, table, crowded), f"key long, rep long, {PLACES}").join(classes.select("rep").distinct().hint("shuffle_hash"), "rep", "left_semi"))
     met = scratch.table("met", _edges(_sided_overlaps(runs, scratch, "key", width)))
     scratch.free("runs", "ends-key")
     # Equal stretches come last: they settle no comparison of near-equal ones, which may reach beyond them.
-    found = found.union(_verify(_unsettled(met, groups), texts, scratch, "runs", k, percent, width)).union(equal)
+    rest = scratch.table("edges-runs", _unsettled(met, groups))
+    found = found.union(_verify(rest, _sequences_of(rest, texts, scratch, "runs", k), scratch, "runs", percent, width, k)).union(equal)
+    scratch.free("edges-runs", "seqs-runs")
     groups = _groups(found, scratch, "all")
     copies = heads.select("doc_id", "h1", "h2", "n").distinct().join(classes, ["h1", "h2", "n"])
     members = groups.join(classes.select("rep", "size"), "rep")
