@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.text import fact_source
 
-PER_PAGE, AROUND = 200, 80
-#: Pages whose facts a task holds at a time.
-AT_ONCE = 256
+AROUND = 80
+#: Pages whose facts, and how many facts, a task holds at a time.
+AT_ONCE, HELD = 256, 4096
 W, E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 LOWER = "a-ząćęłńóśźżäöüß"
 # What facts of each kind look like, units, labels and words of context.
@@ -92,17 +92,20 @@ def unit_of(kind: str, value: str) -> str | None:
     return "%" if kind == "percentage" else (m[0] if found and (m := found.search(value)) else None)
 
 
-def page_facts(text: str) -> list[dict]:
-    """Facts of one prepared text, in claiming order. A repeated kind and value is passed over without claiming its span."""
-    out: list[dict] = []
+def page_facts(text: str) -> Iterator[dict]:
+    """All facts of one prepared text, in claiming order. A repeated kind and value is passed over without claiming its span.
+
+    Claimed spans don't overlap and are kept in order, as are the matches of a kind, so one walk over both tells what is claimed.
+    """
     seen: set[tuple[str, str]] = set()
     claimed: list[tuple[int, int]] = []
     for kind, pattern in FIND.items():
+        at, own = 0, []
         for m in pattern.finditer(text):
-            if len(out) >= PER_PAGE:
-                return out
             start, end = m.span()
-            if any(start < b and end > a for a, b in claimed):
+            while at < len(claimed) and claimed[at][1] <= start:
+                at += 1
+            if at < len(claimed) and claimed[at][0] < end:
                 continue
             value = m[1] if kind == "sku" else squeeze(m[0])
             if kind == "sku" and not any(c.isdigit() for c in value) and value != value.upper():
@@ -117,27 +120,39 @@ def page_facts(text: str) -> list[dict]:
             if (actual, value) in seen:
                 continue
             seen.add((actual, value))
-            claimed.append((start, end))
+            own.append((start, end))
             weak = actual == "year" and not YEARS.search(context)
-            out.append({"kind": actual, "value": value, "unit": unit_of(actual, value), "label": label_of(context, value, actual), "context": context, "confidence": 0.55 if weak else 0.9, "needsReview": weak})
-    return out
+            yield {"kind": actual, "value": value, "unit": unit_of(actual, value), "label": label_of(context, value, actual), "context": context, "confidence": 0.55 if weak else 0.9, "needsReview": weak}
+        claimed = sorted(claimed + own)
 
 
-FACTS = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string()), ("unit", pa.string()), ("label", pa.string()), ("context", pa.string()), ("confidence", pa.float64()), ("needsReview", pa.bool_())]))
-SCHEMA = "kind:string,value:string,unit:string,label:string,context:string,confidence:double,needsReview:boolean"
+FACT = pa.struct([("kind", pa.string()), ("value", pa.string()), ("unit", pa.string()), ("label", pa.string()), ("context", pa.string()), ("confidence", pa.float64()), ("needsReview", pa.bool_())])
+SCHEMA = "job_id string, ord long, n int, slug string, url string, fact struct<kind:string,value:string,unit:string,label:string,context:string,confidence:double,needsReview:boolean>"
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each fact; a page of many facts comes back in parts."""
     for part in (batch.slice(i, AT_ONCE) for batch in batches for i in range(0, batch.num_rows, AT_ONCE)):
-        found = pa.array([page_facts(t.as_py() or "") for t in part.column(4)], FACTS)
-        yield pa.RecordBatch.from_arrays([*part.columns[:4], found], names=["job_id", "ord", "slug", "url", "facts"])
+        page, n, found = [], [], []
+
+        def rows() -> pa.RecordBatch:
+            job_id, ord_, slug, url = (c.take(pa.array(page, pa.int32())) for c in part.columns[:4])
+            return pa.RecordBatch.from_arrays([job_id, ord_, pa.array(n, pa.int32()), slug, url, pa.array(found, FACT)], names=["job_id", "ord", "n", "slug", "url", "fact"])
+
+        for i, text in enumerate(part.column(4)):
+            for k, fact in enumerate(page_facts(text.as_py() or "")):
+                page.append(i), n.append(k), found.append(fact)
+                if len(found) >= HELD:
+                    yield rows()
+                    page, n, found = [], [], []
+        if found:
+            yield rows()
 
 
 def extract_facts(pages: DataFrame, text_col: str = "raw") -> DataFrame:
     """One row per fact: job_id, ord, n (its place in the page), slug, url and the fact's columns. All pages count, duplicates too."""
     rows = pages.select("job_id", "ord", "slug", "url", fact_source(F.col(text_col)).alias("text"))
-    found = rows.mapInArrow(_extract, f"job_id string, ord long, slug string, url string, facts array<struct<{SCHEMA}>>")
-    return found.select("job_id", "ord", "slug", "url", F.posexplode("facts").alias("n", "fact")).select("job_id", "ord", "n", "slug", "url", "fact.*")
+    return rows.mapInArrow(_extract, SCHEMA).select("job_id", "ord", "n", "slug", "url", "fact.*")
 
 
 def semantic_key(kind: Column, value: Column, label: Column, context: Column) -> Column:

@@ -233,3 +233,44 @@ def test_stall_timer():
     list(timer.handleInputRows(("j",), iter([3]), now))
     assert handle.timers == {1900}  # a new event moves the timer
     assert next(timer.handleExpiredTimer(("j",), now, None)).values.tolist() == [["j", True]] and not handle.exists()
+
+
+def test_facts_of_a_page_are_not_bounded(spark):
+    """More facts than a task holds at once: all come, in order, in parts, and collapse."""
+    import pyarrow as pa
+
+    n = facts.HELD + 500
+    text = "; ".join(f"mail m{i}@example.com" for i in range(n)) + "; rabat 9%; tel. 600 700 800"
+    batch = pa.RecordBatch.from_arrays([pa.array(["j", "j"]), pa.array([0, 1]), pa.array(["a", "b"]), pa.array(["u", "u"]), pa.array([text, None])], names=["job_id", "ord", "slug", "url", "text"])
+    parts = list(facts._extract(iter([batch])))
+    assert max(p.num_rows for p in parts) <= facts.HELD and [k for p in parts for k in p.column(2).to_pylist()] == list(range(n + 2))
+    got = facts.extract_facts(spark.createDataFrame([("j", 0, "a", "u", text), ("j", 1, "b", "u", text)], "job_id string, ord long, slug string, url string, raw string"))
+    assert got.groupBy("ord").count().orderBy("ord").collect() == [(0, n + 2), (1, n + 2)]
+    kept = facts.collapse_facts(got)
+    assert kept.count() == n + 2 and kept.filter("occurrences = 2 and alsoOn = array('b')").count() == n + 2
+
+
+def test_claims_equal_those_of_a_plain_loop():
+    """Which spans are claimed, by comparing a match with every span claimed before."""
+    rng, bits = random.Random(4), ["NIP: 123-456-78-90", "konto: 12 3456 7890 1234 5678 90", "SKU: AB-12", "45,50 PLN", "3 cm", "2018", "od 2018 roku", "9%", "03.01.2011", "tel. +48 600 700 800", "ponad 500 osób", "a@b.de", "x-1234567.png", "kod: lęgi", "1 200 zł", "24 h"]
+    many = 0
+    for _ in range(60):
+        text = rng.choice([" ", "; ", ", "]).join(rng.choices(bits, k=rng.randint(1, 400)))
+        seen, claimed, want = set(), [], []
+        for kind, pattern in facts.FIND.items():
+            for m in pattern.finditer(text):
+                start, end = m.span()
+                value = m[1] if kind == "sku" else facts.squeeze(m[0])
+                context = facts.squeeze(text[max(0, start - facts.AROUND) : end + facts.AROUND])
+                digits = sum(c.isdigit() for c in value)
+                actual = "year" if kind == "measurement" and facts.re.match(rf"(?:19|20)[0-9]{{2}}{facts.E}", value) else kind
+                if any(start < b and end > a for a, b in claimed) or kind == "sku" and not digits and value != value.upper() or kind == "phone" and not 7 <= digits <= 15:
+                    continue
+                if facts.is_asset_noise(context, value) or kind == "phone" and not facts.PHONES.search(context) or kind == "count" and not facts.COUNTS.search(context) or (actual, value) in seen:
+                    continue
+                seen.add((actual, value))
+                claimed.append((start, end))
+                want.append((actual, value))
+        assert [(f["kind"], f["value"]) for f in facts.page_facts(text)] == want
+        many += len(want)
+    assert many > 500
