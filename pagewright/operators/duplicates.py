@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pagewright.functions.text import hashed_shingles, length_bucket, normalize_body
 
 SHORTEST, LENGTH_RATIO = 50, 0.82
-#: Undecided sets of one shingle that are compared with each other.
-SMALL = 64
-#: Sets in pairs up to which their ids are sent to all tasks, some 40 bytes each, so that other sets aren't shuffled.
-SENT = 500_000
+#: Undecided sets of one shingle that are compared with each other in the first round, how many times more in each later
+#: one, and pairs of a round for each entry, counted once for each shingle they share; so many pairs are few in any table.
+SMALL, MORE, PAIRS, FEW_PAIRS = 64, 8, 8, 10_000_000
+#: Sets in pairs up to which their ids are sent to all tasks, some 60 bytes each, so that other sets aren't shuffled.
+SENT = 2_000_000
 
 
 def with_bodies(pages: DataFrame, text_col: str = "cleanedMarkdown") -> DataFrame:
@@ -47,11 +48,11 @@ def thousandths(threshold: float) -> int:
 
 
 def rare_entries(sets: DataFrame, threshold: float, key: str = "fingerprint") -> DataFrame:
-    """Rows (job_id, s, ord, n, indexed): the rarest shingles of each set, by which similar sets must meet.
+    """Rows (job_id, s, ord, n, rest, indexed): the rarest shingles of each set, by which similar sets must meet.
 
     With shingles in one order, rarest first, two sets of similarity t or more have a common one among the first
     n - ceil(t n) + 1 of the larger set and the first m - ceil(2t/(1+t) m) + 1 of the smaller one, so of two sets the
-    smaller is met by its `indexed` shingles only. Shingles of one page come first in the order and meet nobody: they are
+    smaller is met by its `indexed` shingles only. `rest` counts a set's shingles from this one on. Shingles of one page come first in the order and meet nobody: they are
     counted and not carried further. `s` is mixed with the job and key, so it alone brings rows together; should two groups
     have equal numbers, both count too high, which is an order too. Rows are dealt and sorted once: a shingle has one row
     for each page at most, and beside the many shingles of a page these are few.
@@ -60,23 +61,27 @@ def rare_entries(sets: DataFrame, threshold: float, key: str = "fingerprint") ->
     group = F.xxhash64("job_id", F.lit("/"), key)
     each = sets.select("job_id", "ord", F.size("s").alias("n"), group.alias("g"), F.explode("s").alias("s")).withColumn("s", F.col("s").bitwiseXOR(F.col("g"))).drop("g")
     ranked = each.withColumn("df", F.count("*").over(Window.partitionBy("s"))).filter("df > 1")
-    page = Window.partitionBy("ord", "job_id")
-    ranked = ranked.withColumn("r", F.col("n") - F.count("*").over(page) + F.row_number().over(page.orderBy("df", "s")))
-    first = lambda share, whole: F.expr(f"r <= n - div(n * {share} + {whole - 1}, {whole}) + 1")
-    return ranked.filter(first(least, 1000)).select("job_id", "s", "ord", "n", first(2 * least, 1000 + least).alias("indexed"))
+    ranked = ranked.withColumn("rest", F.row_number().over(Window.partitionBy("ord", "job_id").orderBy(F.desc("df"), F.desc("s"))))
+    first = lambda share, whole: F.expr(f"rest >= div(n * {share} + {whole - 1}, {whole})")
+    return ranked.filter(first(least, 1000)).select("job_id", "s", "ord", "n", "rest", first(2 * least, 1000 + least).alias("indexed"))
 
 
-def meeting(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (job_id, a, b), a before b, of entries of two tables that may be similar."""
+def meeting(left: DataFrame, right: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """Pairs (job_id, a, b), a before b, of entries of two tables that may be similar.
+
+    Two sets have no shingle in common before their first common one, so from that one on both must hold as many as the
+    threshold asks of their overlap. An entry that leaves fewer isn't the first common one of a similar pair.
+    """
     on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("s", "job_id")]
-    may = F.expr("l.ord < r.ord and (l.indexed and l.n <= r.n or r.indexed and r.n <= l.n)")
+    least = max(thousandths(threshold), 0)
+    may = F.expr(f"l.ord < r.ord and (l.indexed and l.n <= r.n or r.indexed and r.n <= l.n) and least(l.rest, r.rest) * {1000 + least}L >= (l.n + r.n) * {least}L")
     return left.alias("l").join(right.alias("r"), on).filter(may).select("l.job_id", F.col("l.ord").alias("a"), F.col("r.ord").alias("b")).distinct()
 
 
 def sharing_pairs(sets: DataFrame, threshold: float, key: str = "fingerprint") -> DataFrame:
     """All pairs (a before b) that may reach the threshold."""
     entries = rare_entries(sets, threshold, key)
-    return meeting(entries, entries)
+    return meeting(entries, entries, threshold)
 
 
 def ranked_pairs(pairs: DataFrame, rows: DataFrame, key: str = "fingerprint") -> DataFrame:
@@ -149,14 +154,23 @@ def greedy_leaders(nodes: DataFrame, edges: DataFrame, save) -> DataFrame:
     return state.join(led, ["job_id", "ord"], "left").select("job_id", "ord", F.when(F.col("leads"), F.col("ord")).otherwise(F.col("first")).alias("leader"))
 
 
+def front_of(sizes: list[tuple[int, int]], small: int, pairs: int) -> int:
+    """How many sets of a shingle are compared with each other: `small`, or fewer if their pairs, with SMALL sets or fewer
+    free, would be more than `pairs`. Sizes are (sets of a shingle, shingles)."""
+    while small > SMALL and sum(many * min(size, small) ** 2 for size, many in sizes) > 2 * pairs:
+        small = max(SMALL, small * 3 // 4)
+    return small
+
+
 def near_leaders(sets: DataFrame, threshold: float, save, key: str = "fingerprint", small: int = SMALL) -> DataFrame:
     """job_id, ord, leader, overlap, union: each set's earliest leader of similarity `threshold` or more, itself for leaders.
 
-    Leaders come first, so near-equal pages never meet each other. In a round the first `small` undecided sets of every
+    Leaders come first, so near-equal pages hardly meet each other. In a round the first `small` undecided sets of every
     shingle are compared among each other, and those that are among the first of all their shingles are decided by their
-    links, so a shingle that many different sets hold takes as many rounds as it has such parts, not sets. The new
-    leaders, and only they, meet the other sets of their shingles; what is similar is absorbed. When no shingle has more
-    than `small` undecided sets, all are decided. Tables of a round are deleted when the next one is written.
+    links. The new leaders, and only they, meet the other sets of their shingles; what is similar is absorbed. What is left
+    differs from its leaders, so the next round takes MORE times as many sets of a shingle, as long as their pairs are few
+    beside all entries: a shingle that many different sets hold takes a number of rounds that grows with its logarithm.
+    When no shingle has more than `small` undecided sets, all are decided. Tables of a round are deleted when the next one is written.
     """
     entries = save("entries", rare_entries(sets, threshold, key))
     page = ["job_id", "ord"]
@@ -167,34 +181,36 @@ def near_leaders(sets: DataFrame, threshold: float, save, key: str = "fingerprin
         """The state after new leaders (job_id, ord) have met all sets that don't lead and have no earlier leader."""
         heads = entries.join(leaders, page, "left_semi")
         others = entries.join(state.filter("not coalesce(leads, false)").select(*page, "led.leader").join(leaders, page, "left_anti"), page)
-        pairs = save(f"met-{i}", meeting(heads, others.drop("leader")))
+        pairs = save(f"met-{i}", meeting(heads, others.drop("leader"), threshold))
         links = confirmed(pairs, sets, threshold, key).groupBy("job_id", F.col("b").alias("ord")).agg(F.min(F.struct(F.col("a").alias("leader"), "overlap", "union")).alias("now"))
         new = state.join(leaders.withColumn("new", F.lit(True)), page, "left").join(links, page, "left")
         leads = F.when(F.col("new") | F.col("leads"), True).when(F.coalesce("led", "now").isNotNull(), False)
         return new.select(*page, leads.alias("leads"), F.least("led", "now").alias("led"))
 
-    i = 0
+    i, every = 0, None
     while True:
         i += 1
         undecided = state.filter("leads is null").select(*page)
-        open_ = save(f"open-{i}", entries.join(undecided, page, "left_semi"))
-        firsts = save(f"firsts-{i}", open_.groupBy("s", "job_id").agg(F.count("*").alias("many")))
-        most = firsts.agg(F.max("many")).first()[0] or 0
-        last = most <= small
+        open_ = save(f"open-{i}", entries.join(undecided, page, "left_semi")) if i > 1 else entries
+        sizes = [tuple(r) for r in open_.groupBy("s", "job_id").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("many")).collect()]
+        every = sum(size * many for size, many in sizes) if every is None else every
+        if i > 1:
+            small = front_of(sizes, small * MORE, max(PAIRS * every, FEW_PAIRS))
+        last = max((size for size, _ in sizes), default=0) <= small
         if last:
-            edges = save("edges", confirmed(save("met", meeting(open_, open_)), sets, threshold, key))
+            edges = save("edges", confirmed(save("met", meeting(open_, open_, threshold)), sets, threshold, key))
             found = greedy_leaders(undecided, edges.select("job_id", "a", "b"), save)
             leaders = save(f"leaders-of-{i}", found.filter("leader = ord").select(*page))
         else:
             placed = save(f"placed-{i}", open_.withColumn("place", F.row_number().over(Window.partitionBy("s", "job_id").orderBy("ord"))))
             front = placed.filter(F.col("place") <= small)
             behind = placed.groupBy(*page).agg((F.max("place") > small).alias("waits"))
-            edges = save("edges", confirmed(save("met", meeting(front, front)), sets, threshold, key))
+            edges = save("edges", confirmed(save("met", meeting(front, front, threshold)), sets, threshold, key))
             nodes = undecided.join(behind, page, "left").withColumn("waits", F.coalesce("waits", F.lit(False)))
             leaders = save(f"leaders-of-{i}", greedy_leaders(nodes, edges.select("job_id", "a", "b"), save).filter("leader = ord").select(*page))
         state = save(f"state-{i}", absorbed(state, leaders))
         drop = getattr(save, "drop", lambda *names: None)
-        drop(f"open-{i}", f"firsts-{i}", f"state-{i - 1}", f"leaders-of-{i}", f"met-{i}", f"placed-{i}")
+        drop(f"open-{i}", f"state-{i - 1}", f"leaders-of-{i}", f"met-{i}", f"placed-{i}")
         if last:
             return state.select(*page, F.when(F.col("leads"), F.col("ord")).otherwise(F.col("led.leader")).alias("leader"), "led.overlap", "led.union")
 

@@ -108,3 +108,32 @@ def test_different_sets_of_one_shingle_take_few_rounds(spark):
     got = duplicates.near_leaders(spark.createDataFrame(rows, SETS), 0.5, Named(spark, "t"), small=16)
     assert {(r.job_id, r.ord): (r.leader, r.overlap, r.union) for r in got.collect()} == plain_leaders(rows, duplicates.thousandths(0.5))
     assert len([n for n in names if n.startswith("state-")]) <= 7
+
+
+def test_rounds_grow_slower_than_the_sets_of_a_shingle(spark):
+    """Different sets of few common shingles: pairs that can't be similar aren't made, and a few rounds decide all."""
+    rng = random.Random(11)
+    rows = [("j", "f", i, 1000, 70, sorted(rng.sample(range(60), 20))) for i in range(1200)]
+    rows += [("j", "f", 2000 + i, 1000, 70, sorted(set(rows[i][5][:-1]) | {70 + i % 7})) for i in range(0, 1200, 40)]
+    sets = spark.createDataFrame(rows, SETS)
+    names = []
+
+    class Named(Stages):
+        def __call__(self, name, df):
+            names.append(name)
+            return super().__call__(name, df)
+
+    got = duplicates.near_leaders(sets, 0.8, Named(spark, "t"))
+    want = plain_leaders(rows, duplicates.thousandths(0.8))
+    assert {(r.job_id, r.ord): (r.leader, r.overlap, r.union) for r in got.collect()} == want and sum(v[0] != k[1] for k, v in want.items()) >= 25
+    assert len([n for n in names if n.startswith("state-")]) <= 4
+    entries = duplicates.rare_entries(sets, 0.8)
+    assert duplicates.meeting(entries, entries, 0.8).count() < duplicates.meeting(entries, entries).count()
+
+
+def test_pairs_of_a_round_are_few_beside_the_entries():
+    assert duplicates.front_of([(100, 5)], 512, 10**9) == 512
+    sizes = [(9000, 40), (3, 10_000)]
+    small = duplicates.front_of(sizes, 4096, 8 * sum(a * b for a, b in sizes))
+    assert 64 < small < 4096 and sum(many * min(size, small) ** 2 for size, many in sizes) <= 16 * sum(a * b for a, b in sizes)
+    assert duplicates.front_of([(10**6, 1000)], 512, 1) == duplicates.SMALL
